@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tabulon.llm import sharding, warc
+from tabulon.llm import language, packing, quality, sharding, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
+    "op2_quality": quality.query,
+    "op3_packing": packing.query,
+    "op8_language": language.query,
     "op10_warc": warc.query,
 }
 
