@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tabulon.llm import language, packing, quality, sharding, simhash, warc
+from tabulon.llm import decontaminate, language, packing, quality, sharding, simhash, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_quality": quality.query,
     "op3_packing": packing.query,
     "op5_simhash": simhash.query,
+    "op6_decontaminate": decontaminate.query,
     "op8_language": language.query,
     "op10_warc": warc.query,
 }
