@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import decontaminate, language, packing, quality, sharding, simhash, warc
+from tabulon.llm import decontaminate, language, packing, quality, repeats, sharding, simhash, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": packing.query,
     "op5_simhash": simhash.query,
     "op6_decontaminate": decontaminate.query,
+    "op7_suffix_dedup": repeats.query,
     "op8_language": language.query,
     "op10_warc": warc.query,
 }
