@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabulon.llm import decontaminate, language, packing, quality, repeats, sharding, simhash, warc
+from tabulon.llm import decontaminate, language, lm, packing, quality, repeats, sharding, simhash, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_decontaminate": decontaminate.query,
     "op7_suffix_dedup": repeats.query,
     "op8_language": language.query,
+    "op9_lm": lm.query,
     "op10_warc": warc.query,
 }
 
