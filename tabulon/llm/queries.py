@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabulon.llm import decontaminate, language, lm, packing, quality, repeats, sharding, simhash, warc
+from tabulon.llm import decontaminate, language, lm, neighbors, packing, quality, repeats, sharding, simhash, warc
 
 QUERIES = {
     "op1_sharding": sharding.query,
     "op2_quality": quality.query,
     "op3_packing": packing.query,
+    "op4_neighbors": neighbors.query,
     "op5_simhash": simhash.query,
     "op6_decontaminate": decontaminate.query,
     "op7_suffix_dedup": repeats.query,
