@@ -176,35 +176,52 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAM
     return LanguageModel(languages, trees)
 
 
-def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``docs`` (among them text) with ``lang_pred`` and ``score``, the posterior of the language found."""
+def classify(model: LanguageModel, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
+    """The language of each text and its posterior; ``und`` and 0 without a letter."""
+    import regex
+
     if not model.trees:
-        return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
+        return ["und"] * len(texts), np.zeros(len(texts))
+    letter = regex.compile(r"\p{L}")
+    costs = model.code_lengths(texts)
+    best = costs.argmin(axis=1)
+    odds = np.exp(-np.clip(costs - costs.min(axis=1, keepdims=True), 0, 700))
+    real = np.array([bool(t) and letter.search(t.decode("utf-8", "replace")) is not None for t in texts], dtype=bool)
+    return [model.languages[i] if ok else "und" for i, ok in zip(best, real)], np.where(real, 1 / odds.sum(axis=1), 0.0)
+
+
+def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """All columns of ``docs`` (among them text) with ``lang_pred`` and ``score``, the posterior of the language found.
+
+    A table's own columns of these names are replaced.
+    """
+    docs = docs.drop("lang_pred", "score")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    added = [c for c in ("lang_pred", "score") if c in docs.columns]
-    if added:
-        raise ValueError(f"columns {added} are in the table already")
 
     def run(batches):
-        import regex
-
-        letter, m = regex.compile(r"\p{L}"), shared.value
         for batch in batches:
-            texts = column_bytes(batch.column(at))
-            costs = m.code_lengths(texts)
-            best = costs.argmin(axis=1)
-            odds = np.exp(-np.clip(costs - costs.min(axis=1, keepdims=True), 0, 700))
-            score = 1 / odds.sum(axis=1)
-            real = [bool(t) and letter.search(t.decode("utf-8", "replace")) is not None for t in texts]
-            names = [m.languages[i] if ok else "und" for i, ok in zip(best, real)]
-            columns = [pa.array(names, pa.string()), pa.array(np.where(real, score, 0.0))]
+            names, score = classify(shared.value, column_bytes(batch.column(at)))
+            columns = [pa.array(names, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -> DataFrame:
+    """The rows whose language is known with a posterior of ``least`` or more; columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            names, score = classify(shared.value, column_bytes(batch.column(at)))
+            yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(names, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op8: language of every document, learnt from the rows whose crc32 remainder isn't 2."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")

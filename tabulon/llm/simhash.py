@@ -249,6 +249,64 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed:
     return prints.join(by_print, prints["fp"] == by_print["own"], "left").select("doc_id", "fp", "component_id")
 
 
+def similar_groups(docs: DataFrame, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, text_hash, keeper``: groups of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    Candidates are the fingerprints' links within ``radius`` bits; each is then checked on the two texts' shingle sets.
+    A group is what checked links join; ``keeper`` is its smallest doc_id. Texts are told apart by a 64-bit hash.
+    """
+    prints = cut(
+        fingerprints(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), words), "prints"
+    )
+    nodes = prints.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
+    heads = nodes.groupBy("fp").agg(F.min("text_hash").alias("head"))
+    same = nodes.join(heads, "fp").filter("text_hash <> head").select(F.col("text_hash").alias("a"), F.col("head").alias("b"))
+    near = links(heads.select("fp"), radius)
+    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a")
+    near = near.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
+    candidates = cut(same.unionByName(near).distinct(), "links")
+    wanted = candidates.select("a").union(candidates.select("b")).distinct()
+    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    texts = texts.join(wanted, F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
+
+    def sets(batches):
+        for batch in batches:
+            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in column_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["text_hash", "shingles"])
+
+    own = texts.mapInArrow(sets, "text_hash long, shingles array<long>")
+    both = candidates.join(own.select(F.col("text_hash").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.join(own.select(F.col("text_hash").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = (F.size("sa") == 0) & (F.size("sb") == 0) | (shared >= similarity * (F.size("sa") + F.size("sb") - shared))
+    reached = components(both.filter(alike).select("a", "b"))
+    classes = nodes.join(reached, nodes["text_hash"] == reached["node"], "left").select(
+        F.col("text_hash").alias("own"), "least", F.coalesce("component", "text_hash").alias("class")
+    )
+    keepers = classes.groupBy("class").agg(F.min("least").alias("keeper"))
+    named = classes.join(keepers, "class").select("own", "keeper")
+    return prints.join(named, F.col("text_hash") == F.col("own")).select("doc_id", "text_hash", "keeper")
+
+
+def drop_similar(docs: DataFrame, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group left, the one with the smallest doc_id; columns as they are.
+
+    Of rows that repeat the keeper's id and text one stays. In a group without ids one row for each distinct text stays.
+    """
+    groups = cut(similar_groups(docs, words, radius, similarity), "groups")
+    kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("keeper"))).select(F.col("doc_id").alias("k_id"), "text_hash").distinct()
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    doc, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    rows = rows.withColumn("h", F.xxhash64(F.coalesce(text, F.lit(""))))
+    left = rows.join(kept, (rows["h"] == kept["text_hash"]) & doc.eqNullSafe(kept["k_id"]), "left_semi")
+    again = groups.groupBy("doc_id", "text_hash").count().filter("count > 1")
+    if again.isEmpty():
+        return left.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
+    left = left.dropDuplicates(["h", names[docs.columns.index("doc_id")]])
+    return left.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: classes of all documents at four words and four bits."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
