@@ -1,0 +1,77 @@
+import math
+
+import numpy as np
+from tabulon.llm.neighbors import BlockIndex, Projection, chi_square_quantile, nearest
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, v int, block int")
+
+
+def vectors(n, dims=16, seed=0, scale=False):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims)).astype(np.float32)
+    return x * rng.uniform(0.5, 3, size=(n, 1)).astype(np.float32) if scale else x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def rows_of(x, ids=None):
+    return [(int(i), [float(v) for v in r], 0, 1, 2) for i, r in zip(range(len(x)) if ids is None else ids, x)]
+
+
+def recall(spark, x, k=10, **kw):
+    found = nearest(frame(spark, rows_of(x)), k=k, **kw).collect()
+    d = x.astype(float)
+    hit = total = 0
+    for q in range(0, len(x), 20):
+        score = d @ d[q]
+        score[q] = -np.inf
+        truth = set(np.argsort(-score)[:k].tolist())
+        own = sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["rank"] for r in own] == list(range(1, k + 1))
+        for r in own:
+            assert abs(r["score"] - float(d[q] @ d[r["vec_id"]])) < 1e-12
+        hit, total = hit + len(truth & {r["vec_id"] for r in own}), total + k
+    return hit / total
+
+
+def test_recall_unit_and_other_norms(spark):
+    assert recall(spark, vectors(1500)) >= 0.9
+    assert recall(spark, vectors(1500, seed=1, scale=True), block=400) >= 0.9
+
+
+def test_structured_data_is_pruned():
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(50, 32))
+    x = centers[rng.integers(0, 50, 5000)] + 0.05 * rng.normal(size=(5000, 32))
+    p = Projection.of(32, float(np.linalg.norm(x, axis=1).max()))
+    index = BlockIndex(np.arange(5000), x, p)
+    seen = [index.search(i, x[i], 10, chi_square_quantile(0.85, 6))[2] for i in range(0, 5000, 250)]
+    assert np.mean(seen) < 3500
+
+
+def test_chi_square_quantile():
+    for dims, p, want in ((2, 0.5, 2 * math.log(2)), (6, 0.95, 12.5916), (10, 0.9, 15.9872)):
+        assert abs(chi_square_quantile(p, dims) - want) < 1e-3
+
+
+def test_edges(spark):
+    x = vectors(30)
+    rows = rows_of(x) + [
+        (40, None, 0, 1, 2), (41, [0.0] * 16, 0, 1, 2), (42, [float("nan")] * 16, 0, 1, 2), (43, [None] + [1.0] * 15, 0, 1, 2),
+        (44, [1.0, 2.0], 0, 1, 2), (45, [float("inf")] * 16, 0, 1, 2), (None, [1.0] * 16, 0, 1, 2), (0, rows_of(x)[0][1], 0, 1, 2),
+        (60, rows_of(x)[7][1], 0, 1, 2), (46, [], 0, 1, 2),
+    ]
+    found = nearest(frame(spark, rows), k=50).collect()
+    by = {}
+    for r in found:
+        by.setdefault(r["query_id"], []).append(r)
+    assert set(by) == {0, 20, 60}
+    assert {r["vec_id"] for r in found} <= {*range(30), 60}
+    assert len(by[0]) == 30 and len(by[20]) == 31 and len(by[60]) == 31  # a repeated id is a candidate twice
+    first = sorted(by[60], key=lambda r: r["rank"])[0]
+    assert first["vec_id"] == 7
+    tie = sorted(by[20], key=lambda r: r["rank"])
+    at = [r["vec_id"] for r in tie]
+    assert at.index(7) + 1 == at.index(60)  # equal scores: the smaller id first
+    assert nearest(frame(spark, [])).count() == 0
+    assert nearest(frame(spark, rows_of(x[:1]))).count() == 0
