@@ -18,6 +18,8 @@ from tabulon.plans.partials import blocks, matrix, summed
 from tabulon.plans.positions import with_positions
 
 log = logging.getLogger(__name__)
+#: Values (rows times features) up to which all rounds run on one array on the driver: at most 16 MB, and no jobs between rounds.
+LOCAL_CELLS = 1 << 21
 #: Up to so many centre coordinates, distances are SQL projections; beyond, NumPy over Arrow blocks.
 SQL_CELLS = 16
 
@@ -32,6 +34,107 @@ def _pieces(x: np.ndarray, most: int = 1 << 14):
         yield x[i : i + most]
 
 
+def _by_pieces(fn, size: int):
+    """``fn`` of a block's vectors, added up over pieces of bounded size."""
+
+    def run(columns: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(size)
+        for piece in _pieces(columns[-1]):
+            out += fn(piece)
+        return out
+
+    return run
+
+
+def _inertia_of(centers: np.ndarray):
+    return lambda x: np.array([squared_distances(x, centers).min(axis=1).sum()])
+
+
+class _Running:
+    """Running sums of a value over rows in order of position; ``pot`` is the last."""
+
+    def __init__(self, ends: np.ndarray, within):
+        self._ends, self._within = ends, within
+        self.pot = float(ends[-1])
+
+    def reached(self, draws: list[float]) -> list[int]:
+        """The first position whose running sum reaches each draw."""
+        band = np.minimum(np.searchsorted(self._ends, draws, "left"), len(self._ends) - 1).tolist()
+        if self._within is None:
+            return band
+        held = self._within(sorted(set(band)))
+        out = []
+        for draw, b in zip(draws, band):
+            first, values = held[b]
+            before = float(self._ends[b - 1]) if b else 0.0
+            out.append(first + min(int(np.searchsorted(before + np.cumsum(values), draw, "left")), len(values) - 1))
+        return out
+
+
+class _LocalPoints:
+    """All vectors in one array, in the order of their keys; at most ``LOCAL_CELLS`` values."""
+
+    def __init__(self, rows: DataFrame):
+        table = rows.orderBy("_key").select("x").toArrow()
+        self._x = matrix(table.column("x").combine_chunks())
+
+    def summed(self, fn, size: int) -> np.ndarray:
+        return _by_pieces(fn, size)([self._x])
+
+    def rows(self, positions: list[int]) -> np.ndarray:
+        return self._x[positions]
+
+    def running(self, value) -> _Running:
+        return _Running(np.cumsum(np.concatenate([value(x) for x in _pieces(self._x)])), None)
+
+    def release(self) -> None:
+        pass
+
+
+class _SpreadPoints:
+    """Vectors with their positions, persisted in the cluster."""
+
+    def __init__(self, rows: DataFrame, n: int):
+        self._frame = with_positions(rows, "_key").select("position", "x").persist()
+        self._n, self._band = n, max(1024, math.isqrt(n))  # bands are few, and each is small
+
+    def summed(self, fn, size: int) -> np.ndarray:
+        return summed(self._frame.select("x"), _by_pieces(fn, size), size)
+
+    def rows(self, positions: list[int]) -> np.ndarray:
+        found = {r["position"]: r["x"] for r in self._frame.filter(F.col("position").isin(sorted(set(positions)))).collect()}
+        return np.array([found[p] for p in positions], dtype=float)
+
+    def running(self, value) -> _Running:
+        """Sums over bands of consecutive positions now, rows of single bands when they are asked for."""
+        size = self._band
+
+        def run(batches):
+            out: dict[int, float] = {}
+            for position, x in blocks(batches):
+                keys, at = np.unique(position // size, return_inverse=True)
+                weights = np.concatenate([value(p) for p in _pieces(x)])
+                for k, s in zip(keys.tolist(), np.bincount(at, weights=weights).tolist()):
+                    out[k] = out.get(k, 0.0) + s
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.float64())], ["band", "s"])
+
+        sums = np.zeros(-(-self._n // size))
+        for r in self._frame.mapInArrow(run, "band long, s double").groupBy("band").agg(F.sum("s").alias("s")).collect():
+            sums[r["band"]] = r["s"]
+
+        def within(bands: list[int]) -> dict[int, tuple[int, np.ndarray]]:
+            wanted = F.floor(F.col("position") / size).cast("long").isin(bands)
+            held: dict[int, list] = {b: [] for b in bands}
+            for r in self._frame.filter(wanted).collect():  # a few bands of about sqrt(n) rows
+                held[r["position"] // size].append((r["position"], r["x"]))
+            return {b: (b * size, value(np.array([x for _, x in sorted(own)], dtype=float))) for b, own in held.items()}
+
+        return _Running(np.cumsum(sums), within)
+
+    def release(self) -> None:
+        self._frame.unpersist()
+
+
 class KMeans(Estimator):
     """Lloyd's rounds from k-means++ or random centres.
 
@@ -78,10 +181,11 @@ class KMeans(Estimator):
         if n < self.n_clusters:
             raise ValueError(f"n_samples={n} should be >= n_clusters={self.n_clusters}")
         key = F.col(id_col) if id_col else found.vector()
-        points = with_positions(df.select(key.alias("_key"), found.vector().alias("x")), "_key").select("position", "x").persist()
+        rows = df.select(key.alias("_key"), found.vector().alias("x"))
+        points = _LocalPoints(rows) if n * found.width <= LOCAL_CELLS else _SpreadPoints(rows, n)
         try:
-            mean = summed(points.select("x"), lambda c: c[0].sum(axis=0), found.width) / n
-            spread = summed(points.select("x"), lambda c: ((c[0] - mean) ** 2).sum(axis=0), found.width) / n
+            mean = points.summed(lambda x: x.sum(axis=0), found.width) / n
+            spread = points.summed(lambda x: ((x - mean) ** 2).sum(axis=0), found.width) / n
             limit = self.tol * float(spread.mean())
             best = None
             for run in range(self.runs):
@@ -91,17 +195,12 @@ class KMeans(Estimator):
                 if best is None or result[1] < best[1]:
                     best = result
         finally:
-            points.unpersist()
+            points.release()
         self.cluster_centers_, self.inertia_, self.n_iter_ = best
         self._features, self._fit_rows = found, df
         return self
 
-    def _rows(self, points: DataFrame, positions: list[int]) -> np.ndarray:
-        """The vectors at ``positions``, in that order."""
-        found = {r["position"]: r["x"] for r in points.filter(F.col("position").isin(sorted(set(positions)))).collect()}
-        return np.array([found[p] for p in positions], dtype=float)
-
-    def _random(self, points: DataFrame, n: int, rng: Pcg32) -> np.ndarray:
+    def _random(self, points: _LocalPoints | _SpreadPoints, n: int, rng: Pcg32) -> np.ndarray:
         """The first entries of a shuffle; ``moved`` holds only the places that a swap has touched."""
         moved: dict[int, int] = {}
         chosen = []
@@ -109,89 +208,36 @@ class KMeans(Estimator):
             j = i + rng.below(n - i)
             chosen.append(moved.get(j, j))
             moved[j] = moved.get(i, i)
-        return self._rows(points, chosen)
+        return points.rows(chosen)
 
-    def _plus_plus(self, points: DataFrame, n: int, rng: Pcg32) -> np.ndarray:
+    def _plus_plus(self, points: _LocalPoints | _SpreadPoints, n: int, rng: Pcg32) -> np.ndarray:
         """Each next centre is the best of a few rows drawn by their squared distance to the nearest centre so far."""
-        centers = self._rows(points, [rng.below(n)])
+        centers = points.rows([rng.below(n)])
         trials = 2 + math.floor(math.log(self.n_clusters))
         while len(centers) < self.n_clusters:
-            bands = self._band_sums(points, centers, n)
-            pot = float(bands.sum())
-            if pot == 0:
-                candidates = self._rows(points, [rng.below(n)])
+            now = centers
+            nearest = lambda x: squared_distances(x, now).min(axis=1)  # noqa: E731, B023
+            ends = points.running(nearest)
+            if ends.pot == 0:
+                candidates = points.rows([rng.below(n)])
             else:
-                draws = [rng.uniform() * pot for _ in range(trials)]
-                candidates = self._rows(points, self._drawn(points, centers, bands, draws, n))
-            nearest = lambda x: squared_distances(x, centers).min(axis=1)  # noqa: E731, B023
-
-            def pots(c, rows=candidates, near=nearest):
-                out = np.zeros(len(rows))
-                for x in _pieces(c[0]):
-                    out += np.minimum(near(x)[:, None], squared_distances(x, rows)).sum(axis=0)
-                return out
-
-            totals = summed(points.select("x"), pots, len(candidates))
+                candidates = points.rows(ends.reached([rng.uniform() * ends.pot for _ in range(trials)]))
+            pots = lambda x: np.minimum(nearest(x)[:, None], squared_distances(x, candidates)).sum(axis=0)  # noqa: E731, B023
+            totals = points.summed(pots, len(candidates))
             centers = np.vstack([centers, candidates[int(np.argmin(totals))]])
         return centers
 
-    @staticmethod
-    def _band(n: int) -> int:
-        """Positions a band has, so that bands are few and each is small."""
-        return max(1024, math.isqrt(n))
-
-    def _band_sums(self, points: DataFrame, centers: np.ndarray, n: int) -> np.ndarray:
-        """Squared distances to the nearest centre, added up over bands of consecutive positions."""
-        size = self._band(n)
-        count = -(-n // size)
-
-        def run(batches):
-            out: dict[int, float] = {}
-            for position, x in blocks(batches):
-                near = squared_distances(x, centers).min(axis=1)
-                keys, at = np.unique(position // size, return_inverse=True)
-                for k, s in zip(keys.tolist(), np.bincount(at, weights=near).tolist()):
-                    out[k] = out.get(k, 0.0) + s
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.float64())], ["band", "s"])
-
-        sums = np.zeros(count)
-        parts = points.select("position", "x").mapInArrow(run, "band long, s double")
-        for r in parts.groupBy("band").agg(F.sum("s").alias("s")).collect():
-            sums[r["band"]] = r["s"]
-        return sums
-
-    def _drawn(self, points: DataFrame, centers: np.ndarray, bands: np.ndarray, draws: list[float], n: int) -> list[int]:
-        """The first position whose running sum reaches each draw: its band from ``bands``, the row by a scan of that band."""
-        size, ends = self._band(n), np.cumsum(bands)
-        which = np.minimum(np.searchsorted(ends, draws, "left"), len(bands) - 1)
-        held = {}
-        wanted = F.floor(F.col("position") / size).cast("long").isin(sorted({int(b) for b in which}))
-        for r in points.filter(wanted).select("position", "x").collect():  # a few bands of about sqrt(n) rows
-            held.setdefault(r["position"] // size, []).append((r["position"], r["x"]))
-        out = []
-        for draw, band in zip(draws, which.tolist()):
-            rows = sorted(held[band])
-            near = squared_distances(np.array([x for _, x in rows], dtype=float), centers).min(axis=1)
-            before = float(ends[band - 1]) if band else 0.0
-            at = int(np.searchsorted(before + np.cumsum(near), draw, "left"))
-            out.append(min(rows[min(at, len(rows) - 1)][0], n - 1))
-        return out
-
-    def _lloyd(self, points: DataFrame, centers: np.ndarray, limit: float) -> tuple[np.ndarray, float, int]:
+    def _lloyd(self, points: _LocalPoints | _SpreadPoints, centers: np.ndarray, limit: float) -> tuple[np.ndarray, float, int]:
         k, p = centers.shape
         rounds = 0
         for rounds in range(1, self.max_iter + 1):
 
-            def sums(c, now=centers):
-                out = np.zeros((k, p + 1))
-                for x in _pieces(c[0]):
-                    label = squared_distances(x, now).argmin(axis=1)
-                    out[:, p] += np.bincount(label, minlength=k)
-                    for j in range(p):
-                        out[:, j] += np.bincount(label, weights=x[:, j], minlength=k)
-                return out.ravel()
+            def sums(x, now=centers):
+                label = squared_distances(x, now).argmin(axis=1)
+                columns = [np.bincount(label, weights=x[:, j], minlength=k) for j in range(p)]
+                return np.stack([*columns, np.bincount(label, minlength=k)], axis=1).astype(float).ravel()
 
-            table = summed(points.select("x"), sums, k * (p + 1)).reshape(k, p + 1)
+            table = points.summed(sums, k * (p + 1)).reshape(k, p + 1)
             size = table[:, p:]
             if (size == 0).any():
                 log.warning("%d clusters have no rows; their centres move to the origin", int((size == 0).sum()))
@@ -200,12 +246,7 @@ class KMeans(Estimator):
             centers = new
             if shift <= limit:
                 break
-        return centers, self._inertia(points, centers), rounds
-
-    @staticmethod
-    def _inertia(points: DataFrame, centers: np.ndarray) -> float:
-        """Squared distances of all rows to their nearest centre, added up."""
-        return float(summed(points.select("x"), lambda c: np.array([sum(squared_distances(x, centers).min(axis=1).sum() for x in _pieces(c[0])) or 0.0]), 1)[0])
+        return centers, float(points.summed(_inertia_of(centers), 1)[0]), rounds
 
     def fit_predict(self, df: DataFrame, features: str | list[str], id_col: str | None = None, output: str = "prediction") -> DataFrame:
         return self.fit(df, features, id_col).predict(df, output=output)
@@ -256,7 +297,7 @@ class KMeans(Estimator):
     def score(self, df: DataFrame, features: str | list[str] | None = None) -> float:
         """The negative inertia of ``df``."""
         found = self._of(df, features)
-        return -self._inertia(df.select(found.vector().alias("x")), self.cluster_centers_)
+        return -float(summed(df.select(found.vector().alias("x")), _by_pieces(_inertia_of(self.cluster_centers_), 1), 1)[0])
 
     def centers_df(self, spark) -> DataFrame:
         """``cluster, center``."""

@@ -3,6 +3,7 @@ import pytest
 from helpers import frame, names, values
 
 from tabulon import KMeans
+import tabulon.operators.cluster as cluster
 from tabulon.functions.pcg import Pcg32
 from tabulon.operators.cluster import squared_distances
 
@@ -50,8 +51,10 @@ def test_generator():
 
 
 @pytest.mark.parametrize("init", ["k-means++", "random"])
-@pytest.mark.parametrize("seed", [0, 42])
-def test_same_as_serial(spark, init, seed):
+@pytest.mark.parametrize("seed,local", [(0, True), (42, True), (42, False)])
+def test_same_as_serial(spark, monkeypatch, init, seed, local):
+    if not local:
+        monkeypatch.setattr(cluster, "LOCAL_CELLS", 0)
     x = blobs()
     m = KMeans(n_clusters=4, init=init, n_init=1, random_state=seed).fit(frame(spark, x), names(x), id_col="id")
     c, inertia, it = serial(x, 4, init, seed)
