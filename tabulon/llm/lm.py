@@ -36,8 +36,8 @@ from tabulon.llm.words import hash_words, mix
 FREQUENT = 1 << 18
 HOLD_OUT = 7, 2
 #: Tokens in a batch, and in a part of the hash range (about).
-BATCH_TOKENS = 1_500_000
-PART_TOKENS = 6_000_000
+BATCH_TOKENS = 1_000_000
+PART_TOKENS = 2_000_000
 HOT_SHARE = 1 << 14
 END = np.uint64(0x2545F4914F6CDD1D)
 _RARE = np.uint64(1 << 63)
@@ -366,17 +366,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 own = [(batch, _unpack(data)) for _, batch, what, data in group if what == kind_]
                 if not own:
                     continue
-                keys = np.concatenate([x[0] for _, x in own])
-                n, learnt = (np.concatenate([x[i] for _, x in own]) for i in (2, 3))
-                keys, inverse, c = _sum_equal(keys, n.astype(np.float64) * learnt)
+                keys, inverse = np.unique(np.concatenate([x[0] for _, x in own]), return_inverse=True)
+                learnt = np.concatenate([x[2] * x[3] for _, x in own])
+                c = np.bincount(inverse, weights=learnt, minlength=len(keys))
                 logs = m.logs(keys, c) if kind_ == 0 else np.log10((c + 1) / m.vocab.base)
-                worth, seen, at = logs[inverse] * n, (c[inverse] > 0) * n, 0
-                for batch, (k, o, *_) in own:
-                    part = slice(at, at + len(k))
+                at = 0
+                for batch, (k, o, n, _) in own:
+                    where = inverse[at : at + len(k)]
                     at += len(k)
-                    docs_, where = np.unique(o, return_inverse=True)
-                    sums = [np.bincount(where, weights=x[part]) for x in ((worth,) if kind_ == 0 else (worth, seen))]
+                    docs_, doc = np.unique(o, return_inverse=True)
+                    sums = [np.bincount(doc, weights=logs[where] * n)]
+                    if kind_ == 1:
+                        sums.append(np.bincount(doc, weights=(c[where] > 0) * n))
                     out.append((batch, kind_, _pack(docs_, *sums)))
+                del own, keys, inverse, learnt, c, logs
             for i in range(0, len(out), 64):
                 kinds = (pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64]), kinds)], ["batch", "what", "data"])
