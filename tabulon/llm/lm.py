@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import column_bytes, crc_mod, cut
+from tabulon.llm.common import column_bytes, crc_mod, cut, drop_cut
 from tabulon.llm.words import hash_words, mix
 
 FREQUENT = 1 << 18
@@ -217,6 +217,7 @@ def vocabulary(train: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
     known = counts.filter(level >= least).toPandas()  # ``frequent`` rows at most
     words = known["word"].to_numpy(dtype=np.int64).view(np.uint64)
     order = np.argsort(words)
+    drop_cut(counts)
     tokens, types = sum(r["tokens"] for r in bins), sum(r["types"] for r in bins)
     return Vocabulary(Lookup(words[order]), known["n"].to_numpy(dtype=np.int64)[order], tokens, types, train.count())
 
@@ -341,6 +342,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             easy = at >= 0
             logs = m.logs(keys[easy], m.hot_counts[at[easy]])
             total = np.bincount(owner[easy], weights=logs, minlength=docs_)
+            base, total = base.astype(np.float64), total.astype(np.float64)  # counts of nothing come as integers
             sizes = np.bincount(owner, minlength=docs_)
             batch = here | nth
             out = [(int(batch % parts), batch, 2, pickle.dumps(([r[0] for r in rows], held, sizes, known, base, total)))]
