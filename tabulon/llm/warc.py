@@ -27,11 +27,15 @@ LEAST = 1000
 #: Payload bytes that one archive holds, about (a longer record stands in its own).
 ARCHIVE_BYTES = 8 << 20
 _DATE = "2024-01-01T00:00:00Z"
+_NO_ID = -(1 << 63)
 _PARSED = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
 
 
-def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """``pages`` (page_id, url, html) with payload_digest, payload_bytes, record_type and refers_to."""
+def decide(pages: DataFrame, least: int = LEAST, parts: int | None = None) -> DataFrame:
+    """``pages`` (page_id, url, html) with payload_digest, payload_bytes, record_type and refers_to.
+
+    Payloads move once, dealt by digest and page to ``parts`` partitions; decisions come to them.
+    """
     body = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
@@ -47,8 +51,12 @@ def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
         .filter("copies > 1")
         .select("payload_digest", "original")
     )
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original")) & (F.col("payload_bytes") >= least)
-    return rows.join(originals, "payload_digest", "left").select(
+    revisit = F.col("original").isNotNull()
+    own = rows.select("payload_digest", "page_id").join(originals, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("original")))
+    own = own.select("payload_digest", F.coalesce("page_id", F.lit(_NO_ID)).alias("key"), "original").distinct()
+    rows = rows.withColumn("key", F.coalesce("page_id", F.lit(_NO_ID)))
+    rows = rows.repartition(parts, "payload_digest", "key") if parts else rows
+    return rows.join(own, ["payload_digest", "key"], "left").select(
         "page_id",
         "url",
         "html",
@@ -61,8 +69,9 @@ def decide(pages: DataFrame, least: int = LEAST) -> DataFrame:
 
 def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """Writes a WARC record for each row of ``pages`` under ``path``, gzipped."""
-    decided = decide(pages, least)
     total = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 600)).first()[0] or 0
+    archives = int(max(1, -(-total // archive_bytes)))
+    decided = decide(pages, least, archives)
     end = "\r\n"
     urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">")), F.lit("<urn:page:none>"))
     is_revisit = F.col("record_type") == "revisit"
@@ -81,13 +90,7 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_byte
         F.when(is_revisit, F.lit("")).otherwise(F.col("html")),
         F.lit("\r\n\r"),
     )
-    archives = max(1, -(-total // archive_bytes))
-    (
-        decided.select(record.alias("value"), F.xxhash64("page_id", "payload_digest").alias("deal"))
-        .repartition(int(archives), "deal")
-        .select("value")
-        .write.option("lineSep", "\n").option("compression", "gzip").text(path)
-    )
+    decided.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
