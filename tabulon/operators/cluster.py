@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tabulon.functions.literals import double
 from tabulon.functions.pcg import WORD, Pcg32
@@ -262,22 +264,17 @@ class KMeans(Estimator):
     def _squared(self, features: Features) -> list[str]:
         return [" + ".join(f"pow({e} - {double(v)}, 2)" for e, v in zip(features.sql(), c)) for c in self.cluster_centers_]
 
-    def _mapped(self, df: DataFrame, features: Features, output: str, kind: str, fn) -> DataFrame:
-        """``df`` with a column that NumPy computes from the vectors."""
-        x, centers = "_x", self.cluster_centers_
+    def _mapped(self, df: DataFrame, features: Features, output: str, kind: T.DataType, fn) -> DataFrame:
+        """``df`` with a column that NumPy computes from each vector's squared distances."""
+        centers, arrow = self.cluster_centers_, to_arrow_type(kind)
 
         def run(batches):
             for batch in batches:
-                rows = matrix(batch.column(batch.num_columns - 1))
-                found = np.concatenate([fn(squared_distances(p, centers)) for p in _pieces(rows)]) if batch.num_rows else np.zeros((0, len(centers)))
-                column = pa.array(list(found)) if found.ndim == 2 and len(found) else pa.array(found if found.ndim == 1 else [], pa.list_(pa.float64()) if kind.startswith("array") else pa.int64())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], column], [*batch.schema.names[:-1], output])
+                found = [r for p in _pieces(matrix(batch.column(batch.num_columns - 1))) for r in fn(squared_distances(p, centers))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], [*batch.schema.names[:-1], output])
 
-        wide = df.withColumn(x, features.vector())
-        from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
-
-        last = StructField(output, ArrayType(DoubleType()) if kind.startswith("array") else LongType())
-        return wide.mapInArrow(run, StructType([*df.schema.fields, last]))
+        wide = df.withColumn("_x", features.vector())
+        return wide.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(output, kind)]))
 
     def predict(self, df: DataFrame, features: str | list[str] | None = None, output: str = "prediction") -> DataFrame:
         """``df`` with the nearest centre's number, the lowest of equally near ones."""
@@ -285,14 +282,14 @@ class KMeans(Estimator):
         if self.cluster_centers_.size <= SQL_CELLS:
             pairs = ", ".join(f"struct({d} AS d, {j}L AS k)" for j, d in enumerate(self._squared(found)))
             return df.withColumn(output, F.expr(f"array_min(array({pairs})).k"))
-        return self._mapped(df, found, output, "long", lambda d: d.argmin(axis=1))
+        return self._mapped(df, found, output, T.LongType(), lambda d: d.argmin(axis=1))
 
     def transform(self, df: DataFrame, features: str | list[str] | None = None, output: str = "distances") -> DataFrame:
         """``df`` with an array of distances to all centres."""
         found = self._of(df, features)
         if self.cluster_centers_.size <= SQL_CELLS:
             return df.withColumn(output, F.expr(f"array({', '.join(f'sqrt({d})' for d in self._squared(found))})"))
-        return self._mapped(df, found, output, "array", np.sqrt)
+        return self._mapped(df, found, output, T.ArrayType(T.DoubleType()), np.sqrt)
 
     def score(self, df: DataFrame, features: str | list[str] | None = None) -> float:
         """The negative inertia of ``df``."""
