@@ -80,6 +80,13 @@ def column_bytes(col: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary()).to_pylist()]
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut into short ones, so that few texts are Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def chunks_of(items: list[bytes], most: int) -> Iterator[tuple[int, int]]:
     """Index ranges whose lengths sum to at most ``most`` bytes (one longer item stands alone)."""
     start, total = 0, 0

@@ -1,8 +1,7 @@
 """Benchmark decontamination by spaced seeds.
 
 A mask ignores fixed positions of a word window; two windows that agree elsewhere share the mask's hash. The masks of ``MASKS``
-together hit any 13 aligned words of which at most two are substituted (13 words are the least overlap that counts,
-and 80 % of its words must agree). Hashes of the benchmark's windows form a table of bounded blocks; every document's
+together hit any overlap that counts: 13 aligned words or more of which 80 % agree. Hashes of the benchmark's windows form a table of bounded blocks; every document's
 windows are looked up, and around each hit the two texts are laid side by side at that offset: the longest
 stretch that begins and ends with an equal word and has at least ``SIMILARITY`` equal words is the overlap.
 
@@ -21,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import column_bytes
+from tabulon.llm.common import column_bytes, slices
 from tabulon.llm.words import hash_words, mix
 
-#: Positions that a mask looks at. Every choice of two substituted words among 13 leaves one mask a clean place.
-MASKS = ((0, 1, 2, 4, 6, 7), (0, 2, 6, 7, 8, 9))
+#: Positions that a mask looks at. In every stretch of 13 to 25 words that begins and ends with an equal word, one mask
+#: finds a place free of substitutions if at most a fifth of the words are substituted, wherever they are.
+MASKS = ((0, 1, 2, 3, 5, 6), (0, 1, 2, 6, 9, 10), (0, 1, 3, 4, 6, 8), (0, 1, 3, 5, 6, 7))
 LEAST = 13
 SIMILARITY = 0.8
 LEAST_ITEM = 5
@@ -159,7 +159,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOC
     def search(shared):
         def run(batches):
             table = shared.value
-            for batch in batches:
+            for batch in slices(batches):
                 texts, ids = column_bytes(batch.column(1)), batch.column(0).to_pylist()
                 rows = [
                     (ids[doc], table.item_ids[item], *rest) for doc, item, *rest in table.overlaps(*hash_words(texts))
@@ -191,7 +191,7 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def _keep(shared, at: int):
     def run(batches):
         table = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             hit = {doc for doc, *_ in table.overlaps(*hash_words(column_bytes(batch.column(at))))}
             yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import numpy as np
+import pytest
 from fixtures import docs_frame, empty, mixed_rows, words
 
 from tabulon.llm import decontaminate as D
@@ -29,9 +30,12 @@ def best_overlap(doc, item):
     return best
 
 
-def test_masks_hit_every_pair_of_substitutions():
-    for bad in itertools.combinations(range(D.LEAST), 2):
-        assert any(not any(s + p in bad for p in m) for m in D.MASKS for s in range(D.LEAST - m[-1]))
+@pytest.mark.parametrize("length,substituted", [(13, 2), (14, 2), (15, 3), (17, 3), (20, 4)])
+def test_masks_hit_every_overlap_that_counts(length, substituted):
+    shapes = [sum(1 << p for p in m) << s for m in D.MASKS for s in range(length - m[-1])]
+    for bad in itertools.combinations(range(1, length - 1), substituted):
+        hit = sum(1 << b for b in bad)
+        assert any(not shape & hit for shape in shapes)
 
 
 def test_word_hashes():
