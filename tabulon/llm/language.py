@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import chunks_of, column_bytes, crc_mod
+from tabulon.llm.common import chunks_of, column_bytes, crc_mod, slices
 
 ORDER = 3
-SAMPLE_DOCS = 1200
+SAMPLE_DOCS = 1000  # Spark cuts groups to so many rows before it deals them out, not to more
 SAMPLE_BYTES = 65_536
 HOLD_OUT = 4, 2
-_PIECE = 1 << 20
+_PIECE = 1 << 18
 _SLOTS = 20
 _MULTIPLIER = np.uint32(2654435769)
 
@@ -145,7 +145,7 @@ class LanguageModel:
 
 
 def _count(batches):
-    for batch in batches:
+    for batch in slices(batches):
         langs, texts = batch.column(0).to_pylist(), column_bytes(batch.column(1))
         for lang in sorted(set(langs)):
             quads = [quadruples(np.frombuffer(bytes(ORDER) + t, np.uint8)) for x, t in zip(langs, texts) if x == lang and t]
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, score = classify(shared.value, column_bytes(batch.column(at)))
             columns = [pa.array(names, pa.string()), pa.array(score)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score"])
@@ -215,7 +215,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, least: float = 0.5) -
     at = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             names, score = classify(shared.value, column_bytes(batch.column(at)))
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(names, score)], pa.bool_()))
 
