@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import column_bytes, cut
+from tabulon.llm.common import column_bytes, cut, slices
 from tabulon.llm.graph import components
 
 WORDS = 4
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
     kept = [i for i in range(len(docs.columns)) if i != at]
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [fingerprint(t, words, seed) for t in column_bytes(batch.column(at))]
             columns = [batch.column(i) for i in kept]
             columns.append(pa.array(np.array(found, dtype=np.uint64).view(np.int64)))
@@ -270,11 +270,12 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 7, similarity:
     texts = texts.join(wanted, F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
 
     def sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in column_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["text_hash", "shingles"])
 
-    own = texts.mapInArrow(sets, "text_hash long, shingles array<long>")
+    # Written, so that both sides of the next joins are plain exchanges, which Spark splits where one text has many links.
+    own = cut(texts.mapInArrow(sets, "text_hash long, shingles array<long>"), "shingles")
     both = candidates.join(own.select(F.col("text_hash").alias("a"), F.col("shingles").alias("sa")), "a")
     both = both.join(own.select(F.col("text_hash").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
