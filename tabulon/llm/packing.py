@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import cut
+from tabulon.llm.common import cut, slices
 
 WINDOW = 2048
 END_ID = 1
-#: Blocks in which equal lengths are ranked.
+#: Blocks in which equal lengths are ranked, at least, and the pieces that one of them has, about.
 BLOCKS = 64
+BLOCK_PIECES = 500_000
 _TOKENIZED = "doc_tokens long, crcs array<long>"
 
 
@@ -63,7 +64,7 @@ def tokenize(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path:
 
     def run(batches):
         encode = encoder(path or vocabulary_path()).encode_ordinary
-        for batch in batches:
+        for batch in slices(batches):
             sizes, crcs = [], []
             for text in batch.column(1).to_pylist():
                 ids = np.array([*encode(text or ""), end_id], dtype=np.uint32)
@@ -132,9 +133,10 @@ def _segments(patterns: list[tuple[dict[int, int], int]]) -> tuple[list[tuple[in
     return rows, sequence
 
 
-def _ranked(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds ``rank``: from 0 within ``keys``, counted in hashed blocks first."""
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "crc", "doc_tokens", "start"), F.lit(BLOCKS)).cast("int"))
+def _ranked(pieces: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Adds ``rank``: from 0 within ``keys``, counted in hashed blocks first; ``total`` is the number of pieces, about."""
+    blocks = max(BLOCKS, -(-total // BLOCK_PIECES))
+    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "crc", "doc_tokens", "start"), F.lit(blocks)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = pieces.groupBy(*keys, "block").agg(F.count("*").alias("n"))
     starts = starts.select(*keys, "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
@@ -149,10 +151,11 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
     spark = docs.sparkSession
     tokens = cut(tokenize(docs, window, end_id, path), "tokens")  # tokenised once, read twice
     rest = F.col("doc_tokens") % window
-    histogram = {
-        r["length"]: r["n"]
-        for r in tokens.filter(rest > 0).groupBy(rest.cast("int").alias("length")).agg(F.count("*").alias("n")).collect()
-    }
+    counted = tokens.groupBy(rest.cast("int").alias("length")).agg(
+        F.count("*").alias("n"), F.sum(F.floor(F.col("doc_tokens") / window)).alias("whole")
+    )
+    counted = counted.collect()  # a row for each remaining length: ``window`` at most
+    histogram = {r["length"]: r["n"] for r in counted if r["length"]}
     rows, sequences = _segments(plan(histogram, window))
     pieces = tokens.select("doc_id", "doc_tokens", F.posexplode("crcs").alias("at", "crc")).select(
         "doc_id",
@@ -162,12 +165,12 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path: str
         "doc_tokens",
     )
     out = ["doc_id", "start", "length", F.col("crc").alias("ids_crc32"), "doc_tokens"]
-    whole = _ranked(pieces.filter(F.col("length") == window).withColumn("all", F.lit(0)), ["all"]).select(
+    whole = _ranked(pieces.filter(F.col("length") == window).withColumn("all", F.lit(0)), ["all"], sum(r["whole"] for r in counted)).select(
         *out, (F.col("rank") + sequences).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
     schema = "seg_length long, first long, last long, each long, sequence long, base_offset long"
     segments = spark.createDataFrame(rows, schema)
-    parts = _ranked(pieces.filter(F.col("length") < window), ["length"])
+    parts = _ranked(pieces.filter(F.col("length") < window), ["length"], sum(histogram.values()))
     place = F.col("rank") - F.col("first")
     found = (F.col("length") == F.col("seg_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("last"))
     packed = parts.join(F.broadcast(segments), found).select(  # segments: bounded by the window, not by the input
