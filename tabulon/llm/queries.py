@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op7_suffix_dedup": repeats.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
 }

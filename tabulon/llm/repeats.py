@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import chunks_of, column_bytes, cut
+from tabulon.llm.common import chunks_of, column_bytes, cut, slices
 from tabulon.llm.suffixes import permuted_prefixes, suffix_array
 from tabulon.llm.words import mix
 
@@ -33,6 +33,8 @@ GRAM = 24
 SHARD_BYTES = 2 << 20
 #: Places of one gram beyond which its windows are compared by hash.
 HOT = 10_000
+#: Parts into which the places of one window are dealt.
+SALTS = 16
 _PIECE = 1 << 19
 _POWERS = [np.uint64(pow(0x9E3779B97F4A7C15, k, 1 << 64)) for k in (1, 2, 4, 8)]
 
@@ -172,7 +174,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _find_anchors(batches):
-    for batch in batches:
+    for batch in slices(batches):
         keys = batch.column(1)
         owner, at, h = text_anchors(column_bytes(batch.column(0)))
         columns = [keys.take(pa.array(owner)), pa.array(at.astype(np.int32)), pa.array(h.view(np.int64))]
@@ -182,7 +184,7 @@ def _find_anchors(batches):
 def _squeeze(batches):
     import zstandard as zstd
 
-    for batch in batches:
+    for batch in slices(batches):
         c = zstd.ZstdCompressor(level=1)
         yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([c.compress(t) for t in column_bytes(batch.column(0))])], ["tkey", "z"])
 
@@ -196,7 +198,7 @@ def _texts(column) -> list[bytes]:
 
 def _around(batches):
     """The surroundings of each anchor that isn't hot."""
-    for batch in batches:
+    for batch in slices(batches):
         keys, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         rows = []
         for key, text, at in zip(keys, _texts(batch.column(1)), places):
@@ -236,7 +238,7 @@ def _search(shard_bytes: int):
 
 def _hot_windows(batches):
     """128-bit hashes of all windows around hot anchors."""
-    for batch in batches:
+    for batch in slices(batches):
         keys, places = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         if not any(p["hot"] for at in places for p in at):
             continue
@@ -255,7 +257,7 @@ def _merge_into(texts: bool):
     """Bytes removed, runs and digest of each text; with ``texts`` also what is left, cut between characters only."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for key, text, spans in zip(batch.column(0).to_pylist(), _texts(batch.column(1)), batch.column(2).to_pylist()):
                 starts, ends = merge_spans(
@@ -312,8 +314,10 @@ def repeat_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int = HOT
     spans = pieces.repartition(int(shards), "hash").sortWithinPartitions("hash").mapInArrow(_search(shard_bytes), _SPANS)
     windows = candidates.mapInArrow(_hot_windows, "window binary, tkey binary, start long")
     spot = F.xxhash64("tkey", "start")
-    twice = windows.groupBy("window").agg(F.min(spot).alias("least"), F.max(spot).alias("most")).filter("least <> most").select("window")
-    by_hash = windows.join(twice, "window").select("tkey", "start", (F.col("start") + LENGTH).alias("end"))
+    twice = windows.groupBy("window").agg(F.min(spot).alias("least"), F.max(spot).alias("most")).filter("least <> most")
+    salted = twice.select("window", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = windows.withColumn("salt", F.pmod(spot, F.lit(SALTS)).cast("int"))  # a window may be in very many places
+    by_hash = dealt.join(salted, ["window", "salt"]).select("tkey", "start", (F.col("start") + LENGTH).alias("end"))
     return candidates, spans.unionByName(by_hash)
 
 
@@ -361,3 +365,20 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int = H
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: what repeated 200-byte strings leave of each document."""
     return repeat_digest(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: Every window by its md5, on hexadecimal text, two digits a byte.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM d WHERE length(h) >= 400)),
+r AS (SELECT doc_id, p FROM w WHERE k IN (SELECT k FROM w GROUP BY k HAVING count(*) > 1)),
+g AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM r),
+n AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM g),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 200 AS b FROM n GROUP BY doc_id, run),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+t AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last FROM s GROUP BY doc_id),
+k AS (SELECT doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
