@@ -158,9 +158,13 @@ def _count(batches):
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
     """``docs`` (doc_id, text, lang): the rows to learn from; null languages are ignored."""
     rows = docs.filter(F.col("lang").isNotNull() & F.octet_length("text").between(1, sample_bytes))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "n")
-    ids = rows.select("doc_id", "lang", F.octet_length("text").alias("n")).withColumn("r", F.row_number().over(by_hash))
-    ids = ids.filter(F.col("r") <= sample_docs).select("doc_id", F.col("lang").alias("l"), "n").distinct()
+    # A share of each language's rows, some three times the sample, is ranked; a common language is no large group.
+    shares = rows.groupBy(F.col("lang").alias("l")).agg((3.0 * sample_docs / F.count("*")).alias("share"))
+    key = F.xxhash64("doc_id", F.lit(11))
+    ids = rows.select("doc_id", "lang", F.octet_length("text").alias("n"), key.alias("key")).join(F.broadcast(shares), F.col("lang") == F.col("l"))
+    ids = ids.filter(F.pmod("key", F.lit(1 << 20)) < F.col("share") * (1 << 20))
+    by_hash = Window.partitionBy("l").orderBy("key", "doc_id", "n")
+    ids = ids.withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= sample_docs).select("doc_id", "l", "n").distinct()
     chosen = rows.join(
         F.broadcast(ids),
         rows["doc_id"].eqNullSafe(ids["doc_id"]) & (rows["lang"] == ids["l"]) & (F.octet_length(rows["text"]) == ids["n"]),
