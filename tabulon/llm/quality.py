@@ -15,10 +15,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import column_bytes, crc_mod
@@ -111,18 +112,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     n0, n1 = counts.get(0, 0), counts.get(1, 0)
     prior = QualityModel(None, None, 0.0, math.log((n1 + 1) / (n0 + 1)))
     short = docs.filter(F.octet_length("text").between(1, sample_bytes)).select("doc_id", F.octet_length("text").alias("n"))
-    by_hash = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "n")
-    chosen = one.join(short, "doc_id").withColumn("r", F.row_number().over(by_hash)).filter(F.col("r") <= sample_docs)
-    chosen = chosen.select("doc_id", "quality", "n", "r")  # at most 2 * sample_docs rows
+    found = one.join(short, "doc_id")
+    by_hash = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id"), F.col("n")]
+    picked = [found.filter(F.col("quality") == c).orderBy(*by_hash).limit(sample_docs) for c in (0, 1)]
+    chosen = picked[0].unionByName(picked[1])  # at most 2 * sample_docs rows
     rows = (
         docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["doc_id"]) & (F.octet_length(docs["text"]) == chosen["n"]))
-        .select(chosen["quality"], chosen["r"], docs["text"])
-        .dropDuplicates(["quality", "r"])
+        .select(docs["doc_id"], chosen["quality"], docs["text"])
+        .dropDuplicates(["doc_id"])
         .collect()
     )
-    rows = sorted((r["quality"], r["r"], r["text"].encode()) for r in rows)
-    build = [[t for q, r, t in rows if q == c and r % 2] for c in (0, 1)]
-    tune = [(q, t) for q, r, t in rows if not r % 2]
+    rows = sorted((r["quality"], crc32(str(r["doc_id"]).encode()[::-1]), r["text"].encode()) for r in rows)
+    build = [[t for q, r, t in rows if q == c][::2] for c in (0, 1)]
+    tune = [(c, t) for c in (0, 1) for t in [t for q, r, t in rows if q == c][1::2]]
     if not (build[0] and build[1]) or len({q for q, _ in tune}) < 2:
         return prior
     bad, good = map(build_dictionary, build)
