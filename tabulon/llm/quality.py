@@ -1,7 +1,7 @@
 """Quality by compression: a dictionary of good and one of bad labelled text, the size difference, a calibrated score.
 
 Fitting takes a bounded sample of the labelled rows (``SAMPLE_DOCS`` a class, texts of at most ``SAMPLE_BYTES``, chosen by
-hash). One half of it builds two zstandard dictionaries; the other half calibrates: a logistic curve from the size
+hash). One half of it builds two zstandard dictionaries; the other half calibrates: a monotone curve from the size
 difference to the probability of label 1, reweighted to the shares that all training labels have. A text is
 compressed in blocks under both dictionaries, so that the dictionaries matter in long texts as much as in short
 ones; (bad - good) / (bad + good) over the summed sizes is the only input of the score.
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import column_bytes, crc_mod
+from tabulon.llm.common import column_bytes, crc_mod, slices
 
 SAMPLE_DOCS = 1500
 SAMPLE_BYTES = 65_536
-DICT_BYTES = 65_536
-BLOCK = 1024
+#: Small, so that a dictionary holds what a class has in common rather than single texts.
+DICT_BYTES = 16_384
+BLOCK = 512
 LEVEL = 3
 THRESHOLD = 0.3
 HOLD_OUT = 5
@@ -76,17 +77,41 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, steps: int = 100)
     return a / scale, b
 
 
+def fit_monotone(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weighted isotonic regression (pool adjacent violators): the ends of each level stretch and its height."""
+    values, where = np.unique(x, return_inverse=True)
+    weight = np.bincount(where, weights=w)
+    height = np.bincount(where, weights=w * y) / weight
+    pools: list[list[float]] = []  # first value, last value, height, weight
+    for v, h, n in zip(values.tolist(), height.tolist(), weight.tolist()):
+        pools.append([v, v, h, n])
+        while len(pools) > 1 and pools[-2][2] >= pools[-1][2]:
+            _, last, h2, n2 = pools.pop()
+            first, _, h1, n1 = pools[-1]
+            pools[-1] = [first, last, (h1 * n1 + h2 * n2) / (n1 + n2), n1 + n2]
+    return np.array([v for p in pools for v in p[:2]]), np.array([p[2] for p in pools for _ in p[:2]])
+
+
 @dataclass
 class QualityModel:
-    """Dictionaries and curve; ``good`` is None where only the prior is known."""
+    """Dictionaries and calibration; ``good`` is None where only the prior is known.
+
+    The score is the monotone fit, read linearly between its stretches, with a thousandth of the logistic curve, which
+    keeps texts on one stretch in order.
+    """
 
     good: bytes | None
     bad: bytes | None
     slope: float
     intercept: float
+    at: np.ndarray | None = None
+    height: np.ndarray | None = None
 
     def score(self, differences: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * differences + self.intercept, -35, 35)))
+        curve = 1 / (1 + np.exp(-np.clip(self.slope * differences + self.intercept, -35, 35)))
+        if self.at is None:
+            return curve
+        return 0.999 * np.interp(differences, self.at, self.height) + 0.001 * curve
 
 
 def build_dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
@@ -131,8 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, samp
     sizer = Sizer(good, bad)
     x, y = np.array([sizer.difference(t) for _, t in tune]), np.array([q for q, _ in tune], dtype=float)
     share = [n0 / (n0 + n1) / np.sum(y == 0), n1 / (n0 + n1) / np.sum(y == 1)]
-    slope, intercept = fit_logistic(x, y, np.where(y == 1, share[1], share[0]) * len(y))
-    return QualityModel(good, bad, slope, intercept)
+    w = np.where(y == 1, share[1], share[0]) * len(y)
+    return QualityModel(good, bad, *fit_logistic(x, y, w), *fit_monotone(x, y, w))
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -142,7 +167,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     def run(batches):
         m = shared.value
         sizer = Sizer(m.good, m.bad) if m.good is not None else None
-        for batch in batches:
+        for batch in slices(batches):
             texts = column_bytes(batch.column(1))
             found = np.array([sizer.difference(t) if sizer else 0.0 for t in texts])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(m.score(found))], ["doc_id", "score"])
