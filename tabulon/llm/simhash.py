@@ -18,7 +18,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import column_bytes, cut, slices
@@ -249,10 +249,104 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed:
     return prints.join(by_print, prints["fp"] == by_print["own"], "left").select("doc_id", "fp", "component_id")
 
 
+def _near_pairs(keys: np.ndarray, fps: np.ndarray, probes: np.ndarray, nodes: np.ndarray, classes: np.ndarray, sizes: np.ndarray, radius: int, most: int):
+    """Pairs within ``radius`` bits and of two classes in each run of equal keys (rows sorted by key): (a, b, more).
+
+    The smaller class's node looks for ``most`` nodes of each other class at most, in a random order that differs by node;
+    ``more`` says that some were left out.
+    """
+    empty = np.zeros(0, dtype=np.int64)
+    froms, tos, mores = [empty], [empty], [empty.astype(bool)]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    ends = np.append(starts[1:], len(keys))
+    many = np.minimum.reduceat(classes, starts) != np.maximum.reduceat(classes, starts)
+    many &= ~np.logical_and.reduceat(probes, starts)
+    for lo, hi in zip(starts[many].tolist(), ends[many].tolist()):
+        f, p, c, t = fps[lo:hi], probes[lo:hi], classes[lo:hi], nodes[lo:hi]
+        order = np.lexsort((c, sizes[lo:hi]))
+        f, p, c, t = f[order], p[order], c[order], t[order]
+        bounds = np.append(np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])), len(c))
+        for start, after in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            if after == len(c):
+                break
+            for i in range(start, after):
+                near = _popcount(f[after:] ^ f[i]) <= radius
+                if p[i]:
+                    near &= ~p[after:]
+                hit = after + np.flatnonzero(near)
+                if not len(hit):
+                    continue
+                more = False
+                if len(hit) > most:
+                    mixed = (t[hit].view(np.uint64) ^ t[i : i + 1].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+                    hit = hit[np.lexsort((mixed, c[hit]))]
+                    own = c[hit]
+                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    rank = np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))
+                    more = bool((rank >= most).any())
+                    hit = hit[rank < most]
+                froms.append(np.full(len(hit), t[i]))
+                tos.append(t[hit])
+                mores.append(np.full(len(hit), more))
+    return np.concatenate(froms), np.concatenate(tos), np.concatenate(mores)
+
+
+def near_pairs(open_: DataFrame, radius: int, most: int) -> DataFrame:
+    """``a, b, more``: pairs of ``open_`` (node, fp, class, size) within ``radius`` bits whose classes differ; see ``_near_pairs``."""
+    count = choose_segments(open_.count(), radius)
+
+    def explode(batches):
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            for i in range(0, batch.num_rows, 2000):
+                node, fp, own, size = (x[i : i + 2000] for x in columns)
+                keys, probes, at = entries(fp.view(np.uint64), radius, count)
+                found = [keys.view(np.int64), probes, node[at], fp[at], own[at], size[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "probe", "node", "fp", "class", "size"])
+
+    def search(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def found(parts, last):
+            columns = [np.concatenate(x) for x in zip(*parts)]
+            stop = len(columns[0]) if last else int(np.searchsorted(columns[0], columns[0][-1]))
+            key, probe, node, fp, own, n = (x[:stop] for x in columns)
+            out = _near_pairs(key, fp.view(np.uint64), probe, node, own, n, radius, most) if stop else ([], [], [])
+            kinds = (pa.int64(), pa.int64(), pa.bool_())
+            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["a", "b", "more"])
+            return batch, [] if last else [tuple(x[stop:] for x in columns)]
+
+        for batch in batches:
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)))
+            size += batch.num_rows
+            if size >= 1 << 18 and held[0][0][0] != held[-1][0][-1]:
+                out, held = found(held, False)
+                size = sum(len(x[0]) for x in held)
+                yield out
+        if size:
+            yield found(held, True)[0]
+
+    rows = open_.select("node", "fp", "class", "size").mapInArrow(explode, "key long, probe boolean, node long, fp long, class long, size long")
+    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, more boolean")
+    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets in ``sets`` (text_hash, shingles) have a Jaccard similarity of ``similarity`` or more."""
+    both = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("sa")), "a")
+    both = both.join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    alike = (F.size("sa") == 0) & (F.size("sb") == 0) | (shared >= similarity * (F.size("sa") + F.size("sb") - shared))
+    return both.filter(alike).select("a", "b")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
     """``doc_id, text_hash, keeper``: groups of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    Candidates are the fingerprints' links within ``radius`` bits; each is then checked on the two texts' shingle sets.
+    Every two texts whose fingerprints lie within ``radius`` bits are joined if their shingle sets are that similar. The
+    fingerprints' links, which span what lies within ``radius``, are checked first. Where checks failed, the texts that the links
+    span fall into several classes: those search again, each for a few texts of each other class, then for more, in the end for all.
     A group is what checked links join; ``keeper`` is its smallest doc_id. Texts are told apart by a 64-bit hash.
     """
     prints = cut(
@@ -264,7 +358,8 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 7, similarity:
     near = links(heads.select("fp"), radius)
     near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a")
     near = near.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    candidates = cut(same.unionByName(near).distinct(), "links")
+    candidates = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    candidates = cut(candidates.distinct(), "links")
     wanted = candidates.select("a").union(candidates.select("b")).distinct()
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     texts = texts.join(wanted, F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
@@ -276,11 +371,29 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 7, similarity:
 
     # Written, so that both sides of the next joins are plain exchanges, which Spark splits where one text has many links.
     own = cut(texts.mapInArrow(sets, "text_hash long, shingles array<long>"), "shingles")
-    both = candidates.join(own.select(F.col("text_hash").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(own.select(F.col("text_hash").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    alike = (F.size("sa") == 0) & (F.size("sb") == 0) | (shared >= similarity * (F.size("sa") + F.size("sb") - shared))
-    reached = components(both.filter(alike).select("a", "b"))
+    checked = cut(_alike(candidates, own, similarity), "alike")
+    reached = cut(components(checked), "reached")
+    failed = candidates.join(checked, ["a", "b"], "left_anti")
+    if not failed.isEmpty():
+        spans = components(candidates).select("node", F.col("component").alias("span"))
+        ends = failed.join(spans, F.col("a") == F.col("node")).select("span").distinct()
+        prints_of = nodes.select(F.col("text_hash").alias("node"), "fp")
+        unsettled = cut(spans.join(ends, "span", "left_semi").join(prints_of, "node"), "unsettled")
+        for most in (4, 64, 1 << 62):
+            label = F.coalesce("component", "node").alias("class")
+            open_ = unsettled.join(reached, "node", "left").select("node", "fp", "span", label)
+            sizes = open_.groupBy("class").agg(F.count("*").alias("size"), F.first("span").alias("span"))
+            sizes = sizes.withColumn("classes", F.count("*").over(Window.partitionBy("span"))).filter("classes > 1")
+            open_ = cut(open_.drop("span").join(sizes.select("class", "size"), "class"), "open")
+            if open_.isEmpty():
+                break
+            pairs = cut(near_pairs(open_, radius, most), "pairs")
+            fresh = pairs.select("a", "b").join(candidates, ["a", "b"], "left_anti")
+            candidates = candidates.unionByName(fresh)
+            checked = cut(checked.unionByName(_alike(fresh, own, similarity)), "alike")
+            reached = cut(components(checked), "reached")
+            if not pairs.agg(F.max("more")).first()[0]:
+                break
     classes = nodes.join(reached, nodes["text_hash"] == reached["node"], "left").select(
         F.col("text_hash").alias("own"), "least", F.coalesce("component", "text_hash").alias("class")
     )

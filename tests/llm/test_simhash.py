@@ -6,6 +6,7 @@ import xxhash
 from fixtures import docs_frame, empty, mixed_rows, words
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tabulon.llm import simhash as S
 from tabulon.llm.graph import components
@@ -116,3 +117,56 @@ def test_similar_groups(spark):
     kept = S.drop_similar(df)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 4]
     assert S.drop_similar(docs_frame(spark, [(7, "a b"), (7, "a b"), (None, "c"), (None, "d")])).count() == 3
+
+
+def keepers_of(rows, near, words=5, similarity=0.8):
+    """Keepers by all pairs: those that ``near`` lets through are checked on their shingle sets."""
+    sets = [set(S.shingle_hashes((t or "").encode(), words).tolist()) for _, t in rows]
+    alike = lambda a, b: len(a & b) >= similarity * len(a | b)
+    n = range(len(rows))
+    roots = union(len(rows), [(i, j) for i in n for j in range(i) if near(i, j) and alike(sets[i], sets[j])])
+    return {rows[i][0]: min(rows[j][0] for j in n if roots[j] == roots[i]) for i in n}
+
+
+def family_rows(families, copies, seed=5):
+    """Near copies of several base texts, in a mixed order."""
+    rng, texts = random.Random(seed), []
+    for f in range(families):
+        base = [f"f{f}x{rng.randrange(10_000)}" for _ in range(150)]
+        for _ in range(copies):
+            w = list(base)
+            for _ in range(rng.randrange(1, 3)):
+                w[rng.randrange(150)] = f"new{rng.randrange(10_000)}"
+            texts.append(" ".join(w))
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def test_similar_texts_are_joined_whatever_shares_their_fingerprint(spark, monkeypatch):
+    """Eight fingerprints within three bits over five families: a check that fails says nothing about other pairs."""
+    at = lambda docs, *a, **k: docs.select("doc_id", "text_hash", F.pmod("doc_id", F.lit(8)).alias("fp"))
+    monkeypatch.setattr(S, "fingerprints", at)
+    rows = family_rows(5, 12)
+    want = keepers_of(rows, lambda i, j: True)
+    assert len(set(want.values())) == 5
+    found = S.similar_groups(docs_frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["keeper"] for r in found} == want
+
+
+@pytest.mark.parametrize("most", [2, 1 << 62])
+def test_near_pairs(spark, most):
+    rng = random.Random(4)
+    base = [rng.getrandbits(63) for _ in range(2)]
+    rows = []
+    for node in range(60):
+        fp = base[node % 2]
+        for bit in rng.sample(range(63), rng.randrange(6)):
+            fp ^= 1 << bit
+        rows.append((node, fp, node % 4 if node < 40 else node))
+    size = {c: sum(r[2] == c for r in rows) for _, _, c in rows}
+    df = spark.createDataFrame([(*r, size[r[2]]) for r in rows], "node long, fp long, class long, size long")
+    found = S.near_pairs(df, 7, most).collect()
+    pairs = {(r["a"], r["b"]) for r in found}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if rows[i][2] != rows[j][2] and (rows[i][1] ^ rows[j][1]).bit_count() <= 7}
+    assert pairs <= want and len(pairs) == len(found)
+    assert pairs == want if most > 60 else len(pairs) < len(want) and any(r["more"] for r in found)
