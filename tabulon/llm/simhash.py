@@ -1,6 +1,7 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has a bit set where over half of the shingles' XXH64 hashes have it. Distinct fingerprints are looked up
+A fingerprint has a bit set where over half of the shingles' XXH64 hashes have it (repeated shingles count each time in op5, once in
+the pipeline's stage, which compares shingle sets). Distinct fingerprints are looked up
 in one table for each segment of their bits: a fingerprint sends its own segment value to the table and, as a probe, every
 value in a small Hamming ball around it. If two fingerprints differ in at most r bits, some segment differs in no more
 than its ball's radius (``segments``), so no link is lost. Each table entry's fingerprints are verified on all 64 bits by a search
@@ -48,9 +49,11 @@ def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[i:j], seed) for i, j in pairs), np.uint64, len(found) - words + 1)
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
-    """The text's 64-bit fingerprint."""
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
+    """The text's 64-bit fingerprint; with ``distinct`` a shingle counts once however often it occurs."""
     hashes = shingle_hashes(text, words, seed)
+    if distinct:
+        hashes = np.unique(hashes)
     ones = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), _HELD):
         part = hashes[i : i + _HELD].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -58,14 +61,14 @@ def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
     return sum(1 << b for b in np.flatnonzero(2 * ones > len(hashes)).tolist())
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> DataFrame:
     """All columns but text, and ``fp`` (the fingerprint's bits as a signed long)."""
     at = docs.columns.index("text")
     kept = [i for i in range(len(docs.columns)) if i != at]
 
     def run(batches):
         for batch in slices(batches):
-            found = [fingerprint(t, words, seed) for t in column_bytes(batch.column(at))]
+            found = [fingerprint(t, words, seed, distinct) for t in column_bytes(batch.column(at))]
             columns = [batch.column(i) for i in kept]
             columns.append(pa.array(np.array(found, dtype=np.uint64).view(np.int64)))
             yield pa.RecordBatch.from_arrays(columns, [*(batch.schema.names[i] for i in kept), "fp"])
@@ -344,14 +347,13 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
     """``doc_id, text_hash, keeper``: groups of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    Every two texts whose fingerprints lie within ``radius`` bits are joined if their shingle sets are that similar. The
+    Fingerprints are of the same sets: a line that a text repeats counts once. Every two texts whose fingerprints lie within ``radius`` bits are joined if their shingle sets are that similar. The
     fingerprints' links, which span what lies within ``radius``, are checked first. Where checks failed, the texts that the links
     span fall into several classes: those search again, each for a few texts of each other class, then for more, in the end for all.
     A group is what checked links join; ``keeper`` is its smallest doc_id. Texts are told apart by a 64-bit hash.
     """
-    prints = cut(
-        fingerprints(docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text"), words), "prints"
-    )
+    hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    prints = cut(fingerprints(hashed, words, distinct=True), "prints")
     nodes = prints.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
     heads = nodes.groupBy("fp").agg(F.min("text_hash").alias("head"))
     same = nodes.join(heads, "fp").filter("text_hash <> head").select(F.col("text_hash").alias("a"), F.col("head").alias("b"))

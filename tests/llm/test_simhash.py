@@ -170,3 +170,14 @@ def test_near_pairs(spark, most):
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if rows[i][2] != rows[j][2] and (rows[i][1] ^ rows[j][1]).bit_count() <= 7}
     assert pairs <= want and len(pairs) == len(found)
     assert pairs == want if most > 60 else len(pairs) < len(want) and any(r["more"] for r in found)
+
+
+def test_repeated_lines_hide_no_copy(spark):
+    """A line repeated 3 to 300 times hardly changes a shingle set: all copies are one group."""
+    rows, rng = [], random.Random(6)
+    for base in range(3):
+        text, line = words(rng, 300, 20_000), words(rng, 11, 20_000)
+        rows += [(10 * base + i, f"{text} " + f"{line} " * k) for i, k in enumerate((1, 3, 10, 30, 300))]
+    want = keepers_of(rows, lambda i, j: True)
+    assert sorted(set(want.values())) == [0, 10, 20]
+    assert {r["doc_id"]: r["keeper"] for r in S.similar_groups(docs_frame(spark, rows)).collect()} == want
