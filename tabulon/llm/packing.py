@@ -39,9 +39,13 @@ def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
+#: Strings that byte_bpe_50k.json has as added tokens, which its reader finds in any text.
+ADDED = {"<|endoftext|>": 50256}
+
+
 @functools.cache
 def encoder(path: str):
-    """Byte-level BPE over the ranks in ``path``. Special tokens' strings are ordinary text."""
+    """Byte-level BPE over the ranks in ``path``; ``encode_ordinary`` takes the strings of ``ADDED`` as ordinary text."""
     import base64
 
     import public_tokenizers
@@ -49,7 +53,14 @@ def encoder(path: str):
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=ADDED)
+
+
+def text_ids(encoding, text: str) -> list[int]:
+    """The ids of ``text`` as byte_bpe_50k.json's reader gives them with add_special_tokens=False."""
+    if any(x in text for x in ADDED):
+        return encoding.encode(text, allowed_special=set(ADDED))
+    return encoding.encode_ordinary(text)
 
 
 def piece_crcs(ids: np.ndarray, window: int) -> list[int]:
@@ -63,11 +74,11 @@ def tokenize(docs: DataFrame, window: int = WINDOW, end_id: int = END_ID, path:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        encode = encoder(path or vocabulary_path()).encode_ordinary
+        encoding = encoder(path or vocabulary_path())
         for batch in slices(batches):
             sizes, crcs = [], []
             for text in batch.column(1).to_pylist():
-                ids = np.array([*encode(text or ""), end_id], dtype=np.uint32)
+                ids = np.array([*text_ids(encoding, text or ""), end_id], dtype=np.uint32)
                 sizes.append(len(ids))
                 crcs.append(piece_crcs(ids, window))
             columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))]

@@ -88,3 +88,29 @@ def test_pieces_round_trip(spark, tokenizer):
 
 def test_empty(spark):
     assert packing.pack(empty(spark)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def contract():
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_added_tokens_as_the_contract_reads_them(spark, contract):
+    """The tokenizer as it is loaded: add_special_tokens=False does not turn added tokens off."""
+    assert {t.content: i for i, t in contract.get_added_tokens_decoder().items()} == packing.ADDED
+    mark = "<|endoftext|>"
+    texts = [*TEXTS, f"hello {mark} world", mark, mark * 3, f"a  {mark}  \n\n{mark}b", f"it{mark}'s", "<|endoftext|", f"é 🙂{mark}漢字 {mark[:-1]}"]
+    want = {i: contract.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert want[len(TEXTS)] == [31373, 220, 50256, 995]
+    encoding = packing.encoder(packing.vocabulary_path())
+    assert {i: packing.text_ids(encoding, t) for i, t in enumerate(texts)} == want
+    found = packing.tokenize(docs_frame(spark, list(enumerate(texts)))).collect()
+    crc = lambda ids: packing.piece_crcs(np.array([*ids, packing.END_ID]), packing.WINDOW)
+    assert {r["doc_id"]: (r["doc_tokens"], r["crcs"]) for r in found} == {i: (len(x) + 1, crc(x)) for i, x in want.items()}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.text(max_size=8), st.sampled_from(["<|endoftext|>", " ", "\n", "<|", "|>"])), max_size=8).map("".join))
+def test_text_ids_on_any_text(text):
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.text_ids(packing.encoder(packing.vocabulary_path()), text) == t.encode(text, add_special_tokens=False).ids
