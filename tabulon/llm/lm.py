@@ -1,27 +1,25 @@
 """Language-model scores by deleted interpolation.
 
-The model mixes three estimates of a token after the one before it: n(v, w) / c(v), c(w) / N and 1 / (V + 1). The weights depend on the
-bucket of the context's frequency (a power of two each; the start of a text and the class of rare contexts have their own) and
-are learnt by expectation-maximisation on deleted counts: each training event is predicted from the counts without it.
-A sufficient table for that (bucket, two logarithmic ratios, events) is added up in the cluster; the driver sees its cells only.
-
-Counts cover all training documents. The ``FREQUENT`` most frequent words at most (their number is a bound of the broadcast) are
-known everywhere by index; other words keep their own counts in n(v, w) and in the base score, share one context class, and
-have the mean unigram probability of their class.
-
-Three passes over the texts: word counts; pair counts (added up per batch, then by hash of the pair); scores. In the
-third, each batch sends every hash part the pairs and rare words of its documents, packed; a part counts them, turns counts
-into logarithms and returns sums by document. A pair with more than one of 2**14 of all events is known everywhere after the
-second pass and is scored on the spot, so no part is hot.
-
-Edge cases: a null or empty text is its end token alone; without training tokens every token has probability 1 / (V + 1) = 1;
-repeated rows are scored each for itself; null ids hash as the empty text; an empty table gives no rows; extra columns are ignored.
+The model mixes four estimates of a token after the two before it: n(u, v, w) / n(u, v), n(v, w) / c(v), c(w) / N and 1 / (V + 1).
+The weights depend on the frequencies of both contexts (powers of two of n(u, v), of eight of c(v); a text's first token has its own
+weights) and are learnt by expectation-maximisation on deleted counts: each training event is predicted from the counts
+without it. A sufficient table for that (bucket, three logarithmic ratios, events) is added up in the cluster; the driver sees
+its cells only, whose number depends on the steps of the logarithms and not on the texts.
+
+Every word, pair and triple has its own count over all training documents; nothing is pooled or broadcast. The texts are written
+once in batches. Each batch sends its distinct keys of all three orders, with their training counts, to the
+ranges of the hash space that they fall into; a range adds the counts up and answers each batch with the totals, in the
+batch's own order. One message holds one batch's run of keys in one range as bytes: there are never more messages than keys, and a
+key comes once from each batch however often it occurs. The answers meet the batch's texts, and the counts of all its tokens are
+written: learning the weights and scoring are two plain scans of them.
+
+Edge cases: a null or empty text is its end token alone; a very long text is a batch of its own; without training tokens every token
+has probability 1 / (V + 1) = 1; repeated rows are scored each for itself; null ids hash as the empty text; an empty table
+gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
-import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,401 +27,400 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabulon.llm.common import column_bytes, crc_mod, cut, drop_cut
+from tabulon.llm.common import column_bytes, crc_mod, cut, drop_cut, slices
 from tabulon.llm.words import hash_words, mix
 
-FREQUENT = 1 << 18
 HOLD_OUT = 7, 2
-#: Tokens in a batch, and in a part of the hash range (about).
-BATCH_TOKENS = 1_000_000
-PART_TOKENS = 2_000_000
-HOT_SHARE = 1 << 14
+#: Bytes of text in a batch, and in a range of the hash space (about).
+BATCH_BYTES = 6 << 20
+RANGE_BYTES = 8 << 20
+#: Shuffle partitions that ranges or batches are dealt to, at most (each takes its ranges or batches one by one).
+MOST_PARTITIONS = 16_384
+#: Messages in one Arrow batch.
+_MESSAGES = 4096
+START = np.uint64(0x9E6C63D0876A9A47)
 END = np.uint64(0x2545F4914F6CDD1D)
-_RARE = np.uint64(1 << 63)
-_W = np.uint64(20)
-_H = np.uint64(44)
-RARE_BUCKET, START_BUCKET, BUCKETS = 62, 63, 64
+_ODD = np.uint64(0xD6E8FEB86659FD93)
+#: Buckets: 64 powers of two of n(u, v) by 16 steps of c(v), and one for first tokens.
+_STEPS, START_BUCKET, BUCKETS = 16, 64 * 16, 64 * 16 + 1
 #: Ratios are told apart by steps of this factor's logarithm (base 2).
-_STEP = 4
+_STEP = 2
 
 
-class Lookup:
-    """Index of a uint64 key among sorted distinct ones, by a slot table with a binary search behind it."""
+def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each token (words and an end each): its key, its pair's key, its triple's key, its text, and whether it comes first.
 
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.bits = max(8, int(len(keys)).bit_length() + 3)
-        self.slots = np.zeros(1 << self.bits, dtype=np.int32)
-        self.slots[self._slot(keys)] = np.arange(len(keys))
+    A first token's pair begins with the start of a text and its triple's key means nothing.
+    """
+    words, bounds = hash_words(texts)
+    n = np.diff(bounds)
+    tokens = np.insert(words, bounds[1:], END)
+    owner = np.repeat(np.arange(len(texts)), n + 1)
+    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=bool)
+    before = np.concatenate([[START], tokens[:-1]])[: len(tokens)]
+    before[first] = START
+    pairs = mix(before * _ODD + tokens)
+    triples = mix(np.concatenate([[START], pairs[:-1]])[: len(tokens)] * _ODD + mix(tokens))
+    return tokens, pairs, triples, owner, first
 
-    def _slot(self, x: np.ndarray) -> np.ndarray:
-        return (x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
 
-    def find(self, x: np.ndarray) -> np.ndarray:
-        """Indices; -1 where a key is unknown."""
-        if not len(self.keys):
-            return np.full(len(x), -1, dtype=np.int64)
-        at = self.slots[self._slot(x)].astype(np.int64)
-        miss = np.flatnonzero(self.keys[at] != x)
-        again = np.minimum(np.searchsorted(self.keys, x[miss]), len(self.keys) - 1)
-        at[miss] = np.where(self.keys[again] == x[miss], again, -1)
-        return at
+def _width(most: int) -> int:
+    return max(1, (int(most).bit_length() + 7) // 8)
 
 
-@dataclass
-class Vocabulary:
-    """Frequent words and the totals of all training tokens."""
+def _narrow(x: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bytes of each value, in a row."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).ravel()
 
-    lookup: Lookup
-    counts: np.ndarray
-    tokens: int
-    types: int
-    documents: int
 
-    @property
-    def contexts(self) -> np.ndarray:
-        """Events after each context: frequent words, the rare class, the start of a text."""
-        rare = self.tokens - int(self.counts.sum())
-        return np.concatenate([self.counts, [rare, self.documents]])
-
-    def unigram(self, less: int = 0) -> np.ndarray:
-        """c(w) / N for each frequent word and, last, any single rare one; ``less`` 1: without the event itself."""
-        rare = (self.tokens - int(self.counts.sum())) / (self.types - len(self.counts) + 1)
-        return np.append(np.maximum(self.counts - less, 0), max(rare, 0)) / max(1, self.tokens - less)
-
-    @property
-    def uniform(self) -> float:
-        return 1 / (self.types + 1)
-
-    @property
-    def base(self) -> float:
-        return float(self.tokens + self.types + 1)
-
-    def buckets(self) -> np.ndarray:
-        c = np.maximum(self.contexts, 1)
-        out = np.minimum(np.floor(np.log2(c)).astype(np.int64), RARE_BUCKET - 1)
-        out[-2:] = RARE_BUCKET, START_BUCKET
-        return out
+def _wide(data: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), dtype=np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
+    return out.view("<u8").ravel()
 
 
-def token_arrays(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes (words and an end each) and the index of each token's text."""
-    words, bounds = hash_words(texts)
-    n = np.diff(bounds)
-    out = np.insert(words, bounds[1:], END)
-    return out, np.repeat(np.arange(len(texts)), n + 1)
+def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """A binary column: value i is data[offsets[i] : offsets[i + 1]]."""
+    own = np.ascontiguousarray(data[offsets[0] : offsets[-1]])
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(own)])
+
+
+def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    """Which of ``ranges`` equal parts of the hash space each key lies in; ascending with the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
-def pair_keys(tokens: np.ndarray, owner: np.ndarray, words: Lookup) -> tuple[np.ndarray, np.ndarray]:
-    """For each token: the key of (context, token), and its index (-1: rare)."""
-    index = words.find(tokens)
-    k = len(words.keys)
-    context = np.empty(len(tokens), dtype=np.uint64)
-    context[1:] = np.where(index[:-1] < 0, k, index[:-1])
-    first = np.concatenate([[True], owner[1:] != owner[:-1]])
-    context[first] = k + 1
-    rare = _RARE | (context << _H) | (mix(tokens) >> np.uint64(64 - 44))
-    return np.where(index < 0, rare, (context << _W) | np.maximum(index, 0).astype(np.uint64)), index
+def range_start(at: np.ndarray, ranges: int) -> np.ndarray:
+    """The least key of each range."""
+    return (((at << np.uint64(32)) + np.uint64(ranges - 1)) // np.uint64(ranges)) << np.uint64(32)
 
 
-def context_of(keys: np.ndarray) -> np.ndarray:
-    return np.where(keys >= _RARE, (keys & ~_RARE) >> _H, keys >> _W).astype(np.int64)
+def requests(keys: np.ndarray, counts: np.ndarray, ranges: int, batch: int):
+    """Messages (range, batch, width, keys, counts) of a batch's sorted distinct keys, as Arrow batches.
+
+    Keys are kept as differences, each message's first from the start of its range.
+    """
+    at = range_of(keys, ranges)
+    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    gaps = np.diff(keys, prepend=np.uint64(0))
+    gaps[starts] = keys[starts] - range_start(at[starts], ranges)
+    width = _width(gaps.max())
+    raw, n = _narrow(gaps, width), counts.astype("<u4").view(np.uint8)
+    edges = np.append(starts, len(keys))
+    for i in range(0, len(starts), _MESSAGES):
+        own = edges[i : i + _MESSAGES + 1]
+        size = len(own) - 1
+        columns = [
+            pa.array(at[own[:-1]].astype(np.int64)),
+            pa.array(np.full(size, batch)),
+            pa.array(np.full(size, width, dtype=np.int32)),
+            _binary(raw, own * width),
+            _binary(n, own * 4),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, ["range", "batch", "width", "keys", "counts"])
+
+
+def _grouped(batches):
+    """Rows of each run of equal values in the first column (rows come sorted by it)."""
+    held = []
+    for batch in batches:
+        for part in slices([batch], 1024):
+            for row in zip(*(c.to_pylist() for c in part.columns)):
+                if held and held[0][0] != row[0]:
+                    yield held
+                    held = []
+                held.append(row)
+    if held:
+        yield held
 
 
-def word_of(keys: np.ndarray, k: int) -> np.ndarray:
-    """Index of the token; ``k`` for a rare one."""
-    return np.where(keys >= _RARE, np.uint64(k), keys & np.uint64((1 << 20) - 1)).astype(np.int64)
+def answer(group: list[tuple], ranges: int) -> tuple[int, list[bytes]]:
+    """The totals of each message's keys over all messages of one range: bytes a value, and the values of each message."""
+    gaps = [_wide(keys, width) for _, _, width, keys, _ in group]
+    sizes = np.array([len(x) for x in gaps])
+    sums = np.cumsum(np.concatenate(gaps), dtype=np.uint64)
+    ends = np.cumsum(sizes)
+    before = np.concatenate([[np.uint64(0)], sums[ends[:-1] - 1]])
+    keys = sums - np.repeat(before, sizes) + range_start(np.array([group[0][0]], dtype=np.uint64), ranges)
+    counts = np.frombuffer(b"".join(r[4] for r in group), "<u4")
+    _, inverse = np.unique(keys, return_inverse=True)
+    totals = np.bincount(inverse, weights=counts)
+    width = _width(totals.max())
+    data = memoryview(_narrow(totals.astype(np.uint64)[inverse], width))
+    edges = np.concatenate([[0], ends]) * width
+    return width, [data[a:b].tobytes() for a, b in zip(edges, edges[1:])]
 
 
 def _squeeze(x: np.ndarray) -> bytes:
-    """Byte planes of an array, compressed."""
+    """Byte planes of an array of counts, compressed."""
     import zstandard as zstd
 
-    return zstd.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes())
+    width = _width(x.max()) if len(x) else 1
+    return bytes([width]) + zstd.ZstdCompressor(level=1).compress(_narrow(x, width).reshape(-1, width).T.tobytes())
 
 
-def _unsqueeze(z: bytes, kind: str) -> np.ndarray:
+def _unsqueeze(z: bytes) -> np.ndarray:
     import zstandard as zstd
 
-    raw = np.frombuffer(zstd.ZstdDecompressor().decompress(z), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
+    raw = zstd.ZstdDecompressor().decompress(z[1:])
+    return _wide(np.frombuffer(raw, np.uint8).reshape(z[0], -1).T.tobytes(), z[0])
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length, the first sorted (kept as differences)."""
-    first = np.diff(columns[0], prepend=columns[0][:1] * 0)
-    parts = [first, *columns[1:]]
-    return pickle.dumps([(c.dtype.str, _squeeze(c) if len(c) else b"") for c in parts])
+def write_batches(docs: DataFrame) -> DataFrame:
+    """``batch, ids, held, lengths, data``: the rows of ``docs`` (doc_id, held_out, text) in batches, texts joined and compressed."""
+    kind = docs.schema["doc_id"].dataType
 
+    def run(batches):
+        import zstandard as zstd
+        from pyspark.sql.pandas.types import to_arrow_type
 
-def _unpack(data: bytes) -> list[np.ndarray]:
-    out = [_unsqueeze(z, kind) if z else np.zeros(0, dtype=kind) for kind, z in pickle.loads(data)]
-    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
-    return out
+        here, nth = TaskContext.get().partitionId() << 32, 0
+        ids, held, texts, size = [], [], [], 0
 
+        def row():
+            columns = [
+                pa.array([here | nth]),
+                pa.array([ids], pa.list_(to_arrow_type(kind))),
+                pa.array([held], pa.list_(pa.bool_())),
+                pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
+                pa.array([zstd.ZstdCompressor(level=1).compress(b"".join(texts))], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["batch", "ids", "held", "lengths", "data"])
+
+        for batch in slices(batches, 256):
+            for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2))):
+                if texts and size + len(t) > BATCH_BYTES:
+                    yield row()
+                    ids, held, texts, size, nth = [], [], [], 0, nth + 1
+                ids.append(i)
+                held.append(bool(h))
+                texts.append(t)
+                size += len(t) + 1
+        if texts:
+            yield row()
+
+    schema = T.StructType([
+        T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())),
+        T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()),
+    ])
+    return cut(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema), "batches")
+
+
+def _texts(data: bytes, lengths: list[int]) -> list[bytes]:
+    import zstandard as zstd
+
+    raw, ends = zstd.ZstdDecompressor().decompress(data), np.cumsum(lengths).tolist()
+    return [raw[e - n : e] for e, n in zip(ends, lengths)]
 
-def _batched(batches, most: int):
-    """(columns but the text as lists, texts) of about ``most`` tokens each."""
-    held, texts, size = [], [], 0
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns[:-1]), column_bytes(batch.columns[-1])):
-            held.append(row[:-1])
-            texts.append(row[-1])
-            size += len(row[-1]) + 6
-            if size >= 6 * most:
-                yield held, texts
-                held, texts, size = [], [], 0
-    if texts:
-        yield held, texts
 
+def count_tokens(batches: DataFrame) -> DataFrame:
+    """``ids, held, sizes, train_tokens, train_docs, n1, n2, n3``: training counts of each token, its pair and its triple.
 
-def _by_part(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """An order by (part, key) and where each part begins in it."""
-    part = (mix(keys) % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((keys, part))
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    A row for each batch; the counts are compressed arrays over the batch's tokens. A first token's triple has its pair's count.
+    """
+    total, number = batches.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x + 1)), F.count("*")).first()
+    ranges = max(1, -(-(total or 0) // RANGE_BYTES))
+
+    def send(rows):
+        for row in _grouped(rows):
+            batch, held, lengths, data = row[0]
+            tokens, pairs, triples, owner, first = token_keys(_texts(data, lengths))
+            learnt = ~np.array(held)[owner]
+            orders = ((tokens, learnt), (pairs, learnt), (triples[~first], learnt[~first]))
+            train = [np.unique(k[own], return_counts=True) for k, own in orders]
+            known, n = np.concatenate([k for k, _ in train]), np.concatenate([c for _, c in train])
+            order = np.argsort(known)
+            known, n = known[order], n[order]
+            keys = np.unique(np.concatenate([known, *(k[~own] for k, own in orders)]))
+            counts = np.zeros(len(keys), dtype=np.uint32)
+            counts[np.searchsorted(keys, known)] = n
+            yield from requests(keys, counts, ranges, batch)
+
+    def solve(rows):
+        for group in _grouped(rows):
+            width, values = answer(group, ranges)
+            n = len(group)
+            columns = [[r[1] for r in group], [group[0][0]] * n, [width] * n, values]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["batch", "range", "width", "data"])
+
+    def meet(rows):
+        for group in _grouped(rows):
+            _, _, _, data, ids, held, lengths = group[0]
+            tokens, pairs, triples, owner, first = token_keys(_texts(data, lengths))
+            values = np.concatenate([_wide(r[3], r[2]) for r in group[1:]])
+            split = np.cumsum([len(tokens), len(pairs)])
+            keys, inverse = np.unique(np.concatenate([tokens, pairs, triples[~first]]), return_inverse=True)
+            if len(keys) != len(values):
+                raise ValueError(f"{len(values)} answers to {len(keys)} keys")
+            n1, n2, later = np.split(values[inverse], split)
+            n3 = n2.copy()
+            n3[~first] = later
+            learnt = ~np.array(held)
+            columns = [
+                pa.array([ids], list_type), pa.array([held], pa.list_(pa.bool_())),
+                pa.array([np.bincount(owner, minlength=len(ids)).tolist()], pa.list_(pa.int64())),
+                pa.array([int(learnt[owner].sum())]), pa.array([int(learnt.sum())]),
+                *(pa.array([_squeeze(n)], pa.binary()) for n in (n1, n2, n3)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["ids", "held", "sizes", "train_tokens", "train_docs", "n1", "n2", "n3"])
 
+    from pyspark.sql.pandas.types import to_arrow_type
 
-def _sum_equal(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    distinct, inverse = np.unique(keys, return_inverse=True)
-    return distinct, inverse, *(np.bincount(inverse, weights=w, minlength=len(distinct)) for w in weights)
+    kind = batches.schema["ids"].dataType
+    list_type = to_arrow_type(kind)
+    asked = batches.select("batch", "held", "lengths", "data").mapInArrow(send, "range long, batch long, width int, keys binary, counts binary")
+    asked = asked.repartition(min(ranges, MOST_PARTITIONS), "range").sortWithinPartitions("range")
+    answers = asked.mapInArrow(solve, "batch long, range long, width int, data binary")
+    own = batches.select("batch", F.lit(-1).cast("long").alias("range"), F.lit(0).alias("width"), "data", "ids", "held", "lengths")
+    none = [F.lit(None).cast(batches.schema[c].dataType).alias(c) for c in ("ids", "held", "lengths")]
+    both = own.unionByName(answers.select("batch", "range", "width", "data", *none))
+    both = both.repartition(max(1, min(number, MOST_PARTITIONS)), "batch").sortWithinPartitions("batch", "range")
+    schema = T.StructType([
+        T.StructField("ids", kind), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())),
+        T.StructField("train_tokens", T.LongType()), T.StructField("train_docs", T.LongType()),
+        *(T.StructField(c, T.BinaryType()) for c in ("n1", "n2", "n3")),
+    ])
+    return cut(both.mapInArrow(meet, schema), "counted")
 
 
-def count_words(train: DataFrame) -> DataFrame:
-    """``word, n`` over all tokens of ``train`` (column text)."""
+@dataclass
+class Model:
+    """Totals of the training tokens and the weights (triple, pair, word, uniform) of each bucket."""
+
+    tokens: int
+    types: int
+    documents: int
+    weights: np.ndarray
+
+
+def contexts(n1: np.ndarray, n2: np.ndarray, first: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """How often the two tokens, and the one token, before each token have been seen; first tokens follow ``documents`` starts."""
+    c3, c2 = (np.concatenate([[0], x[:-1]])[: len(x)].astype(np.int64) for x in (n2, n1))
+    c3[first] = c2[first] = documents
+    return c3, c2
+
+
+def buckets(c3: np.ndarray, c2: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The weights' bucket of each token. A context that was never seen shares the bucket of those seen once: both say nothing."""
+    log = lambda c: np.floor(np.log2(np.maximum(c, 1))).astype(np.int64)
+    return np.where(first, START_BUCKET, log(c3) * _STEPS + np.minimum(log(c2) // 3, _STEPS - 1))
 
-    def run(batches):
-        for _, texts in _batched(batches, BATCH_TOKENS):
-            words, n = np.unique(token_arrays(texts)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
-
-    counted = train.select(F.lit(0).alias("none"), "text").mapInArrow(run, "word long, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def vocabulary(train: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
-    """Totals and the most frequent words of ``train``."""
-    counts = cut(count_words(train), "words")
-    level = F.floor(F.log2("n") * 8).cast("int")
-    bins = counts.groupBy(level.alias("level")).agg(F.count("*").alias("types"), F.sum("n").alias("tokens")).collect()
-    bins.sort(key=lambda r: -r["level"])
-    least, held = 1 << 30, 0
-    for r in bins:
-        if held + r["types"] > frequent:
-            break
-        held, least = held + r["types"], r["level"]
-    known = counts.filter(level >= least).toPandas()  # ``frequent`` rows at most
-    words = known["word"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(words)
-    drop_cut(counts)
-    tokens, types = sum(r["tokens"] for r in bins), sum(r["types"] for r in bins)
-    return Vocabulary(Lookup(words[order]), known["n"].to_numpy(dtype=np.int64)[order], tokens, types, train.count())
-
-
-def event_cells(keys: np.ndarray, n: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Cells (bucket, level of the deleted pair estimate, level of the deleted unigram) as one key, and their events."""
-    context, word = context_of(keys), word_of(keys, len(vocab.counts))
-    c = vocab.contexts[context]
-    pair = np.where(c > 1, (n - 1) / np.maximum(c - 1, 1), 0)
-    single = vocab.unigram(1)[word]
-    level = lambda p: np.where(p > 0, 1 + np.round(-np.log2(np.maximum(p, 1e-300)) * _STEP), 0).astype(np.int64)
-    key = (vocab.buckets()[context] << 40) | (level(pair) << 20) | level(single)
-    cells, _, events = _sum_equal(key, n)
-    return cells, events
+
+def _ratio(n: np.ndarray, c) -> np.ndarray:
+    return np.where(c > 0, n / np.maximum(c, 1), 0.0)
+
+
+def event_cells(n1, n2, n3, first, learnt, tokens: int, documents: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (bucket and the levels of the three deleted estimates, as one key) of the training events, and how many are in each."""
+    c3, c2 = contexts(n1, n2, first, documents)
+    n1, n2, n3, c3, c2, first = (x[learnt].astype(np.int64) for x in (n1, n2, n3, c3, c2, first))
+    level = lambda p: np.where(p > 0, 1 + np.round(-np.log2(np.maximum(p, 1e-30)) * _STEP), 0).astype(np.int64)
+    key = buckets(c3, c2, first.astype(bool))
+    for n, c in ((n3, c3), (n2, c2), (n1, np.full(len(n1), tokens))):
+        key = key << 8 | level(_ratio(n - 1, c - 1))
+    return np.unique(key, return_counts=True)
 
 
 def learn_weights(cells: np.ndarray, events: np.ndarray, uniform: float, rounds: int = 60) -> np.ndarray:
-    """Weights (pair, unigram, uniform) of each bucket by expectation-maximisation."""
+    """Weights of each bucket by expectation-maximisation; buckets without events have those of all events together."""
+    if not len(cells):
+        return np.tile([0.0, 0.0, 0.0, 1.0], (BUCKETS, 1))
     estimate = lambda level: np.where(level > 0, 2.0 ** (-(level - 1) / _STEP), 0)
-    f = np.stack([estimate(cells >> 20 & 0xFFFFF), estimate(cells & 0xFFFFF), np.full(len(cells), uniform)], axis=1)
-    bucket = cells >> 40
-    out = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
-    for _ in range(rounds):
-        share = f * out[bucket]
-        share *= (events / share.sum(axis=1))[:, None]
-        total = np.stack([np.bincount(bucket, weights=s, minlength=BUCKETS) for s in share.T], axis=1)
-        size = total.sum(axis=1, keepdims=True)
-        out = np.where(size > 0, np.maximum(total / np.maximum(size, 1e-300), 1e-7), out)
-        out /= out.sum(axis=1, keepdims=True)
-    return out
-
+    f = np.stack([*(estimate(cells >> s & 0xFF) for s in (16, 8, 0)), np.full(len(cells), uniform)], axis=1)
+
+    def learn(bucket: np.ndarray, n: int) -> np.ndarray:
+        out = np.tile([0.3, 0.3, 0.3, 0.1], (n, 1))
+        for _ in range(rounds):
+            share = f * out[bucket]
+            share *= (events / share.sum(axis=1))[:, None]
+            total = np.stack([np.bincount(bucket, weights=s, minlength=n) for s in share.T], axis=1)
+            size = total.sum(axis=1, keepdims=True)
+            out = np.where(size > 0, np.maximum(total / np.maximum(size, 1e-300), 1e-7), out)
+            out /= out.sum(axis=1, keepdims=True)
+        return out
 
-@dataclass
-class Model:
-    vocab: Vocabulary
-    weights: np.ndarray
-    hot: Lookup
-    hot_counts: np.ndarray
-
-    def logs(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """log10 of the mixture for pairs that training has ``n`` times."""
-        v = self.vocab
-        context = context_of(keys)
-        w = self.weights[v.buckets()[context]]
-        pair = n / np.maximum(v.contexts[context], 1)
-        return np.log10(w[:, 0] * pair + w[:, 1] * v.unigram()[word_of(keys, len(v.counts))] + w[:, 2] * v.uniform)
-
-
-def _parts(vocab: Vocabulary) -> int:
-    return max(1, -(-vocab.tokens // PART_TOKENS))
-
-
-def fit(train: DataFrame, frequent: int = FREQUENT) -> Model:
-    """The model of all rows of ``train`` (column text)."""
-    spark = train.sparkSession
-    vocab = vocabulary(train, frequent)
-    shared, parts = spark.sparkContext.broadcast(vocab), _parts(vocab)
-    hot_least = max(64, vocab.tokens // HOT_SHARE)
-
-    def send(batches):
-        words = shared.value.lookup
-        for _, texts in _batched(batches, BATCH_TOKENS):
-            keys, n = np.unique(pair_keys(*token_arrays(texts), words)[0], return_counts=True)
-            order, cuts = _by_part(keys, parts)
-            rows = [(p, _pack(keys[order[a:b]], n[order[a:b]])) for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int32(), pa.binary()))], ["part", "data"])
-
-    def count(batches):
-        for datas in _grouped(batches, 0):
-            keys, n = (np.concatenate(x) for x in zip(*(_unpack(d) for _, d in datas)))
-            keys, _, n = _sum_equal(keys, n)
-            cells, events = event_cells(keys, n, shared.value)
-            often = n >= hot_least
-            columns = [np.concatenate([cells, keys[often].view(np.int64)]), np.concatenate([events, n[often]]).astype(np.int64)]
-            kind = np.repeat([False, True], [len(cells), int(often.sum())])
-            yield pa.RecordBatch.from_arrays([pa.array(kind), *map(pa.array, columns)], ["hot", "key", "n"])
-
-    packed = train.select(F.lit(0).alias("none"), "text").mapInArrow(send, "part int, data binary")
-    counted = packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(count, "hot boolean, key long, n long")
-    found = counted.groupBy("hot", "key").agg(F.sum("n").alias("n")).toPandas()  # cells and hot pairs: both bounded
-    cells, hot = found[~found["hot"]], found[found["hot"]]
-    weights = learn_weights(cells["key"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=float), vocab.uniform)
-    keys = hot["key"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    return Model(vocab, weights, Lookup(keys[order]), hot["n"].to_numpy(dtype=np.int64)[order])
-
-
-def _grouped(batches, at: int):
-    """Rows of each run of equal values in column ``at`` (rows come sorted by it)."""
-    held = []
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and held[0][at] != row[at]:
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+    bucket = cells >> 24
+    pooled = learn(np.zeros(len(cells), dtype=np.int64), 1)
+    found = np.bincount(bucket, minlength=BUCKETS) > 0
+    return np.where(found[:, None], learn(bucket, BUCKETS), pooled)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
+def _first(sizes: np.ndarray) -> np.ndarray:
+    out = np.zeros(int(sizes.sum()), dtype=bool)
+    out[np.cumsum(sizes) - sizes] = True
+    return out
 
-    ``docs`` has doc_id, held_out (false: the row was learnt from) and text.
-    """
-    spark = docs.sparkSession
-    shared, parts = spark.sparkContext.broadcast(model), _parts(model.vocab)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def send(batches):
-        m = shared.value
-        v = m.vocab
-        here = TaskContext.get().partitionId() << 32
-        for nth, (rows, texts) in enumerate(_batched(batches, BATCH_TOKENS)):
-            tokens, owner = token_arrays(texts)
-            keys, index = pair_keys(tokens, owner, v.lookup)
-            held = np.array([r[1] for r in rows])
-            docs_ = len(texts)
-            known = np.bincount(owner[index >= 0], minlength=docs_)
-            base = np.bincount(owner[index >= 0], weights=np.log10((v.counts[index[index >= 0]] + 1) / v.base), minlength=docs_)
-            at = m.hot.find(keys)
-            easy = at >= 0
-            logs = m.logs(keys[easy], m.hot_counts[at[easy]])
-            total = np.bincount(owner[easy], weights=logs, minlength=docs_)
-            base, total = base.astype(np.float64), total.astype(np.float64)  # counts of nothing come as integers
-            sizes = np.bincount(owner, minlength=docs_)
-            batch = here | nth
-            out = [(int(batch % parts), batch, 2, pickle.dumps(([r[0] for r in rows], held, sizes, known, base, total)))]
-            for what, k, o in ((0, keys[~easy], owner[~easy]), (1, tokens[index < 0], owner[index < 0])):
-                order = np.lexsort((o, k))
-                k, o = k[order], o[order]
-                new = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (o[1:] != o[:-1])])) if len(k) else np.zeros(0, int)
-                n = np.diff(np.append(new, len(k))).astype(np.uint32)
-                k, o = k[new], o[new].astype(np.uint32)
-                order, cuts = _by_part(k, parts)
-                for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                    if b > a:
-                        own = order[a:b]
-                        out.append((p, batch, what, _pack(k[own], o[own], n[own], (~held[o[own]]).astype(np.uint8))))
-            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["part", "batch", "what", "data"])
-
-    def solve(batches):
-        m = shared.value
-        for group in _grouped(batches, 0):
-            out = [(batch, what, data) for _, batch, what, data in group if what == 2]
-            for kind_ in (0, 1):
-                own = [(batch, _unpack(data)) for _, batch, what, data in group if what == kind_]
-                if not own:
-                    continue
-                keys, inverse = np.unique(np.concatenate([x[0] for _, x in own]), return_inverse=True)
-                learnt = np.concatenate([x[2] * x[3] for _, x in own])
-                c = np.bincount(inverse, weights=learnt, minlength=len(keys))
-                logs = m.logs(keys, c) if kind_ == 0 else np.log10((c + 1) / m.vocab.base)
-                at = 0
-                for batch, (k, o, n, _) in own:
-                    where = inverse[at : at + len(k)]
-                    at += len(k)
-                    docs_, doc = np.unique(o, return_inverse=True)
-                    sums = [np.bincount(doc, weights=logs[where] * n)]
-                    if kind_ == 1:
-                        sums.append(np.bincount(doc, weights=(c[where] > 0) * n))
-                    out.append((batch, kind_, _pack(docs_, *sums)))
-                del own, keys, inverse, learnt, c, logs
-            for i in range(0, len(out), 64):
-                kinds = (pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64]), kinds)], ["batch", "what", "data"])
-
-    def finish(batches):
-        m = shared.value
-        for group in _grouped(batches, 0):
-            ids, held, sizes, known, base, total = pickle.loads(next(d for _, what, d in group if what == 2))
-            for _, what, data in group:
-                if what == 0:
-                    o, s = _unpack(data)
-                    total[o] += s
-                elif what == 1:
-                    o, s, n = _unpack(data)
-                    base[o] += s
-                    known[o] += n.astype(np.int64)
-            columns = [
-                pa.array(ids, type_), pa.array(held), pa.array(sizes), pa.array(known),
-                pa.array(np.full(len(ids), m.vocab.tokens)), pa.array(base), pa.array(total),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+def fit(counted: DataFrame) -> Model:
+    """The model of the training tokens in ``counted`` (see ``count_tokens``)."""
+    tokens, documents = (x or 0 for x in counted.agg(F.sum("train_tokens"), F.sum("train_docs")).first())
 
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                held, sizes, *n = (batch.column(j)[i].as_py() for j in range(5))
+                sizes = np.array(sizes)
+                n1, n2, n3 = map(_unsqueeze, n)
+                learnt = np.repeat(~np.array(held), sizes)
+                cells, events = event_cells(n1, n2, n3, _first(sizes), learnt, tokens, documents)
+                often, times = np.unique(n1[learnt].astype(np.int64), return_counts=True)
+                kind = np.repeat([False, True], [len(cells), len(often)])
+                columns = [pa.array(kind), pa.array(np.concatenate([cells, often])), pa.array(np.concatenate([events, times]))]
+                yield pa.RecordBatch.from_arrays(columns, ["word", "key", "n"])
+
+    found = counted.select("held", "sizes", "n1", "n2", "n3").mapInArrow(run, "word boolean, key long, n long")
+    found = cut(found.groupBy("word", "key").agg(F.sum("n").alias("n")), "cells")
+    # Words that occur ``key`` times each have ``n`` tokens together.
+    types = found.filter("word").agg(F.sum(F.expr("n div key"))).first()[0] or 0
+    cells = found.filter("not word").toPandas()
+    drop_cut(found)
+    weights = learn_weights(cells["key"].to_numpy(dtype=np.int64), cells["n"].to_numpy(dtype=float), 1 / (types + 1))
+    return Model(tokens, types, documents, weights)
+
+
+def score_counted(counted: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each document of ``counted``."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    type_ = to_arrow_type(docs.schema["doc_id"].dataType)
-    sent = docs.select("doc_id", "held_out", "text").mapInArrow(send, "part int, batch long, what int, data binary")
-    solved = sent.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(solve, "batch long, what int, data binary")
-    dealt = solved.repartition("batch").sortWithinPartitions("batch", "what")
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.mapInArrow(finish, schema)
-
+    shared = counted.sparkSession.sparkContext.broadcast(model)  # totals and one row of weights a bucket
+    kind = counted.schema["ids"].dataType.elementType
+    id_type = to_arrow_type(kind)
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark remove the shuffle files of finished passes."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, held, sizes, *n = (batch.column(j)[i].as_py() for j in range(6))
+                sizes = np.array(sizes)
+                n1, n2, n3 = (_unsqueeze(x).astype(np.int64) for x in n)
+                first, owner = _first(sizes), np.repeat(np.arange(len(sizes)), sizes)
+                c3, c2 = contexts(n1, n2, first, m.documents)
+                w = m.weights[buckets(c3, c2, first)]
+                p = w[:, 0] * _ratio(n3, c3) + w[:, 1] * _ratio(n2, c2) + w[:, 2] * _ratio(n1, np.full(len(n1), m.tokens)) + w[:, 3] / (m.types + 1)
+                sums = lambda x: np.bincount(owner, weights=x, minlength=len(ids))
+                base = sums(np.log10((n1 + 1) / (m.tokens + m.types + 1)))
+                columns = [
+                    pa.array(ids, id_type), pa.array(held), pa.array(sizes), pa.array(sums(n1 > 0).astype(np.int64)),
+                    pa.array(np.full(len(ids), m.tokens)), pa.array(base), pa.array(sums(np.log10(p))),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = f"doc_id {kind.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return counted.select("ids", "held", "sizes", "n1", "n2", "n3").mapInArrow(run, schema)
+
+
+def score(docs: DataFrame) -> DataFrame:
+    """The scores of all rows of ``docs`` (doc_id, held_out, text) under the model of those that aren't held out."""
+    batches = write_batches(docs)
+    counted = count_tokens(batches)
+    drop_cut(batches)
+    return score_counted(counted, fit(counted))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every document under the model of those whose crc32 remainder isn't 2."""
     held = crc_mod("doc_id", HOLD_OUT[0]) == HOLD_OUT[1]
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", held.alias("held_out"), "text")
-    model = fit(docs.filter(~F.col("held_out")))
-    release(spark)
-    return score(docs, model)
+    return score(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", held.alias("held_out"), "text"))

@@ -11,7 +11,7 @@ from tabulon.llm import lm
 
 
 def frame(spark, rows):
-    return spark.createDataFrame([(i, bool(h), t, 1, "x") for i, h, t in rows], "doc_id long, held_out boolean, text string, part int, word string")
+    return spark.createDataFrame([(i, bool(h), t, 1, "x", 2) for i, h, t in rows], "doc_id long, held_out boolean, text string, range int, word string, batch int")
 
 
 def tokens(text):
@@ -24,89 +24,106 @@ def rows_of(n=80):
     return rows + [(i, False, t) for i, t in mixed_rows(n=10)] + [(5000, True, "new words only"), (5001, True, None)]
 
 
-def plain_scores(rows, weights, vocab, frequent):
-    """The mixture, token by token, with plain dictionaries; ``frequent`` are the words known by index."""
+def plain_scores(rows, weights):
+    """The mixture, token by token, with plain dictionaries."""
     train = [tokens(t) for _, h, t in rows if not h]
     c = Counter(w for d in train for w in d)
     total, types = sum(c.values()), len(c)
-    known = {w for w in c if w in frequent}
-    cls = lambda v: v if v in known else "<rare>"
-    pairs, ctx = Counter(), Counter()
+    pairs, triples = Counter(), Counter()
     for d in train:
-        for v, w in zip(["<start>", *map(cls, d)], d):
-            pairs[v, w] += 1
-            ctx[v] += 1
-    rare = total - sum(c[w] for w in known)
-    rare_one = rare / (types - len(known) + 1)
+        for i, w in enumerate(d):
+            pairs[d[i - 1] if i else "<start>", w] += 1
+            if i:
+                triples[d[i - 2] if i > 1 else "<start>", d[i - 1], w] += 1
     out = []
     for i, h, t in rows:
         d, score = tokens(t), 0.0
-        for v, w in zip(["<start>", *map(cls, d)], d):
-            bucket = lm.START_BUCKET if v == "<start>" else lm.RARE_BUCKET if v == "<rare>" else int(math.log2(c[v]))
-            a, b, z = weights[bucket]
-            score += math.log10(a * pairs[v, w] / max(ctx[v], 1) + b * (c[w] if w in known else rare_one) / total + z / (types + 1))
+        for j, w in enumerate(d):
+            if j:
+                u, v = d[j - 2] if j > 1 else "<start>", d[j - 1]
+                c3, c2, n3, n2 = pairs[u, v], c[v], triples[u, v, w], pairs[v, w]
+                bucket = int(math.log2(max(c3, 1))) * 16 + min(15, int(math.log2(max(c2, 1))) // 3)
+            else:
+                c3 = c2 = len(train)
+                n3 = n2 = pairs["<start>", w]
+                bucket = 1024
+            a, b, g, z = weights[bucket]
+            score += math.log10(a * n3 / max(c3, 1) + b * n2 / max(c2, 1) + g * c[w] / total + z / (types + 1))
         base = sum(math.log10((c[w] + 1) / (total + types + 1)) for w in d)
         out.append((i, h, len(d), sum(c[w] > 0 for w in d), total, base, score))
     return out
 
 
-@pytest.mark.parametrize("frequent,batch,part", [(1 << 18, 10**6, 10**6), (20, 300, 400)])
-def test_against_plain_counts(spark, monkeypatch, frequent, batch, part):
-    monkeypatch.setattr(lm, "BATCH_TOKENS", batch)
-    monkeypatch.setattr(lm, "PART_TOKENS", part)
+@pytest.mark.parametrize("batch,part", [(6 << 20, 8 << 20), (900, 700)])
+def test_against_plain_counts(spark, monkeypatch, batch, part):
+    monkeypatch.setattr(lm, "BATCH_BYTES", batch)
+    monkeypatch.setattr(lm, "RANGE_BYTES", part)
     rows = rows_of()
-    df = frame(spark, rows)
-    model = lm.fit(df.filter(~F.col("held_out")), frequent)
-    assert len(model.vocab.counts) <= frequent
-    if frequent < 100:
-        monkeypatch.setattr(model, "hot_counts", model.hot_counts)  # hot pairs are in use at this size
-    known = {w for d in (tokens(t) for _, h, t in rows if not h) for w in d}
-    names = sorted(known - {None})
-    hashes = dict(zip([*names, None], [*lm.hash_words(names)[0].tolist(), int(lm.END)]))
-    kept = {w for w, x in hashes.items() if x in set(model.vocab.lookup.keys.tolist())}
+    counted = lm.count_tokens(lm.write_batches(frame(spark, rows)))
+    model = lm.fit(counted)
+    train = [tokens(t) for _, h, t in rows if not h]
+    assert (model.tokens, model.documents) == (sum(map(len, train)), len(train))
+    assert model.types == len({w for d in train for w in d})
     key = lambda r: (r[0] is None, r[0] or 0, r[2])
-    found = sorted((tuple(r) for r in lm.score(df, model).collect()), key=key)
-    want = sorted(plain_scores(rows, model.weights, model.vocab, kept), key=key)
+    found = sorted((tuple(r) for r in lm.score_counted(counted, model).collect()), key=key)
+    want = sorted(plain_scores(rows, model.weights), key=key)
     assert [r[:5] for r in found] == [w[:5] for w in want]
     np.testing.assert_allclose([r[5:] for r in found], [w[5:] for w in want], rtol=1e-9)
 
 
-def test_hot_pairs_score_alike(spark, monkeypatch):
-    rows = [(i, False, "same pair " * 60 + words(random.Random(i), 5)) for i in range(30)]
-    df = frame(spark, rows)
-    model = lm.fit(df)
-    assert len(model.hot_counts) > 0
-    a = sorted((r["doc_id"], r["score"]) for r in lm.score(df, model).collect())
-    cold = lm.Model(model.vocab, model.weights, lm.Lookup(np.zeros(0, dtype=np.uint64)), np.zeros(0, dtype=np.int64))
-    b = sorted((r["doc_id"], r["score"]) for r in lm.score(df, cold).collect())
-    np.testing.assert_allclose([x for _, x in a], [x for _, x in b], rtol=1e-12)
+def test_messages_round_trip():
+    rng = np.random.default_rng(0)
+    for ranges in (1, 3, 1000):
+        batches = [np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64) >> np.uint64(s)) for s in (0, 1, 40)]
+        shared = batches[0][:100]
+        batches = [np.unique(np.concatenate([b, shared])) for b in batches]
+        counts = [rng.integers(0, 9, len(b)) for b in batches]
+        rows = [r for i, (b, c) in enumerate(zip(batches, counts)) for m in lm.requests(b, c, ranges, i) for r in zip(*(x.to_pylist() for x in m.columns))]
+        want = Counter()
+        for b, c in zip(batches, counts):
+            want.update(dict(zip(b.tolist(), c.tolist())))
+        got = {0: [], 1: [], 2: []}
+        for part in sorted({r[0] for r in rows}):
+            group = [r for r in rows if r[0] == part]
+            width, values = lm.answer(group, ranges)
+            for row, v in zip(group, values):
+                got[row[1]].append(lm._wide(v, width))
+        for i, b in enumerate(batches):
+            assert np.concatenate(got[i]).tolist() == [want[k] for k in b.tolist()]
+
+
+def test_squeezed_counts_round_trip():
+    for x in ([], [0], [1, 255, 256], [2**40, 3]):
+        a = np.array(x, dtype=np.uint64)
+        assert np.array_equal(lm._unsqueeze(lm._squeeze(a)), a)
+
+
+def test_texts_that_occur_twice_stand_apart(spark):
+    rng = random.Random(5)
+    rows = [(i, False, words(rng, 60, 50)) for i in range(200)]
+    rows += [(1000 + i, False, rows[i][2]) for i in range(20)]
+    per_token = {r["doc_id"]: r["score"] / r["n_tokens"] for r in lm.score(frame(spark, rows)).collect()}
+    twice = [per_token[i] for i in range(20)]
+    once = [per_token[i] for i in range(20, 200)]
+    assert min(twice) > max(once)
 
 
 def test_held_out_texts_beat_the_base(spark):
     rng = random.Random(1)
     rows = [(i, i % 5 == 0, " ".join(f"a{(j := rng.randrange(20))} b{j} c{j}" for _ in range(30))) for i in range(100)]
-    df = frame(spark, rows)
-    out = lm.score(df, lm.fit(df.filter(~F.col("held_out")))).filter("held_out").collect()
-    assert all(r["score"] > r["base_score"] for r in out)
+    out = lm.score(frame(spark, rows)).filter("held_out").collect()
+    assert len(out) == 20 and all(r["score"] > r["base_score"] for r in out)
 
 
-def test_weights_recover_a_mixture():
+def test_weights_are_shares():
     rng = np.random.default_rng(0)
-    cells = np.array([(3 << 40) | (a << 20) | b for a in (0, 9, 17) for b in (13, 25)])
+    cells = np.array([(3 << 24) | (a << 16) | (b << 8) | c for a in (0, 9) for b in (0, 13) for c in (13, 25)])
     weights = lm.learn_weights(cells, rng.integers(50, 500, len(cells)).astype(float), 1e-3)
-    assert np.allclose(weights.sum(axis=1), 1) and (weights > 0).all()
-
-
-def test_packing_round_trip():
-    k = np.array([1, 5, 2**63 + 7], dtype=np.uint64)
-    n = np.array([3, 1, 2], dtype=np.uint32)
-    a, b = lm._unpack(lm._pack(k, n))
-    assert np.array_equal(a, k) and np.array_equal(b, n)
+    assert weights.shape == (lm.BUCKETS, 4) and np.allclose(weights.sum(axis=1), 1) and (weights > 0).all()
 
 
 def test_no_training_and_empty(spark):
     df = frame(spark, [(1, True, "a b"), (2, True, None)])
-    out = {r["doc_id"]: r for r in lm.score(df, lm.fit(df.limit(0))).collect()}
-    assert out[1]["base_score"] == 0 and out[1]["n_known"] == 0 and out[1]["n_tokens"] == 3 and out[1]["score"] <= 0
-    none = empty(spark).select("doc_id", F.lit(True).alias("held_out"), "text")
-    assert lm.score(none, lm.fit(df)).count() == 0
+    out = {r["doc_id"]: r for r in lm.score(df).collect()}
+    assert out[1]["base_score"] == 0 and out[1]["n_known"] == 0 and out[1]["n_tokens"] == 3 and out[1]["score"] == 0
+    assert lm.score(empty(spark).select("doc_id", F.lit(True).alias("held_out"), "text")).count() == 0
