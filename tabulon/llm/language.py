@@ -1,14 +1,14 @@
 """Language identification by prediction by partial matching (PPM, escape method C) under frozen statistics.
 
 For each language a tree of byte contexts of up to three bytes is counted on a bounded sample of labelled documents
-(``SAMPLE_DOCS`` a language, whole texts of at most ``SAMPLE_BYTES`` each, chosen by hash; counted in the cluster). The code length of a
+(``SAMPLE_DOCS`` a language, whole texts of any length, chosen by hash; counted in the cluster). The code length of a
 byte is -ln of its probability after the longest context that has it, plus an escape for each longer one that has been
 seen without it: T + D events with D escapes after a context of T bytes with D distinct ones; below order 0 all 256
 bytes are equally likely. With frozen statistics this is a function of four bytes, so the lengths of all quadruples seen in
 training are tabulated and only others are computed anew. A text's language is the one with the shortest code.
 
 Edge cases: a text that is null, empty or has no letter is ``und`` with score 0, as is every text where nothing was
-learnt; ties go to the alphabetically first language; repeated rows are treated alike; extra columns are ignored.
+learnt; a very long text is coded piece by piece, contexts running on; ties go to the alphabetically first language; repeated rows are treated alike; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from tabulon.llm.common import chunks_of, column_bytes, crc_mod, slices
 
 ORDER = 3
 SAMPLE_DOCS = 1000  # Spark cuts groups to so many rows before it deals them out, not to more
-SAMPLE_BYTES = 65_536
 HOLD_OUT = 4, 2
 _PIECE = 1 << 18
+_COUNTED = 1 << 21
 _SLOTS = 20
 _MULTIPLIER = np.uint32(2654435769)
 
@@ -93,7 +93,7 @@ class LanguageModel:
         if not self.trees:
             return
         self.keys = np.unique(np.concatenate([t.keys[ORDER] for t in self.trees]))
-        self.table = np.stack([t.lengths(self.keys) for t in self.trees], axis=1).astype(np.float32)
+        self.table = np.stack([t.lengths(self.keys) for t in self.trees], axis=1)
         use = np.zeros(len(self.keys))
         for t in self.trees:
             use[np.searchsorted(self.keys, t.keys[ORDER])] += t.counts[ORDER]
@@ -148,16 +148,25 @@ def _count(batches):
     for batch in slices(batches):
         langs, texts = batch.column(0).to_pylist(), column_bytes(batch.column(1))
         for lang in sorted(set(langs)):
-            quads = [quadruples(np.frombuffer(bytes(ORDER) + t, np.uint8)) for x, t in zip(langs, texts) if x == lang and t]
-            if quads:
-                keys, n = np.unique(np.concatenate(quads), return_counts=True)
+            for quads in _pieces([bytes(ORDER) + t for x, t in zip(langs, texts) if x == lang and t]):
+                keys, n = np.unique(quads, return_counts=True)
                 columns = [pa.array([lang] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n)]
                 yield pa.RecordBatch.from_arrays(columns, ["lang", "quad", "n"])
 
 
-def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> LanguageModel:
+def _pieces(texts: list[bytes]):
+    """All quadruples within each of ``texts``, some ``_COUNTED`` at a time."""
+    for lo, hi in chunks_of(texts, _COUNTED):
+        if hi - lo == 1:
+            for i in range(0, len(texts[lo]) - ORDER, _COUNTED):
+                yield quadruples(np.frombuffer(texts[lo][i : i + _COUNTED + ORDER], np.uint8))
+        else:
+            yield np.concatenate([quadruples(np.frombuffer(t, np.uint8)) for t in texts[lo:hi]])
+
+
+def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> LanguageModel:
     """``docs`` (doc_id, text, lang): the rows to learn from; null languages are ignored."""
-    rows = docs.filter(F.col("lang").isNotNull() & F.octet_length("text").between(1, sample_bytes))
+    rows = docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
     # A share of each language's rows, some three times the sample, is ranked; a common language is no large group.
     shares = rows.groupBy(F.col("lang").alias("l")).agg((3.0 * sample_docs / F.count("*")).alias("share"))
     key = F.xxhash64("doc_id", F.lit(11))

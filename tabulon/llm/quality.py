@@ -1,31 +1,33 @@
 """Quality by compression: a dictionary of good and one of bad labelled text, the size difference, a calibrated score.
 
-Fitting takes a bounded sample of the labelled rows (``SAMPLE_DOCS`` a class, texts of at most ``SAMPLE_BYTES``, chosen by
-hash). One half of it builds two zstandard dictionaries; the other half calibrates: a monotone curve from the size
+Fitting takes a bounded sample of the labelled rows (``SAMPLE_DOCS`` a class, texts of any length, chosen by hash). One half of
+it builds two zstandard dictionaries, from blocks spread evenly over each text (``TEXT_BLOCKS`` of a text and ``SAMPLE_BLOCKS``
+of a class at most); the other half, whole texts compressed in the cluster, calibrates: a monotone curve from the size
 difference to the probability of label 1, reweighted to the shares that all training labels have. A text is
 compressed in blocks under both dictionaries, so that the dictionaries matter in long texts as much as in short
 ones; (bad - good) / (bad + good) over the summed sizes is the only input of the score.
 
-Edge cases: an empty or null text has difference 0; a label that is null is ignored; a document with several labels
-counts with its lowest; where one class has no labels the score is the smoothed share of label 1; repeated rows are
-scored alike; extra columns are ignored; an empty table gives no rows.
+Edge cases: an empty or null text has difference 0; a very long text is compressed block by block like any other; a label that is
+null is ignored; a document with several labels counts with its lowest; where one class has no labels the score is the
+smoothed share of label 1; rows that repeat an id and a text are scored alike and learnt from once; extra columns are ignored, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import column_bytes, crc_mod, slices
+from tabulon.llm.common import column_bytes, crc_mod, cut, drop_cut, slices
 
 SAMPLE_DOCS = 1500
-SAMPLE_BYTES = 65_536
+TEXT_BLOCKS = 64
+SAMPLE_BLOCKS = 8192
 #: Small, so that a dictionary holds what a class has in common rather than single texts.
 DICT_BYTES = 16_384
 BLOCK = 512
@@ -114,47 +116,74 @@ class QualityModel:
         return 0.999 * np.interp(differences, self.at, self.height) + 0.001 * curve
 
 
-def build_dictionary(texts: list[bytes], size: int = DICT_BYTES) -> bytes:
-    """A trained zstandard dictionary; where the trainer has too little, the raw text serves as one."""
+def build_dictionary(blocks: list[bytes], size: int = DICT_BYTES) -> bytes:
+    """A trained zstandard dictionary; where the trainer has too little, the raw blocks serve as one."""
     import zstandard as zstd
 
-    parts = [b for t in texts for b in blocks_of(t)]
-    total = sum(map(len, parts))
+    total = sum(map(len, blocks))
     try:
-        return zstd.train_dictionary(min(size, max(1024, total // 8)), parts).as_bytes()
+        return zstd.train_dictionary(min(size, max(1024, total // 8)), blocks).as_bytes()
     except zstd.ZstdError:
-        return b"".join(parts)[-size:] or b" "
+        return b"".join(blocks)[-size:] or b" "
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> QualityModel:
-    """``docs`` (doc_id, text) and ``labels`` (doc_id, quality) of the training rows."""
+def spread_blocks(text: bytes, most: int = TEXT_BLOCKS) -> list[bytes]:
+    """At most ``most`` blocks of ``text``, evenly spread over all of it."""
+    count = -(-len(text) // BLOCK)
+    picked = range(count) if count <= most else [i * count // most for i in range(most)]
+    return [text[i * BLOCK : (i + 1) * BLOCK] for i in picked]
+
+
+def _build_blocks(batches):
+    for batch in slices(batches):
+        for q, text in zip(batch.column(0).to_pylist(), column_bytes(batch.column(1))):
+            found = spread_blocks(text)
+            yield pa.RecordBatch.from_arrays([pa.array([q] * len(found), pa.int32()), pa.array(found, pa.binary())], ["quality", "block"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, sample_docs: int) -> tuple[DataFrame, int, int]:
+    """``quality, role, text`` of the sampled rows (role 0 builds, 1 calibrates), and how many labels of 0 and 1 there are."""
     one = (
         labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.min("quality").cast("int").alias("quality"))
     )
     counts = {r["quality"]: r["n"] for r in one.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    n0, n1 = counts.get(0, 0), counts.get(1, 0)
-    prior = QualityModel(None, None, 0.0, math.log((n1 + 1) / (n0 + 1)))
-    short = docs.filter(F.octet_length("text").between(1, sample_bytes)).select("doc_id", F.octet_length("text").alias("n"))
-    found = one.join(short, "doc_id")
-    by_hash = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id"), F.col("n")]
+    mark = F.xxhash64("text")
+    found = one.join(docs.filter(F.octet_length("text") > 0).select("doc_id", mark.alias("mark")), "doc_id").distinct()
+    by_hash = [F.xxhash64("doc_id", F.lit(7)), F.col("doc_id"), F.col("mark")]
     picked = [found.filter(F.col("quality") == c).orderBy(*by_hash).limit(sample_docs) for c in (0, 1)]
-    chosen = picked[0].unionByName(picked[1])  # at most 2 * sample_docs rows
-    rows = (
-        docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["doc_id"]) & (F.octet_length(docs["text"]) == chosen["n"]))
-        .select(docs["doc_id"], chosen["quality"], docs["text"])
-        .dropDuplicates(["doc_id"])
-        .collect()
-    )
-    rows = sorted((r["quality"], crc32(str(r["doc_id"]).encode()[::-1]), r["text"].encode()) for r in rows)
-    build = [[t for q, r, t in rows if q == c][::2] for c in (0, 1)]
-    tune = [(c, t) for c in (0, 1) for t in [t for q, r, t in rows if q == c][1::2]]
-    if not (build[0] and build[1]) or len({q for q, _ in tune}) < 2:
+    turn = F.row_number().over(Window.partitionBy("quality").orderBy(*by_hash))
+    chosen = picked[0].unionByName(picked[1]).withColumn("role", turn % 2)  # at most 2 * sample_docs rows
+    rows = docs.join(F.broadcast(chosen), (docs["doc_id"] == chosen["doc_id"]) & (mark == chosen["mark"]))
+    rows = rows.select(docs["doc_id"], "quality", "role", "text").dropDuplicates(["doc_id", "text"])
+    return cut(rows.select("quality", "role", "text"), "sample"), counts.get(0, 0), counts.get(1, 0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_blocks: int = SAMPLE_BLOCKS) -> QualityModel:
+    """``docs`` (doc_id, text) and ``labels`` (doc_id, quality) of the training rows."""
+    rows, n0, n1 = sample(docs, labels, sample_docs)
+    prior = QualityModel(None, None, 0.0, math.log((n1 + 1) / (n0 + 1)))
+    blocks = rows.filter("role = 0").select("quality", "text").mapInArrow(_build_blocks, "quality int, block binary")
+    order = [F.xxhash64("block"), F.col("block")]
+    build = [[bytes(r["block"]) for r in blocks.filter(F.col("quality") == c).orderBy(*order).limit(sample_blocks).collect()] for c in (0, 1)]
+    if not (build[0] and build[1]):
         return prior
     bad, good = map(build_dictionary, build)
-    sizer = Sizer(good, bad)
-    x, y = np.array([sizer.difference(t) for _, t in tune]), np.array([q for q, _ in tune], dtype=float)
+    shared = docs.sparkSession.sparkContext.broadcast((good, bad))
+
+    def measure(batches):
+        sizer = Sizer(*shared.value)
+        for batch in slices(batches):
+            found = [sizer.difference(t) for t in column_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], ["quality", "difference"])
+
+    tune = rows.filter("role = 1").select("quality", "text").mapInArrow(measure, "quality int, difference double").collect()
+    drop_cut(rows)
+    tune = sorted((r["difference"], r["quality"]) for r in tune)  # at most 2 * sample_docs numbers
+    x, y = np.array([d for d, _ in tune]), np.array([q for _, q in tune], dtype=float)
+    if len(set(y.tolist())) < 2:
+        return prior
     share = [n0 / (n0 + n1) / np.sum(y == 0), n1 / (n0 + n1) / np.sum(y == 1)]
     w = np.where(y == 1, share[1], share[0]) * len(y)
     return QualityModel(good, bad, *fit_logistic(x, y, w), *fit_monotone(x, y, w))

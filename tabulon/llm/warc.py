@@ -1,20 +1,24 @@
 """WARC archives with revisit records, resolved by payload digest.
 
-Writing: only headers (page_id, digest, length) are grouped by payload digest. Of the records whose equal payloads have
+Writing: only headers (page_id, url, digest, length) are grouped by payload digest. Of the records whose equal payloads have
 at least ``LEAST`` bytes, the one with the largest page_id stays a response; the others become revisit records that
 name it and carry no payload. Each record gets fresh headers and Spark writes the records as archives in the shared
-folder: one record a line of the text writer, whose line end is the last byte of the record's blank lines.
+folder: one record a line of the text writer, whose line end is the last byte of the record's blank lines. An archive is
+one gzip stream, committed by Spark as a whole.
 
-Reading: archives are parsed by Content-Length, byte by byte as the format says, never by searching for a separator.
-A revisit is resolved by joining its WARC-Refers-To with the responses' record ids.
+Reading: archives of any origin, plain or of any number of gzip members, are inflated in steps and parsed by Content-Length,
+byte by byte as the format says, never by searching for a separator. Header names may have any case and any white space
+after the colon. A revisit is resolved by joining its WARC-Refers-To with the responses' record ids.
 
-Edge cases: a null payload is empty; records with null page_id are responses unless a page with an id has an equal payload of
-at least ``LEAST`` bytes; repeated rows of the largest page_id are all responses; an empty table gives no records; extra
-columns are ignored.
+Edge cases: a null payload is empty; a very long one stands in an archive of its own; records with null page_id are responses
+unless a page with an id has an equal payload of at least ``LEAST`` bytes; repeated rows of the largest page_id are all
+responses; rows that repeat a page and a payload, and rows without an id, get record ids of their own; an empty table gives
+no records; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,11 +32,14 @@ LEAST = 1000
 ARCHIVE_BYTES = 8 << 20
 _DATE = "2024-01-01T00:00:00Z"
 _NO_ID = -(1 << 63)
-_PARSED = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary"
+#: Bytes that are inflated at once, before inflation.
+_STEP = 1 << 16
+_PARSED = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload binary, record_id string"
 
 
 def decide(pages: DataFrame, least: int = LEAST, parts: int | None = None) -> DataFrame:
-    """``pages`` (page_id, url, html) with payload_digest, payload_bytes, record_type and refers_to.
+    """``pages`` (page_id, url, html) with payload_digest, payload_bytes, record_type, refers_to, original_url (of the page that
+    refers_to names) and repeated (another row has the same id and payload).
 
     Payloads move once, dealt by digest and page to ``parts`` partitions; decisions come to them.
     """
@@ -44,16 +51,25 @@ def decide(pages: DataFrame, least: int = LEAST, parts: int | None = None) -> Da
         F.sha1(body.cast("binary")).alias("payload_digest"),
         F.octet_length(body).cast("long").alias("payload_bytes"),
     )
+    keyed = rows.withColumn("key", F.coalesce("page_id", F.lit(_NO_ID))).groupBy("payload_digest", "key", "payload_bytes")
+    keyed = keyed.agg(F.count("*").alias("n"), F.max("page_id").alias("page_id"), F.max("url").alias("url"))
     originals = (
-        rows.filter(F.col("payload_bytes") >= least)
+        keyed.filter(F.col("payload_bytes") >= least)
         .groupBy("payload_digest")
-        .agg(F.max("page_id").alias("original"), F.count("*").alias("copies"))
+        .agg(F.max(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("top"), F.sum("n").alias("copies"))
         .filter("copies > 1")
-        .select("payload_digest", "original")
+        .select("payload_digest", F.col("top.page_id").alias("original"), F.col("top.url").alias("original_url"))
     )
     revisit = F.col("original").isNotNull()
-    own = rows.select("payload_digest", "page_id").join(originals, "payload_digest").filter(~F.col("page_id").eqNullSafe(F.col("original")))
-    own = own.select("payload_digest", F.coalesce("page_id", F.lit(_NO_ID)).alias("key"), "original").distinct()
+    own = keyed.join(originals, "payload_digest", "left").filter((F.col("n") > 1) | ~F.col("page_id").eqNullSafe(F.col("original")) & revisit)
+    is_top = F.col("page_id").eqNullSafe(F.col("original"))
+    own = own.select(
+        "payload_digest",
+        "key",
+        (F.col("n") > 1).alias("repeated"),
+        F.when(~is_top, F.col("original")).alias("original"),
+        F.when(~is_top, F.col("original_url")).alias("original_url"),
+    )
     rows = rows.withColumn("key", F.coalesce("page_id", F.lit(_NO_ID)))
     rows = rows.repartition(parts, "payload_digest", "key") if parts else rows
     return rows.join(own, ["payload_digest", "key"], "left").select(
@@ -63,7 +79,9 @@ def decide(pages: DataFrame, least: int = LEAST, parts: int | None = None) -> Da
         "payload_digest",
         "payload_bytes",
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
-        F.when(revisit, F.col("original")).alias("refers_to"),
+        F.col("original").alias("refers_to"),
+        "original_url",
+        F.coalesce("repeated", F.lit(False)).alias("repeated"),
     )
 
 
@@ -73,18 +91,23 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_byte
     archives = int(max(1, -(-total // archive_bytes)))
     decided = decide(pages, least, archives)
     end = "\r\n"
-    urn = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">")), F.lit("<urn:page:none>"))
+    urn = lambda c: F.concat(F.lit("<urn:page:"), c, F.lit(">"))
+    # Only ids that nothing needs to find again are numbered as the rows come.
+    number = F.concat(F.lit(":"), F.monotonically_increasing_id().cast("string"))
+    page = F.col("page_id").cast("string")
+    name = F.when(F.col("page_id").isNull(), F.concat(F.lit("none"), number)).when(F.col("repeated"), F.concat(page, number)).otherwise(page)
     is_revisit = F.col("record_type") == "revisit"
     length = F.when(is_revisit, F.lit(0)).otherwise(F.col("payload_bytes"))
-    url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20]", "%20")
+    printable = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x20]", "%20")
     record = F.concat(
         F.lit(f"WARC/1.1{end}WARC-Type: "), F.col("record_type"),
-        F.lit(f"{end}WARC-Record-ID: "), urn(F.col("page_id")),
-        F.lit(f"{end}WARC-Date: {_DATE}{end}WARC-Target-URI: "), url,
+        F.lit(f"{end}WARC-Record-ID: "), urn(name),
+        F.lit(f"{end}WARC-Date: {_DATE}{end}WARC-Target-URI: "), printable(F.col("url")),
         F.lit(f"{end}WARC-Payload-Digest: sha1:"), F.col("payload_digest"),
         F.when(is_revisit, F.concat(
             F.lit(f"{end}WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{end}WARC-Refers-To: "),
-            urn(F.col("refers_to")))).otherwise(F.lit("")),
+            urn(F.col("refers_to").cast("string")), F.lit(f"{end}WARC-Refers-To-Target-URI: "), printable(F.col("original_url")),
+            F.lit(f"{end}WARC-Refers-To-Date: {_DATE}"))).otherwise(F.lit("")),
         F.lit(f"{end}Content-Type: text/html; charset=utf-8{end}Content-Length: "), length.cast("string"),
         F.lit(end + end),
         F.when(is_revisit, F.lit("")).otherwise(F.col("html")),
@@ -93,38 +116,96 @@ def write_archives(pages: DataFrame, path: str, least: int = LEAST, archive_byte
     decided.select(record.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
-def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers and block of each record of an uncompressed archive."""
-    at = 0
-    while at < len(data):
-        stop = data.index(b"\r\n\r\n", at)
-        lines = data[at:stop].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = dict(x.split(": ", 1) for x in lines[1:])
+def inflate(content: bytes) -> Iterator[bytes]:
+    """The bytes of a plain archive, or of all members of a gzipped one, in steps."""
+    import zlib
+
+    at, view = 0, memoryview(content)
+    zipped = content[:2] == b"\x1f\x8b"
+    while at < len(content):
+        if not zipped:
+            yield bytes(view[at : at + _STEP])
+            at += _STEP
+            continue
+        member = zlib.decompressobj(wbits=31)
+        while not member.eof:
+            if at >= len(content):
+                raise ValueError("the archive ends within a gzip member")
+            part = view[at : at + _STEP]
+            out = member.decompress(part)
+            at += len(part) - len(member.unused_data)
+            yield out
+        while content[at : at + 1] == b"\0":  # padding between members
+            at += 1
+
+
+def read_headers(head: bytes) -> dict[str, str]:
+    """Header values by lower-case name; a line that begins with white space goes on with the one before it."""
+    out, name = {}, None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+            continue
+        name, _, value = line.partition(":")
+        name = name.strip().lower()
+        out[name] = value.strip()
+    return out
+
+
+def parse_records(chunks: bytes | Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Headers (names in lower case) and block of each record of an archive, whose bytes come in any steps."""
+    source, held, place = iter([chunks] if isinstance(chunks, bytes) else chunks), bytearray(), 0
+
+    def more() -> bool:
+        part = next(source, None)
+        held.extend(part or b"")
+        return part is not None
+
+    while True:
+        stop = held.find(b"\r\n\r\n")
+        while stop < 0:
+            searched = max(0, len(held) - 3)
+            if not more():
+                if held.strip():
+                    raise ValueError(f"no WARC record at byte {place}")
+                return
+            stop = held.find(b"\r\n\r\n", searched)
+        if not held.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at byte {place}")
+        headers = read_headers(bytes(held[:stop]))
         start = stop + 4
-        end = start + int(headers["Content-Length"])
-        yield headers, data[start:end]
-        if data[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} doesn't end where its length says")
-        at = end + 4
+        end = start + int(headers["content-length"])
+        while len(held) < end + 4 and more():
+            pass
+        if held[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"record at byte {place} doesn't end where its length says")
+        yield headers, bytes(held[start:end])
+        del held[: end + 4]
+        place += end + 4
 
 
 def _number(urn: str | None) -> int | None:
-    found = (urn or "").removeprefix("<urn:page:").removesuffix(">")
-    return None if found in ("", "none") else int(found)
+    found = re.fullmatch(r"<urn:page:(-?\d+)(:\d+)?>", urn or "")
+    return int(found[1]) if found else None
 
 
-def _parse(batches):
-    import zlib
+def _payload(headers: dict[str, str], block: bytes) -> bytes:
+    """The block, without the HTTP headers of a record that holds a whole HTTP message."""
+    if headers.get("content-type", "").replace(" ", "").lower().startswith("application/http"):
+        return block.partition(b"\r\n\r\n")[2]
+    return block
 
+
+def _parse(batches):
     for batch in batches:
         for content in batch.column("content"):
             out, size = [], 0
-            for headers, block in parse_records(zlib.decompress(content.as_py(), wbits=31)):
+            for headers, block in parse_records(inflate(content.as_py())):
+                block = _payload(headers, block)
                 out.append((
-                    _number(headers["WARC-Record-ID"]), headers["WARC-Target-URI"], headers["WARC-Type"],
-                    _number(headers.get("WARC-Refers-To")), headers["WARC-Payload-Digest"].removeprefix("sha1:"), block,
+                    _number(headers.get("warc-record-id")), headers.get("warc-target-uri"), headers.get("warc-type"),
+                    _number(headers.get("warc-refers-to")), headers.get("warc-payload-digest", "").removeprefix("sha1:"), block,
+                    headers.get("warc-record-id"),
                 ))
                 size += len(block)
                 if size >= 4 << 20:
@@ -135,14 +216,17 @@ def _parse(batches):
 
 
 def _to_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string()]
     names = [x.split()[0] for x in _PARSED.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each record under ``path``; a revisit's payload is null."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    """One row for each record of the archives (``*.gz`` and ``*.warc``) under ``path``; only responses have a payload.
+
+    page_id and refers_to are null where a foreign record's id names no page.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{gz,warc}").load(path).select("content")
     rows = files.mapInArrow(_parse, _PARSED)
     return rows.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
 

@@ -53,7 +53,7 @@ def test_code_lengths_match_a_plain_coder():
     model = L.LanguageModel(sorted(texts), trees)
     asked = [b"the cat", b"", "müde größe".encode(), b"qqqq zz\x00\xff", b"die katze " * 10, b"x"]
     want = [[plain_length(c, t) for c in plain] for t in asked]
-    np.testing.assert_allclose(model.code_lengths(asked), want, rtol=1e-5)
+    np.testing.assert_allclose(model.code_lengths(asked), want, rtol=1e-12)
 
 
 def test_long_texts_in_pieces(monkeypatch):
@@ -92,3 +92,14 @@ def test_held_out_accuracy(spark):
     found = L.query(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang"), "doc_id")
     found = found.filter("held_out").toPandas()
     assert (found.lang == found.lang_pred).mean() > 0.98
+
+
+def test_long_texts_are_learnt_from(spark, monkeypatch):
+    rows = [(i, SPEECH[x] * 1200, x) for i, x in enumerate(SPEECH)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert model.languages == sorted(SPEECH)
+    monkeypatch.setattr(L, "_COUNTED", 1000)
+    pieces = [q for t in (b"abc", b"", bytes(3) + b"x" * 2500, b"hello") for q in [t]]
+    whole = np.concatenate([L.quadruples(np.frombuffer(t, np.uint8)) for t in pieces if len(t) > 3])
+    assert np.array_equal(np.concatenate(list(L._pieces(pieces))), whole)

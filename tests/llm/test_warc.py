@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 from collections import Counter
 
@@ -58,6 +59,48 @@ def test_archives_hold_each_payload_once(spark):
     assert all(r["url"].isprintable() for r in records)
 
 
+def test_record_ids_are_unique(spark):
+    path = new_path(spark, "warc")
+    warc.write_archives(frame(spark, [*ROWS, (None, "u", "q"), (4, "u", "short")]), path)
+    ids = [r["record_id"] for r in warc.read_archives(spark, path).collect()]
+    assert len(ids) == len(ROWS) + 2 == len(set(ids))
+
+
+def foreign_record(i, body, kind="response"):
+    http = b"HTTP/1.1 200 OK\r\nContent-Type:text/html\r\n\r\n" + body
+    return (
+        b"WARC/1.0\r\nwarc-type:%s\r\nWARC-RECORD-ID:   <urn:uuid:%d>\r\nWARC-Target-URI: http://h/\r\n  p%d\r\n"
+        b"content-type: application/http; msgtype=response\r\nCONTENT-LENGTH:%d\r\n\r\n%s\r\n\r\n"
+    ) % (kind.encode(), i, i, len(http), http)
+
+
+@pytest.mark.parametrize("form", ["a member a record", "one member", "plain", "padded"])
+def test_foreign_archives(spark, tmp_path, form):
+    bodies = [b"", b"x" * 10, b"WARC/1.0\r\n\r\n" * 3, bytes(range(256)) * 1000]
+    records = [foreign_record(i, b) for i, b in enumerate(bodies * 8)]
+    data = {
+        "a member a record": b"".join(map(gzip.compress, records)),
+        "one member": gzip.compress(b"".join(records)),
+        "plain": b"".join(records),
+        "padded": b"".join(gzip.compress(r) + bytes(7) for r in records),
+    }[form]
+    (tmp_path / ("a.warc" if form == "plain" else "a.warc.gz")).write_bytes(data)
+    found = {r["record_id"]: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert {k: bytes(r["payload"]) for k, r in found.items()} == {f"<urn:uuid:{i}>": b for i, b in enumerate(bodies * 8)}
+    assert found["<urn:uuid:3>"]["url"] == "http://h/ p3" and found["<urn:uuid:3>"]["page_id"] is None
+
+
+def test_cut_archives_are_told(spark):
+    with pytest.raises(ValueError, match="within a gzip member"):
+        list(warc.parse_records(warc.inflate(gzip.compress(foreign_record(1, b"a" * 1000))[:-9])))
+
+
+def test_parser_in_steps():
+    data = b"".join(foreign_record(i, b"y" * i) for i in range(30))
+    whole = list(warc.parse_records(data))
+    assert len(whole) == 30 and list(warc.parse_records(data[i : i + 7] for i in range(0, len(data), 7))) == whole
+
+
 def test_parser():
     record = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 4\r\n\r\na\r\nb\r\n\r\n"
     assert [b for _, b in warc.parse_records(record * 2)] == [b"a\r\nb"] * 2
