@@ -6,12 +6,13 @@ weights) and are learnt by expectation-maximisation on deleted counts: each trai
 without it. A sufficient table for that (bucket, three logarithmic ratios, events) is added up in the cluster; the driver sees
 its cells only, whose number depends on the steps of the logarithms and not on the texts.
 
-Every word, pair and triple has its own count over all training documents; nothing is pooled or broadcast. The texts are written
-once in batches. Each batch sends its distinct keys of all three orders, with their training counts, to the
-ranges of the hash space that they fall into; a range adds the counts up and answers each batch with the totals, in the
-batch's own order. One message holds one batch's run of keys in one range as bytes: there are never more messages than keys, and a
-key comes once from each batch however often it occurs. The answers meet the batch's texts, and the counts of all its tokens are
-written: learning the weights and scoring are two plain scans of them.
+Every word, pair and triple has its own count over all training documents; nothing is pooled or broadcast. Texts are dealt once, in
+batches. Each batch sends its distinct keys of each order, with their training counts, to the ranges of the hash space that
+they fall into; a range adds the counts up and answers each batch with the totals, in the batch's own order. One message holds
+one batch's run of keys in one range, compressed: there are never more messages than keys, and a key comes once from each
+batch however often it occurs. The answers meet the batch's texts again, and the counts of all its tokens are written: learning
+the weights and scoring are two plain scans of them. Keys of pairs and triples are hashes of ``SPARE_BITS`` bits more than the number of
+tokens needs (64 at most), so that at any size about one key in 10**8 shares its hash with another; words keep 64 bits.
 
 Edge cases: a null or empty text is its end token alone; a very long text is a batch of its own; without training tokens every token
 has probability 1 / (V + 1) = 1; repeated rows are scored each for itself; null ids hash as the empty text; an empty table
@@ -34,12 +35,14 @@ from tabulon.llm.words import hash_words, mix
 
 HOLD_OUT = 7, 2
 #: Bytes of text in a batch, and in a range of the hash space (about).
-BATCH_BYTES = 6 << 20
-RANGE_BYTES = 8 << 20
+BATCH_BYTES = 12 << 20
+RANGE_BYTES = 16 << 20
+SPARE_BITS = 28
 #: Shuffle partitions that ranges or batches are dealt to, at most (each takes its ranges or batches one by one).
 MOST_PARTITIONS = 16_384
-#: Messages in one Arrow batch.
-_MESSAGES = 4096
+#: Values from which on a message is compressed, and messages in one Arrow batch.
+_PACKED = 64
+_MESSAGES = 1024
 START = np.uint64(0x9E6C63D0876A9A47)
 END = np.uint64(0x2545F4914F6CDD1D)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -81,10 +84,24 @@ def _wide(data: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """A binary column: value i is data[offsets[i] : offsets[i + 1]]."""
-    own = np.ascontiguousarray(data[offsets[0] : offsets[-1]])
-    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets - offsets[0]).astype(np.int32)), pa.py_buffer(own)])
+def pack(x: np.ndarray) -> bytes:
+    """An array of uint64 as its byte planes, compressed where that pays; the first byte says how."""
+    width = _width(x.max()) if len(x) else 1
+    if len(x) < _PACKED:
+        return bytes([width]) + _narrow(x, width).tobytes()
+    import zstandard as zstd
+
+    return bytes([width | 16]) + zstd.ZstdCompressor(level=1).compress(_narrow(x, width).reshape(-1, width).T.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width = data[0] & 15
+    if data[0] < 16:
+        return _wide(data[1:], width)
+    import zstandard as zstd
+
+    raw = zstd.ZstdDecompressor().decompress(data[1:])
+    return _wide(np.frombuffer(raw, np.uint8).reshape(width, -1).T.tobytes(), width)
 
 
 def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -92,34 +109,28 @@ def range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
 
 
-def range_start(at: np.ndarray, ranges: int) -> np.ndarray:
-    """The least key of each range."""
-    return (((at << np.uint64(32)) + np.uint64(ranges - 1)) // np.uint64(ranges)) << np.uint64(32)
-
+def requests(order: int, keys: np.ndarray, counts: np.ndarray, ranges: int, drop: int) -> list[tuple[int, bytes, bytes]]:
+    """Messages (part, keys, counts) of a batch's sorted distinct keys of one order; a part is a range of an order.
 
-def requests(keys: np.ndarray, counts: np.ndarray, ranges: int, batch: int):
-    """Messages (range, batch, width, keys, counts) of a batch's sorted distinct keys, as Arrow batches.
-
-    Keys are kept as differences, each message's first from the start of its range.
+    Keys end in ``drop`` zero bits and are kept as differences.
     """
     at = range_of(keys, ranges)
-    starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    gaps = np.diff(keys, prepend=np.uint64(0))
-    gaps[starts] = keys[starts] - range_start(at[starts], ranges)
-    width = _width(gaps.max())
-    raw, n = _narrow(gaps, width), counts.astype("<u4").view(np.uint8)
-    edges = np.append(starts, len(keys))
-    for i in range(0, len(starts), _MESSAGES):
-        own = edges[i : i + _MESSAGES + 1]
-        size = len(own) - 1
-        columns = [
-            pa.array(at[own[:-1]].astype(np.int64)),
-            pa.array(np.full(size, batch)),
-            pa.array(np.full(size, width, dtype=np.int32)),
-            _binary(raw, own * width),
-            _binary(n, own * 4),
-        ]
-        yield pa.RecordBatch.from_arrays(columns, ["range", "batch", "width", "keys", "counts"])
+    edges = np.append(np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])), len(keys)) if len(keys) else np.zeros(1, dtype=np.int64)
+    short = keys >> np.uint64(drop)
+    return [
+        (order * ranges + int(at[a]), pack(np.diff(short[a:b], prepend=np.uint64(0))), pack(counts[a:b]))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())
+    ]
+
+
+def answer(messages: list[tuple[bytes, bytes]]) -> list[bytes]:
+    """For each message (keys, counts) of one part: the counts that its keys have in all other messages."""
+    keys = [np.cumsum(unpack(k), dtype=np.uint64) for k, _ in messages]
+    counts = np.concatenate([unpack(n) for _, n in messages]).astype(np.int64)
+    edges = np.cumsum([0, *map(len, keys)])
+    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    others = (np.bincount(inverse, weights=counts).astype(np.int64)[inverse] - counts).astype(np.uint64)
+    return [pack(others[a:b]) for a, b in zip(edges[:-1], edges[1:])]
 
 
 def _grouped(batches):
@@ -136,39 +147,7 @@ def _grouped(batches):
         yield held
 
 
-def answer(group: list[tuple], ranges: int) -> tuple[int, list[bytes]]:
-    """The totals of each message's keys over all messages of one range: bytes a value, and the values of each message."""
-    gaps = [_wide(keys, width) for _, _, width, keys, _ in group]
-    sizes = np.array([len(x) for x in gaps])
-    sums = np.cumsum(np.concatenate(gaps), dtype=np.uint64)
-    ends = np.cumsum(sizes)
-    before = np.concatenate([[np.uint64(0)], sums[ends[:-1] - 1]])
-    keys = sums - np.repeat(before, sizes) + range_start(np.array([group[0][0]], dtype=np.uint64), ranges)
-    counts = np.frombuffer(b"".join(r[4] for r in group), "<u4")
-    _, inverse = np.unique(keys, return_inverse=True)
-    totals = np.bincount(inverse, weights=counts)
-    width = _width(totals.max())
-    data = memoryview(_narrow(totals.astype(np.uint64)[inverse], width))
-    edges = np.concatenate([[0], ends]) * width
-    return width, [data[a:b].tobytes() for a, b in zip(edges, edges[1:])]
-
-
-def _squeeze(x: np.ndarray) -> bytes:
-    """Byte planes of an array of counts, compressed."""
-    import zstandard as zstd
-
-    width = _width(x.max()) if len(x) else 1
-    return bytes([width]) + zstd.ZstdCompressor(level=1).compress(_narrow(x, width).reshape(-1, width).T.tobytes())
-
-
-def _unsqueeze(z: bytes) -> np.ndarray:
-    import zstandard as zstd
-
-    raw = zstd.ZstdDecompressor().decompress(z[1:])
-    return _wide(np.frombuffer(raw, np.uint8).reshape(z[0], -1).T.tobytes(), z[0])
-
-
-def write_batches(docs: DataFrame) -> DataFrame:
+def batched(docs: DataFrame) -> DataFrame:
     """``batch, ids, held, lengths, data``: the rows of ``docs`` (doc_id, held_out, text) in batches, texts joined and compressed."""
     kind = docs.schema["doc_id"].dataType
 
@@ -185,7 +164,7 @@ def write_batches(docs: DataFrame) -> DataFrame:
                 pa.array([ids], pa.list_(to_arrow_type(kind))),
                 pa.array([held], pa.list_(pa.bool_())),
                 pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([zstd.ZstdCompressor(level=1).compress(b"".join(texts))], pa.binary()),
+                pa.array([zstd.ZstdCompressor(level=3).compress(b"".join(texts))], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, ["batch", "ids", "held", "lengths", "data"])
 
@@ -205,7 +184,7 @@ def write_batches(docs: DataFrame) -> DataFrame:
         T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())),
         T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()),
     ])
-    return cut(docs.select("doc_id", "held_out", "text").mapInArrow(run, schema), "batches")
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
 def _texts(data: bytes, lengths: list[int]) -> list[bytes]:
@@ -215,75 +194,90 @@ def _texts(data: bytes, lengths: list[int]) -> list[bytes]:
     return [raw[e - n : e] for e, n in zip(ends, lengths)]
 
 
-def count_tokens(batches: DataFrame) -> DataFrame:
+def _orders(texts: list[bytes], drop: int):
+    """(keys of an order, whether each token has one), and the tokens' texts and first tokens."""
+    tokens, pairs, triples, owner, first = token_keys(texts)
+    mask = np.uint64((1 << 64) - (1 << drop))
+    pairs &= mask
+    triples &= mask
+    return (tokens, pairs, triples[~first]), owner, first
+
+
+def count_tokens(docs: DataFrame) -> DataFrame:
     """``ids, held, sizes, train_tokens, train_docs, n1, n2, n3``: training counts of each token, its pair and its triple.
 
-    A row for each batch; the counts are compressed arrays over the batch's tokens. A first token's triple has its pair's count.
+    A row for each batch of ``docs`` (doc_id, held_out, text); the counts are compressed arrays over the batch's tokens. A first
+    token's triple has its pair's count.
     """
-    total, number = batches.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x + 1)), F.count("*")).first()
-    ranges = max(1, -(-(total or 0) // RANGE_BYTES))
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    total = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1)).first()[0] or 0
+    ranges = max(1, -(-total // RANGE_BYTES))
+    dealt = max(1, min(-(-total // BATCH_BYTES), MOST_PARTITIONS))
+    drop = max(0, 64 - SPARE_BITS - int(total).bit_length())
 
     def send(rows):
         for row in _grouped(rows):
-            batch, held, lengths, data = row[0]
-            tokens, pairs, triples, owner, first = token_keys(_texts(data, lengths))
+            batch, _, held, lengths, data = row[0]
+            orders, owner, first = _orders(_texts(data, lengths), drop)
             learnt = ~np.array(held)[owner]
-            orders = ((tokens, learnt), (pairs, learnt), (triples[~first], learnt[~first]))
-            train = [np.unique(k[own], return_counts=True) for k, own in orders]
-            known, n = np.concatenate([k for k, _ in train]), np.concatenate([c for _, c in train])
-            order = np.argsort(known)
-            known, n = known[order], n[order]
-            keys = np.unique(np.concatenate([known, *(k[~own] for k, own in orders)]))
-            counts = np.zeros(len(keys), dtype=np.uint32)
-            counts[np.searchsorted(keys, known)] = n
-            yield from requests(keys, counts, ranges, batch)
+            out = []
+            for order, own in enumerate(orders):
+                known = learnt if order < 2 else learnt[~first]
+                seen, n = np.unique(own[known], return_counts=True)
+                keys = np.unique(own)
+                counts = np.zeros(len(keys), dtype=np.uint64)
+                counts[np.searchsorted(keys, seen)] = n
+                out += requests(order, keys, counts, ranges, drop if order else 0)
+            for i in range(0, len(out), _MESSAGES):
+                part, keys, counts = zip(*out[i : i + _MESSAGES])
+                columns = [pa.array(part, pa.int64()), pa.array([batch] * len(part)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "batch", "keys", "counts"])
 
     def solve(rows):
         for group in _grouped(rows):
-            width, values = answer(group, ranges)
-            n = len(group)
-            columns = [[r[1] for r in group], [group[0][0]] * n, [width] * n, values]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["batch", "range", "width", "data"])
-
-    def meet(rows):
-        for group in _grouped(rows):
-            _, _, _, data, ids, held, lengths = group[0]
-            tokens, pairs, triples, owner, first = token_keys(_texts(data, lengths))
-            values = np.concatenate([_wide(r[3], r[2]) for r in group[1:]])
-            split = np.cumsum([len(tokens), len(pairs)])
-            keys, inverse = np.unique(np.concatenate([tokens, pairs, triples[~first]]), return_inverse=True)
-            if len(keys) != len(values):
-                raise ValueError(f"{len(values)} answers to {len(keys)} keys")
-            n1, n2, later = np.split(values[inverse], split)
-            n3 = n2.copy()
-            n3[~first] = later
-            learnt = ~np.array(held)
-            columns = [
-                pa.array([ids], list_type), pa.array([held], pa.list_(pa.bool_())),
-                pa.array([np.bincount(owner, minlength=len(ids)).tolist()], pa.list_(pa.int64())),
-                pa.array([int(learnt[owner].sum())]), pa.array([int(learnt.sum())]),
-                *(pa.array([_squeeze(n)], pa.binary()) for n in (n1, n2, n3)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["ids", "held", "sizes", "train_tokens", "train_docs", "n1", "n2", "n3"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kind = batches.schema["ids"].dataType
+            columns = [[r[1] for r in group], [group[0][0]] * len(group), answer([r[2:] for r in group])]
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["batch", "part", "data"])
+
+    def meet(own: pa.Table, answers: pa.Table) -> pa.Table:
+        _, ids, held, lengths, data = (own.column(i)[0].as_py() for i in range(5))
+        orders, owner, first = _orders(_texts(data, lengths), drop)
+        learnt = ~np.array(held)
+        parts, values = answers.column(1).to_numpy(), answers.column(2).to_pylist()
+        found = []
+        for order, keys in enumerate(orders):
+            in_order = sorted((int(p), i) for i, p in enumerate(parts) if p // ranges == order)
+            others = np.concatenate([np.zeros(0, dtype=np.uint64), *(unpack(values[i]) for _, i in in_order)])
+            known = learnt[owner] if order < 2 else learnt[owner[~first]]
+            distinct, inverse = np.unique(keys, return_inverse=True)
+            if len(distinct) != len(others):
+                raise ValueError(f"{len(others)} answers to {len(distinct)} keys")
+            found.append((others.astype(np.int64) + np.bincount(inverse[known], minlength=len(distinct)))[inverse].astype(np.uint64))
+        n1, n2, later = found
+        n3 = n2.copy()
+        n3[~first] = later
+        columns = [
+            pa.array([ids], list_type), pa.array([held], pa.list_(pa.bool_())),
+            pa.array([np.bincount(owner, minlength=len(ids)).tolist()], pa.list_(pa.int64())),
+            pa.array([int(learnt[owner].sum())]), pa.array([int(learnt.sum())]),
+            *(pa.array([pack(n)], pa.binary()) for n in (n1, n2, n3)),
+        ]
+        return pa.Table.from_arrays(columns, names=["ids", "held", "sizes", "train_tokens", "train_docs", "n1", "n2", "n3"])
+
+    texts = batched(docs)
+    kind = texts.schema["ids"].dataType
     list_type = to_arrow_type(kind)
-    asked = batches.select("batch", "held", "lengths", "data").mapInArrow(send, "range long, batch long, width int, keys binary, counts binary")
-    asked = asked.repartition(min(ranges, MOST_PARTITIONS), "range").sortWithinPartitions("range")
-    answers = asked.mapInArrow(solve, "batch long, range long, width int, data binary")
-    own = batches.select("batch", F.lit(-1).cast("long").alias("range"), F.lit(0).alias("width"), "data", "ids", "held", "lengths")
-    none = [F.lit(None).cast(batches.schema[c].dataType).alias(c) for c in ("ids", "held", "lengths")]
-    both = own.unionByName(answers.select("batch", "range", "width", "data", *none))
-    both = both.repartition(max(1, min(number, MOST_PARTITIONS)), "batch").sortWithinPartitions("batch", "range")
+    texts = texts.repartition(dealt, "batch")  # one exchange, read twice
+    asked = texts.mapInArrow(send, "part long, batch long, keys binary, counts binary")
+    asked = asked.repartition(min(3 * ranges, MOST_PARTITIONS), "part").sortWithinPartitions("part")
+    answers = asked.mapInArrow(solve, "batch long, part long, data binary").repartition(dealt, "batch")
     schema = T.StructType([
         T.StructField("ids", kind), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())),
         T.StructField("train_tokens", T.LongType()), T.StructField("train_docs", T.LongType()),
         *(T.StructField(c, T.BinaryType()) for c in ("n1", "n2", "n3")),
     ])
-    return cut(both.mapInArrow(meet, schema), "counted")
+    return cut(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(meet, schema), "counted")
 
 
 @dataclass
@@ -363,7 +357,7 @@ def fit(counted: DataFrame) -> Model:
             for i in range(batch.num_rows):
                 held, sizes, *n = (batch.column(j)[i].as_py() for j in range(5))
                 sizes = np.array(sizes)
-                n1, n2, n3 = map(_unsqueeze, n)
+                n1, n2, n3 = map(unpack, n)
                 learnt = np.repeat(~np.array(held), sizes)
                 cells, events = event_cells(n1, n2, n3, _first(sizes), learnt, tokens, documents)
                 often, times = np.unique(n1[learnt].astype(np.int64), return_counts=True)
@@ -395,7 +389,7 @@ def score_counted(counted: DataFrame, model: Model) -> DataFrame:
             for i in range(batch.num_rows):
                 ids, held, sizes, *n = (batch.column(j)[i].as_py() for j in range(6))
                 sizes = np.array(sizes)
-                n1, n2, n3 = (_unsqueeze(x).astype(np.int64) for x in n)
+                n1, n2, n3 = (unpack(x).astype(np.int64) for x in n)
                 first, owner = _first(sizes), np.repeat(np.arange(len(sizes)), sizes)
                 c3, c2 = contexts(n1, n2, first, m.documents)
                 w = m.weights[buckets(c3, c2, first)]
@@ -414,9 +408,7 @@ def score_counted(counted: DataFrame, model: Model) -> DataFrame:
 
 def score(docs: DataFrame) -> DataFrame:
     """The scores of all rows of ``docs`` (doc_id, held_out, text) under the model of those that aren't held out."""
-    batches = write_batches(docs)
-    counted = count_tokens(batches)
-    drop_cut(batches)
+    counted = count_tokens(docs)
     return score_counted(counted, fit(counted))
 
 

@@ -59,7 +59,7 @@ def test_against_plain_counts(spark, monkeypatch, batch, part):
     monkeypatch.setattr(lm, "BATCH_BYTES", batch)
     monkeypatch.setattr(lm, "RANGE_BYTES", part)
     rows = rows_of()
-    counted = lm.count_tokens(lm.write_batches(frame(spark, rows)))
+    counted = lm.count_tokens(frame(spark, rows))
     model = lm.fit(counted)
     train = [tokens(t) for _, h, t in rows if not h]
     assert (model.tokens, model.documents) == (sum(map(len, train)), len(train))
@@ -73,29 +73,29 @@ def test_against_plain_counts(spark, monkeypatch, batch, part):
 
 def test_messages_round_trip():
     rng = np.random.default_rng(0)
-    for ranges in (1, 3, 1000):
-        batches = [np.unique(rng.integers(0, 2**64, 500, dtype=np.uint64) >> np.uint64(s)) for s in (0, 1, 40)]
-        shared = batches[0][:100]
-        batches = [np.unique(np.concatenate([b, shared])) for b in batches]
-        counts = [rng.integers(0, 9, len(b)) for b in batches]
-        rows = [r for i, (b, c) in enumerate(zip(batches, counts)) for m in lm.requests(b, c, ranges, i) for r in zip(*(x.to_pylist() for x in m.columns))]
-        want = Counter()
+    for ranges, drop in ((1, 0), (3, 9), (1000, 0), (1 << 20, 3)):
+        mask = np.uint64((1 << 64) - (1 << drop))
+        batches = [np.unique((rng.integers(0, 2**64, 500, dtype=np.uint64) >> np.uint64(s)) & mask) for s in (0, 1, 40)]
+        batches = [np.unique(np.concatenate([b, batches[0][:100]])) for b in batches]
+        counts = [rng.integers(0, 9, len(b)).astype(np.uint64) for b in batches]
+        rows = [(i, *m) for i, (b, c) in enumerate(zip(batches, counts)) for m in lm.requests(2, b, c, ranges, drop)]
+        assert len(rows) <= sum(map(len, batches))
+        total = Counter()
         for b, c in zip(batches, counts):
-            want.update(dict(zip(b.tolist(), c.tolist())))
+            total.update(dict(zip(b.tolist(), c.tolist())))
         got = {0: [], 1: [], 2: []}
-        for part in sorted({r[0] for r in rows}):
-            group = [r for r in rows if r[0] == part]
-            width, values = lm.answer(group, ranges)
-            for row, v in zip(group, values):
-                got[row[1]].append(lm._wide(v, width))
-        for i, b in enumerate(batches):
-            assert np.concatenate(got[i]).tolist() == [want[k] for k in b.tolist()]
+        for part in sorted({r[1] for r in rows}):
+            group = [r for r in rows if r[1] == part]
+            for row, v in zip(group, lm.answer([r[2:] for r in group])):
+                got[row[0]].append(lm.unpack(v))
+        for i, (b, c) in enumerate(zip(batches, counts)):
+            assert (np.concatenate(got[i]) + c).tolist() == [total[k] for k in b.tolist()]
 
 
-def test_squeezed_counts_round_trip():
-    for x in ([], [0], [1, 255, 256], [2**40, 3]):
+def test_packed_arrays_round_trip():
+    for x in ([], [0], [1, 255, 256], [2**64 - 1, 3], [*range(1000)], [7] * 64 + [2**40]):
         a = np.array(x, dtype=np.uint64)
-        assert np.array_equal(lm._unsqueeze(lm._squeeze(a)), a)
+        assert np.array_equal(lm.unpack(lm.pack(a)), a)
 
 
 def test_texts_that_occur_twice_stand_apart(spark):
