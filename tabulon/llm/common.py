@@ -7,20 +7,25 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has no such setting (single-machine tests) a temporary folder is used.
+    Only where the session has no such setting and all its tasks run in the driver's process (tests) a temporary folder is
+    used; a cluster without the setting is an error, as executors could not read what others wrote.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("tabulon.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tabulon-")
         spark.conf.set("tabulon.shared.dir", found)
     return found.rstrip("/")
@@ -36,11 +41,17 @@ def new_path(spark: SparkSession, label: str) -> str:
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage ends there.
 
-    A lost executor costs no more than the tasks that ran on it; nothing is kept on one machine.
+    A lost executor costs no more than the tasks that ran on it; nothing is kept on one machine. The shuffle files of the write
+    go as soon as it is done.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(_DROP_SHUFFLES, "false")
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,6 +91,19 @@ def column_bytes(col: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [x or b"" for x in col.cast(pa.large_binary()).to_pylist()]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort (faster on large arrays of hashes than NumPy's own hash table)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+def distinct_counts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and how often each occurs."""
+    x = np.sort(x)
+    starts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, dtype=np.int64)
+    return x[starts], np.diff(np.append(starts, len(x)))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut into short ones, so that few texts are Python objects at a time."""
     for batch in batches:

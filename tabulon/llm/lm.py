@@ -6,7 +6,7 @@ weights) and are learnt by expectation-maximisation on deleted counts: each trai
 without it. A sufficient table for that (bucket, three logarithmic ratios, events) is added up in the cluster; the driver sees
 its cells only, whose number depends on the steps of the logarithms and not on the texts.
 
-Every word, pair and triple has its own count over all training documents; nothing is pooled or broadcast. Texts are dealt once, in
+Every word, pair and triple has its own count over all training documents; nothing is pooled or broadcast. Texts are written once, in
 batches. Each batch sends its distinct keys of each order, with their training counts, to the ranges of the hash space that
 they fall into; a range adds the counts up and answers each batch with the totals, in the batch's own order. One message holds
 one batch's run of keys in one range, compressed: there are never more messages than keys, and a key comes once from each
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabulon.llm.common import column_bytes, crc_mod, cut, drop_cut, slices
+from tabulon.llm.common import column_bytes, crc_mod, cut, distinct, distinct_counts, drop_cut, slices
 from tabulon.llm.words import hash_words, mix
 
 HOLD_OUT = 7, 2
@@ -224,8 +224,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             out = []
             for order, own in enumerate(orders):
                 known = learnt if order < 2 else learnt[~first]
-                seen, n = np.unique(own[known], return_counts=True)
-                keys = np.unique(own)
+                seen, n = distinct_counts(own[known])
+                keys = distinct(own)
                 counts = np.zeros(len(keys), dtype=np.uint64)
                 counts[np.searchsorted(keys, seen)] = n
                 out += requests(order, keys, counts, ranges, drop if order else 0)
@@ -265,19 +265,22 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         ]
         return pa.Table.from_arrays(columns, names=["ids", "held", "sizes", "train_tokens", "train_docs", "n1", "n2", "n3"])
 
-    texts = batched(docs)
+    texts = cut(batched(docs), "batches")
     kind = texts.schema["ids"].dataType
     list_type = to_arrow_type(kind)
-    texts = texts.repartition(dealt, "batch")  # one exchange, read twice
     asked = texts.mapInArrow(send, "part long, batch long, keys binary, counts binary")
     asked = asked.repartition(min(3 * ranges, MOST_PARTITIONS), "part").sortWithinPartitions("part")
-    answers = asked.mapInArrow(solve, "batch long, part long, data binary").repartition(dealt, "batch")
+    answers = cut(asked.mapInArrow(solve, "batch long, part long, data binary"), "answers")
     schema = T.StructType([
         T.StructField("ids", kind), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())),
         T.StructField("train_tokens", T.LongType()), T.StructField("train_docs", T.LongType()),
         *(T.StructField(c, T.BinaryType()) for c in ("n1", "n2", "n3")),
     ])
-    return cut(texts.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(meet, schema), "counted")
+    both = texts.repartition(dealt, "batch").groupBy("batch").cogroup(answers.repartition(dealt, "batch").groupBy("batch"))
+    counted = cut(both.applyInArrow(meet, schema), "counted")
+    drop_cut(texts)
+    drop_cut(answers)
+    return counted
 
 
 @dataclass
@@ -315,7 +318,7 @@ def event_cells(n1, n2, n3, first, learnt, tokens: int, documents: int) -> tuple
     key = buckets(c3, c2, first.astype(bool))
     for n, c in ((n3, c3), (n2, c2), (n1, np.full(len(n1), tokens))):
         key = key << 8 | level(_ratio(n - 1, c - 1))
-    return np.unique(key, return_counts=True)
+    return distinct_counts(key)
 
 
 def learn_weights(cells: np.ndarray, events: np.ndarray, uniform: float, rounds: int = 60) -> np.ndarray:
@@ -360,7 +363,7 @@ def fit(counted: DataFrame) -> Model:
                 n1, n2, n3 = map(unpack, n)
                 learnt = np.repeat(~np.array(held), sizes)
                 cells, events = event_cells(n1, n2, n3, _first(sizes), learnt, tokens, documents)
-                often, times = np.unique(n1[learnt].astype(np.int64), return_counts=True)
+                often, times = distinct_counts(n1[learnt].astype(np.int64))
                 kind = np.repeat([False, True], [len(cells), len(often)])
                 columns = [pa.array(kind), pa.array(np.concatenate([cells, often])), pa.array(np.concatenate([events, times]))]
                 yield pa.RecordBatch.from_arrays(columns, ["word", "key", "n"])
