@@ -43,6 +43,8 @@ MOST_PARTITIONS = 16_384
 #: Values from which on a message is compressed, and messages in one Arrow batch.
 _PACKED = 64
 _MESSAGES = 1024
+#: Tokens in a row of counts, about (a longer text has a row of its own).
+ROW_TOKENS = 1 << 18
 START = np.uint64(0x9E6C63D0876A9A47)
 END = np.uint64(0x2545F4914F6CDD1D)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -206,7 +208,7 @@ def _orders(texts: list[bytes], drop: int):
 def count_tokens(docs: DataFrame) -> DataFrame:
     """``ids, held, sizes, train_tokens, train_docs, n1, n2, n3``: training counts of each token, its pair and its triple.
 
-    A row for each batch of ``docs`` (doc_id, held_out, text); the counts are compressed arrays over the batch's tokens. A first
+    A row for each run of some ``docs`` (doc_id, held_out, text); the counts are compressed arrays over their tokens. A first
     token's triple has its pair's count.
     """
     from pyspark.sql.pandas.types import to_arrow_type
@@ -257,13 +259,17 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         n1, n2, later = found
         n3 = n2.copy()
         n3[~first] = later
-        columns = [
-            pa.array([ids], list_type), pa.array([held], pa.list_(pa.bool_())),
-            pa.array([np.bincount(owner, minlength=len(ids)).tolist()], pa.list_(pa.int64())),
-            pa.array([int(learnt[owner].sum())]), pa.array([int(learnt.sum())]),
-            *(pa.array([pack(n)], pa.binary()) for n in (n1, n2, n3)),
-        ]
-        return pa.Table.from_arrays(columns, names=["ids", "held", "sizes", "train_tokens", "train_docs", "n1", "n2", "n3"])
+        sizes = np.bincount(owner, minlength=len(ids))
+        ends = np.cumsum(sizes)
+        edges = np.unique(np.searchsorted(ends, np.arange(ROW_TOKENS, ends[-1], ROW_TOKENS), "right"))
+        edges = [x for x in edges.tolist() if 0 < x < len(ids)]
+        rows = []
+        for a, b in zip([0, *edges], [*edges, len(ids)]):
+            lo, hi = int(ends[a] - sizes[a]), int(ends[b - 1])
+            known = learnt[a:b]
+            rows.append((ids[a:b], held[a:b], sizes[a:b].tolist(), int(sizes[a:b][known].sum()), int(known.sum()), *(pack(n[lo:hi]) for n in (n1, n2, n3))))
+        kinds = [list_type, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.int64(), *[pa.binary()] * 3]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=schema.names)
 
     texts = cut(batched(docs), "batches")
     kind = texts.schema["ids"].dataType

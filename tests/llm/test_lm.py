@@ -58,6 +58,7 @@ def plain_scores(rows, weights):
 def test_against_plain_counts(spark, monkeypatch, batch, part):
     monkeypatch.setattr(lm, "BATCH_BYTES", batch)
     monkeypatch.setattr(lm, "RANGE_BYTES", part)
+    monkeypatch.setattr(lm, "ROW_TOKENS", batch // 10)
     rows = rows_of()
     counted = lm.count_tokens(frame(spark, rows))
     model = lm.fit(counted)
