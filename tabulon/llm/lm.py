@@ -35,9 +35,9 @@ from tabulon.llm.words import hash_words, mix
 
 HOLD_OUT = 7, 2
 #: Bytes of text in a batch, and in a range of the hash space (about).
-BATCH_BYTES = 12 << 20
-RANGE_BYTES = 16 << 20
-SPARE_BITS = 28
+BATCH_BYTES = 6 << 20
+RANGE_BYTES = 8 << 20
+SPARE_BITS = 27
 #: Shuffle partitions that ranges or batches are dealt to, at most (each takes its ranges or batches one by one).
 MOST_PARTITIONS = 16_384
 #: Values from which on a message is compressed, and messages in one Arrow batch.
