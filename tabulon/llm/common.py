@@ -38,7 +38,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+def cut(df: DataFrame, label: str = "cut", compression: str = "snappy") -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and reads it back: the lineage ends there.
 
     A lost executor costs no more than the tasks that ran on it; nothing is kept on one machine. The shuffle files of the write
@@ -49,7 +49,7 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     before = spark.conf.get(_DROP_SHUFFLES, "false")
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_DROP_SHUFFLES, before)
     return spark.read.schema(df.schema).parquet(path)

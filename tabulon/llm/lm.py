@@ -149,44 +149,21 @@ def _grouped(batches):
         yield held
 
 
-def batched(docs: DataFrame) -> DataFrame:
-    """``batch, ids, held, lengths, data``: the rows of ``docs`` (doc_id, held_out, text) in batches, texts joined and compressed."""
-    kind = docs.schema["doc_id"].dataType
-
-    def run(batches):
-        import zstandard as zstd
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        here, nth = TaskContext.get().partitionId() << 32, 0
-        ids, held, texts, size = [], [], [], 0
-
-        def row():
-            columns = [
-                pa.array([here | nth]),
-                pa.array([ids], pa.list_(to_arrow_type(kind))),
-                pa.array([held], pa.list_(pa.bool_())),
-                pa.array([[len(t) for t in texts]], pa.list_(pa.int64())),
-                pa.array([zstd.ZstdCompressor(level=3).compress(b"".join(texts))], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["batch", "ids", "held", "lengths", "data"])
-
-        for batch in slices(batches, 256):
-            for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2))):
-                if texts and size + len(t) > BATCH_BYTES:
-                    yield row()
-                    ids, held, texts, size, nth = [], [], [], 0, nth + 1
-                ids.append(i)
-                held.append(bool(h))
-                texts.append(t)
-                size += len(t) + 1
-        if texts:
-            yield row()
-
-    schema = T.StructType([
-        T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("held", T.ArrayType(T.BooleanType())),
-        T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType()),
-    ])
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+def _batches(rows):
+    """(batch, ids, held, texts) of consecutive rows (doc_id, held_out, text); the same whenever a partition is read."""
+    here, nth = TaskContext.get().partitionId() << 32, 0
+    ids, held, texts, size = [], [], [], 0
+    for batch in slices(rows, 256):
+        for i, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), column_bytes(batch.column(2))):
+            if texts and size + len(t) > BATCH_BYTES:
+                yield here | nth, ids, held, texts
+                ids, held, texts, size, nth = [], [], [], 0, nth + 1
+            ids.append(i)
+            held.append(bool(h))
+            texts.append(t)
+            size += len(t) + 1
+    if texts:
+        yield here | nth, ids, held, texts
 
 
 def _texts(data: bytes, lengths: list[int]) -> list[bytes]:
@@ -219,9 +196,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     drop = max(0, 64 - SPARE_BITS - int(total).bit_length())
 
     def send(rows):
-        for row in _grouped(rows):
-            batch, _, held, lengths, data = row[0]
-            orders, owner, first = _orders(_texts(data, lengths), drop)
+        for batch, _, held, texts in _batches(rows):
+            orders, owner, first = _orders(texts, drop)
             learnt = ~np.array(held)[owner]
             out = []
             for order, own in enumerate(orders):
@@ -236,6 +212,15 @@ def count_tokens(docs: DataFrame) -> DataFrame:
                 columns = [pa.array(part, pa.int64()), pa.array([batch] * len(part)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["part", "batch", "keys", "counts"])
 
+    def carry(rows):
+        import zstandard as zstd
+
+        for batch, ids, held, texts in _batches(rows):
+            data = zstd.ZstdCompressor(level=3).compress(b"".join(texts))
+            columns = [[batch], [ids], [held], [[len(t) for t in texts]], [data]]
+            kinds = (pa.int64(), list_type, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["batch", "ids", "held", "lengths", "data"])
+
     def solve(rows):
         for group in _grouped(rows):
             columns = [[r[1] for r in group], [group[0][0]] * len(group), answer([r[2:] for r in group])]
@@ -271,8 +256,9 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         kinds = [list_type, pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.int64(), *[pa.binary()] * 3]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=schema.names)
 
-    texts = cut(batched(docs), "batches")
-    kind = texts.schema["ids"].dataType
+    # Written, so that its partitions hold the same rows in the same order at both readings.
+    texts = cut(docs.select("doc_id", "held_out", "text"), "texts", "zstd")
+    kind = T.ArrayType(docs.schema["doc_id"].dataType)
     list_type = to_arrow_type(kind)
     asked = texts.mapInArrow(send, "part long, batch long, keys binary, counts binary")
     asked = asked.repartition(min(3 * ranges, MOST_PARTITIONS), "part").sortWithinPartitions("part")
@@ -282,7 +268,9 @@ def count_tokens(docs: DataFrame) -> DataFrame:
         T.StructField("train_tokens", T.LongType()), T.StructField("train_docs", T.LongType()),
         *(T.StructField(c, T.BinaryType()) for c in ("n1", "n2", "n3")),
     ])
-    both = texts.repartition(dealt, "batch").groupBy("batch").cogroup(answers.repartition(dealt, "batch").groupBy("batch"))
+    carried = T.StructType([T.StructField("batch", T.LongType()), *schema.fields[:2], T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
+    both = texts.mapInArrow(carry, carried).repartition(dealt, "batch").groupBy("batch")
+    both = both.cogroup(answers.repartition(dealt, "batch").groupBy("batch"))
     counted = cut(both.applyInArrow(meet, schema), "counted")
     drop_cut(texts)
     drop_cut(answers)
