@@ -15,9 +15,15 @@ QUERIES = {
     "op8_language": language.query,
     "op9_lm": lm.query,
     "op10_warc": warc.query,
+    # What SQL can check of op1 and op9.
+    "shard_totals": sharding.totals,
+    "lm_base_scores": lm.base_scores,
 }
 
 ORACLES = {
+    "op6_decontaminate": decontaminate.ORACLE_SQL,
     "op7_suffix_dedup": repeats.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "shard_totals": sharding.TOTALS_SQL,
+    "lm_base_scores": lm.BASE_SQL,
 }

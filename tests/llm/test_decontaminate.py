@@ -19,12 +19,9 @@ def best_overlap(doc, item):
     for origin in range(-len(item) + 1, len(doc)):
         lo, hi = max(origin, 0), min(origin + len(item), len(doc))
         equal = [doc[i] == item[i - origin] for i in range(lo, hi)]
-        if len(item) < D.LEAST:
-            if len(item) >= D.LEAST_ITEM and len(equal) == len(item) and all(equal):
-                best = max(best, len(item))
-            continue
+        least = min(D.LEAST, len(item))
         for a in range(len(equal)):
-            for b in range(a + D.LEAST, len(equal) + 1):
+            for b in range(a + least, len(equal) + 1):
                 if equal[a] and equal[b - 1] and sum(equal[a:b]) >= 0.8 * (b - a) - 1e-9:
                     best = max(best, b - a)
     return best
@@ -38,6 +35,50 @@ def test_masks_hit_every_overlap_that_counts(length, substituted):
         assert any(not shape & hit for shape in shapes)
 
 
+@pytest.mark.parametrize("n", range(1, 13))
+def test_short_masks_hit_every_overlap_that_counts(n):
+    masks = D.short_masks(n)
+    assert all(m[0] == 0 and m[-1] == n - 1 for m in masks)
+    for bad in itertools.combinations(range(1, n - 1), n // 5):
+        assert any(not set(m) & set(bad) for m in masks)
+
+
+def test_longest_similar_against_all_stretches():
+    rng = np.random.default_rng(3)
+    for _ in range(3000):
+        equal = rng.random(rng.integers(1, 40)) < rng.choice([0.5, 0.75, 0.9])
+        least = int(rng.integers(1, 14))
+        every = [
+            (b - a, int(equal[a:b].sum()), -a) for a in range(len(equal)) for b in range(a + least, len(equal) + 1)
+            if equal[a] and equal[b - 1] and 5 * equal[a:b].sum() >= 4 * (b - a)
+        ]
+        found = D.longest_similar(equal, least)
+        if not every:
+            assert found is None
+        else:
+            a, b = found
+            assert (b - a, int(equal[a:b].sum()), -a) == max(every)
+
+
+def test_a_long_copy_takes_linear_time():
+    equal = np.ones(2_000_000, dtype=bool)
+    equal[::7] = False
+    assert D.longest_similar(equal, 13) == (1, 2_000_000)
+
+
+def test_hits_are_verified_some_at_a_time(spark, monkeypatch):
+    rng = random.Random(8)
+    phrase = words(rng, 9, 50)
+    items = [(i, f"{phrase} {words(rng, 12, 1000)}") for i in range(30)]
+    rows = [(i, f"{words(rng, 20, 1000)} {phrase} {items[i][1]}") for i in range(10)]
+    want = D.find_overlaps(docs_frame(spark, rows), bench(spark, items)).orderBy("doc_id", "item_id").collect()
+    assert len(want) >= 10
+    table = D.SeedTable.of([i for i, _ in items], [t.encode() for _, t in items])
+    monkeypatch.setattr(D, "_HITS", 7)
+    found = table.overlaps(*hash_words([t.encode() for _, t in rows]))
+    assert [(r["doc_id"], r["item_id"], *r[2:]) for r in want] == [(rows[d][0], items[i][0], *rest) for d, i, *rest in found]
+
+
 def test_word_hashes():
     texts = [b"", b" A b\tC ", b"abc ABC aBC\x0bx", b"", "é É".encode(), b"a" * 100]
     h, bounds = hash_words(texts)
@@ -50,8 +91,8 @@ def test_word_hashes():
 
 def test_against_brute_force(spark):
     rng = random.Random(5)
-    items = [(i, words(rng, rng.choice([3, 6, 12, 13, 20, 30]), 60)) for i in range(12)] + [(50, None), (51, ""), (52, "a b")]
-    rows = []
+    items = [(i, words(rng, n, 60)) for i, n in enumerate([2, 3, 4, 5, 6, 9, 10, 12, 12, 13, 20, 30])] + [(50, None), (51, ""), (52, "a b"), (53, "single")]
+    rows = [(900, "just a single word"), (901, None)]
     for i in range(40):
         text = words(rng, 60, 60).split()
         if i % 2:
@@ -63,7 +104,7 @@ def test_against_brute_force(spark):
     found = {(r["doc_id"], r["item_id"]): r for r in D.find_overlaps(docs_frame(spark, rows), bench(spark, items)).collect()}
     want = {}
     for (d, t), (i, b) in itertools.product(rows, items):
-        n = best_overlap(t.lower().split(), (b or "").lower().split())
+        n = best_overlap((t or "").lower().split(), (b or "").lower().split())
         if n:
             want[d, i] = n
     assert {k: r["doc_end"] - r["doc_start"] for k, r in found.items()} == want
