@@ -1,14 +1,15 @@
 """SimHash near-duplicates by multi-index hashing.
 
-A fingerprint has a bit set where over half of the shingles' XXH64 hashes have it (repeated shingles count each time in op5, once in
-the pipeline's stage, which compares shingle sets). Distinct fingerprints are looked up
+A fingerprint has a bit set where over half of the shingles' XXH64 hashes have it (repeated shingles count each time). Distinct fingerprints are looked up
 in one table for each segment of their bits: a fingerprint sends its own segment value to the table and, as a probe, every
 value in a small Hamming ball around it. If two fingerprints differ in at most r bits, some segment differs in no more
 than its ball's radius (``segments``), so no link is lost. Each table entry's fingerprints are verified on all 64 bits by a search
 that links what it reaches, so an entry of n fingerprints gives fewer than n links, never all pairs; entries with very many
 fingerprints are split once more by the tables of the other segments. Links go through distributed components.
 
-Edge cases: null texts count as empty; texts without words have fingerprint zero and link to one another like any others;
+The pipeline's stage (``similar_groups``) compares shingle sets; see there.
+
+Edge cases: null texts count as empty; very long ones are hashed whole, some shingles at a time; texts without words have fingerprint zero and link to one another like any others;
 texts with fewer words than a shingle are one shingle; repeated rows share a class; null ids never name a component
 unless no member has an id; an empty table gives no rows; extra columns are ignored.
 """
@@ -22,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import column_bytes, cut, slices
+from tabulon.llm.common import column_bytes, cut, distinct, slices
 from tabulon.llm.graph import components
+from tabulon.llm.words import mix
 
 WORDS = 4
 RADIUS = 4
@@ -32,6 +34,17 @@ SEED = 42
 _HELD = 1 << 15
 #: Fingerprints of one table entry that are searched together; above, the entry is split.
 ENTRY = 20_000
+#: The stage on shingle sets: bits of both fingerprints, candidates that a text takes, rows of a dense entry that are searched
+#: together, rows held at once, and nodes of a block with the words of their sketches.
+TOTAL = 32
+NEAREST = 6
+PIECE = 2048
+ENTRY_ROWS = 1 << 20
+BLOCK = 2048
+SKETCH = 16
+#: A distance beyond all: such rows only say what hangs together.
+LINK = 255
+_ODD = 0x9E3779B97F4A7C15
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -49,35 +62,51 @@ def shingle_hashes(text: bytes, words: int, seed: int = SEED) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(joined[i:j], seed) for i, j in pairs), np.uint64, len(found) - words + 1)
 
 
-def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> int:
-    """The text's 64-bit fingerprint; with ``distinct`` a shingle counts once however often it occurs."""
-    hashes = shingle_hashes(text, words, seed)
-    if distinct:
-        hashes = np.unique(hashes)
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(hashes), _HELD):
-        part = hashes[i : i + _HELD].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return sum(1 << b for b in np.flatnonzero(2 * ones > len(hashes)).tolist())
+def fingerprint(text: bytes, words: int = WORDS, seed: int = SEED) -> int:
+    """The text's 64-bit fingerprint."""
+    return int(sketch(shingle_hashes(text, words, seed), 1)[0])
+
 
+def sketch(shingles: np.ndarray, size: int) -> np.ndarray:
+    """``size`` fingerprints of 64 bits of a set of hashes, each from a hash of its own."""
+    out = np.zeros(size, dtype=np.uint64)
+    for k in range(size):
+        hashes = shingles if k == 0 else mix(shingles + np.uint64(k * _ODD % 2**64))
+        ones = np.zeros(64, dtype=np.int64)
+        for i in range(0, len(hashes), _HELD):
+            part = hashes[i : i + _HELD].astype("<u8").view(np.uint8).reshape(-1, 8)
+            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[k] = np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]
+    return out
 
-def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED, distinct: bool = False) -> DataFrame:
-    """All columns but text, and ``fp`` (the fingerprint's bits as a signed long)."""
+
+def _with_columns(docs: DataFrame, names: list[str], make) -> DataFrame:
+    """All columns but text, and one long column for each of ``names`` from ``make`` (a text's bytes to that many uint64)."""
     at = docs.columns.index("text")
     kept = [i for i in range(len(docs.columns)) if i != at]
 
     def run(batches):
         for batch in slices(batches):
-            found = [fingerprint(t, words, seed, distinct) for t in column_bytes(batch.column(at))]
+            found = np.array([make(t) for t in column_bytes(batch.column(at))], dtype=np.uint64).reshape(-1, len(names))
             columns = [batch.column(i) for i in kept]
-            columns.append(pa.array(np.array(found, dtype=np.uint64).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, [*(batch.schema.names[i] for i in kept), "fp"])
+            columns += [pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(len(names))]
+            yield pa.RecordBatch.from_arrays(columns, [*(batch.schema.names[i] for i in kept), *names])
 
     fields = [docs.schema.fields[i] for i in kept]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "fp long"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{n} long" for n in names)])
     return docs.mapInArrow(run, schema)
 
 
+def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
+    """All columns but text, and ``fp`` (the fingerprint's bits as a signed long); repeated shingles count each time."""
+    return _with_columns(docs, ["fp"], lambda t: [fingerprint(t, words, seed)])
+
+
+def set_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """All columns but text, and ``fp`` and ``fp2``, two fingerprints of the text's set of shingles."""
+    return _with_columns(docs, ["fp", "fp2"], lambda t: sketch(distinct(shingle_hashes(t, words)), 2))
+
+
 def segments(radius: int, count: int, bits: int = 64) -> list[tuple[int, int, int]]:
     """(first bit, width, ball radius) of each of ``count`` segments.
 
@@ -102,9 +131,9 @@ def ball(width: int, radius: int) -> np.ndarray:
 
 
 def choose_segments(n: int, radius: int) -> int:
-    """The number of segments with the least work: probes sent, and a tenth of that for each fingerprint met."""
+    """The number of segments with the least work: rows sent, and a five-hundredth of that for each fingerprint compared."""
     def work(count: int) -> float:
-        return sum(len(ball(w, r)) * (1 + 0.1 * n / 2.0**w) for _, w, r in segments(radius, count))
+        return sum(len(ball(w, r)) * (1 + 0.002 * n / 2.0**w) for _, w, r in segments(radius, count))
 
     return min(range(2, max(3, min(radius, 8) + 1)), key=work)
 
@@ -129,10 +158,10 @@ def _popcount(x: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x)
 
 
-def reach(fps: np.ndarray, stored: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def reach(fps: np.ndarray, stored: np.ndarray, radius: int, second: np.ndarray | None = None, total: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Links that join every two of ``fps`` that a chain of pairs within ``radius`` joins, where one of each pair is stored.
 
-    A search from each fingerprint not reached yet: what it links is not compared with later ones again.
+    With ``second`` fingerprints, both together lie within ``total`` bits too. A search from each fingerprint not reached yet: what it links is not compared with later ones again.
     """
     open_ = np.arange(len(fps))
     froms, tos = [], []
@@ -140,7 +169,10 @@ def reach(fps: np.ndarray, stored: np.ndarray, radius: int) -> tuple[np.ndarray,
         queue, open_ = [open_[0]], open_[1:]
         while queue and len(open_):
             at = queue.pop()
-            near = _popcount(fps[open_] ^ fps[at]) <= radius
+            bits = _popcount(fps[open_] ^ fps[at])
+            near = bits <= radius
+            if second is not None:
+                near &= bits + _popcount(second[open_] ^ second[at]) <= total
             if not stored[at]:
                 near &= stored[open_]
             if near.any():
@@ -198,9 +230,9 @@ def _search_groups(keys: np.ndarray, fps: np.ndarray, probes: np.ndarray, radius
     return np.concatenate([empty, *froms]), np.concatenate([empty, *tos])
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``a, b``: links between the distinct values of ``fp`` that join all within ``radius`` bits, each chain once."""
-    count = choose_segments(distinct.count(), radius)
+def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: links between the distinct ``fp`` of ``prints`` that join all within ``radius`` bits, each chain once."""
+    count = choose_segments(prints.count(), radius)
 
     def explode(batches):
         for batch in batches:
@@ -234,7 +266,7 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
         if size:
             yield found(held, True)[0]
 
-    probes = distinct.mapInArrow(explode, "key long, fp long, probe boolean")
+    probes = prints.mapInArrow(explode, "key long, fp long, probe boolean")
     return probes.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct()
 
 
@@ -252,87 +284,193 @@ def near_groups(docs: DataFrame, words: int = WORDS, radius: int = RADIUS, seed:
     return prints.join(by_print, prints["fp"] == by_print["own"], "left").select("doc_id", "fp", "component_id")
 
 
-def _near_pairs(keys: np.ndarray, fps: np.ndarray, probes: np.ndarray, nodes: np.ndarray, classes: np.ndarray, sizes: np.ndarray, radius: int, most: int):
-    """Pairs within ``radius`` bits and of two classes in each run of equal keys (rows sorted by key): (a, b, more).
+def _dense(f1: np.ndarray, radius: int, most: int) -> bool:
+    """Whether most rows of a large entry have far more than ``most`` others within ``radius`` (a look at 64 of them)."""
+    some = f1[:: max(1, len(f1) // 64)]
+    near = (_popcount(some[:, None] ^ f1[None, :]) <= radius).sum(axis=1)
+    return bool(np.median(near) > 16 * most)
+
 
-    The smaller class's node looks for ``most`` nodes of each other class at most, in a random order that differs by node;
-    ``more`` says that some were left out.
+def _nearest(keys, probes, nodes, f1, f2, radius: int, total: int, most: int):
+    """For each stored row its ``most`` nearest others in its entry: (node, other, distance, whether more lie as near).
+
+    Rows come sorted by key. Near means ``radius`` bits of the first fingerprint and ``total`` bits of both. Where more lie as near, links
+    of distance ``LINK`` join what chains of near rows join. An entry where very many lie near one another is searched in pieces
+    of alike rows; all its rows have more then, and such links lead from each to its piece's first row and on to the next piece.
     """
-    empty = np.zeros(0, dtype=np.int64)
-    froms, tos, mores = [empty], [empty], [empty.astype(bool)]
+    found = [(nodes[:0], nodes[:0], np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool))]
+
+    def add(a, b, d, more):
+        found.append((a, b, np.full(len(a), LINK) if d is None else d, np.full(len(a), more) if isinstance(more, bool) else more))
+
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     ends = np.append(starts[1:], len(keys))
-    many = np.minimum.reduceat(classes, starts) != np.maximum.reduceat(classes, starts)
-    many &= ~np.logical_and.reduceat(probes, starts)
-    for lo, hi in zip(starts[many].tolist(), ends[many].tolist()):
-        f, p, c, t = fps[lo:hi], probes[lo:hi], classes[lo:hi], nodes[lo:hi]
-        order = np.lexsort((c, sizes[lo:hi]))
-        f, p, c, t = f[order], p[order], c[order], t[order]
-        bounds = np.append(np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])), len(c))
-        for start, after in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-            if after == len(c):
-                break
-            for i in range(start, after):
-                near = _popcount(f[after:] ^ f[i]) <= radius
-                if p[i]:
-                    near &= ~p[after:]
-                hit = after + np.flatnonzero(near)
-                if not len(hit):
+    useful = (ends - starts > 1) & (np.add.reduceat((~probes).astype(np.int64), starts) > 0)
+    for lo, hi in zip(starts[useful].tolist(), ends[useful].tolist()):
+        pieces, dense = [np.arange(lo, hi)], hi - lo > 2 * PIECE and _dense(f1[lo:hi], radius, most)
+        if dense:
+            order = lo + np.lexsort((f2[lo:hi], f1[lo:hi]))
+            pieces = np.array_split(order, -(-len(order) // PIECE))
+            heads = nodes[[p[0] for p in pieces]]
+            add(heads[:-1], heads[1:], None, True)
+            for own, head in zip(pieces, heads):
+                add(nodes[own], np.full(len(own), head), None, True)
+        for own in pieces:
+            stored = own[~probes[own]]
+            crowd = np.zeros(len(own), dtype=bool)
+            step = max(1, (1 << 18) // len(own))
+            for at in range(0, len(stored), step):
+                part = stored[at : at + step]
+                d = _popcount(f1[part][:, None] ^ f1[own][None, :])
+                i, j = np.nonzero(d <= radius)
+                both = d[i, j] + _popcount(f2[part[i]] ^ f2[own[j]])
+                keep = (both <= total) & (nodes[part[i]] != nodes[own[j]])
+                i, j, both = i[keep], j[keep], both[keep].astype(np.int64)
+                if not len(i):
                     continue
-                more = False
-                if len(hit) > most:
-                    mixed = (t[hit].view(np.uint64) ^ t[i : i + 1].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    hit = hit[np.lexsort((mixed, c[hit]))]
-                    own = c[hit]
-                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                    rank = np.arange(len(hit)) - np.repeat(first, np.diff(np.append(first, len(hit))))
-                    more = bool((rank >= most).any())
-                    hit = hit[rank < most]
-                froms.append(np.full(len(hit), t[i]))
-                tos.append(t[hit])
-                mores.append(np.full(len(hit), more))
-    return np.concatenate(froms), np.concatenate(tos), np.concatenate(mores)
-
-
-def near_pairs(open_: DataFrame, radius: int, most: int) -> DataFrame:
-    """``a, b, more``: pairs of ``open_`` (node, fp, class, size) within ``radius`` bits whose classes differ; see ``_near_pairs``."""
-    count = choose_segments(open_.count(), radius)
+                order = np.lexsort((mix((nodes[own[j]] ^ nodes[part[i]]).view(np.uint64)), both, i))
+                i, j, both = i[order], j[order], both[order]
+                first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+                size = np.diff(np.append(first, len(i)))
+                rank = np.arange(len(i)) - np.repeat(first, size)
+                more = np.repeat(size > most, size)
+                crowd[j[more]] = True
+                crowd |= np.isin(own, part[i[more]])
+                keep = rank < most
+                add(nodes[part[i]][keep], nodes[own[j]][keep], both[keep], more[keep] | dense)
+            if crowd.any() and not dense:
+                rows = own[crowd]
+                a, b = reach(f1[rows], ~probes[rows], radius, f2[rows], total)
+                add(nodes[rows[a]], nodes[rows[b]], None, False)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def candidates_of(nodes: DataFrame, radius: int, total: int, most: int) -> DataFrame:
+    """``a, b, d, rank, more``: each of ``nodes`` (node, fp, fp2) with others within the bits, at distance ``d``, ranked.
+
+    ``more`` is true of all rows of a node that has more than ``most`` others so near; rows with a ``d`` of ``LINK`` then lead, by
+    chains, to all of them.
+    """
+    count = choose_segments(nodes.count(), radius)
 
     def explode(batches):
         for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
             for i in range(0, batch.num_rows, 2000):
-                node, fp, own, size = (x[i : i + 2000] for x in columns)
+                node, fp, fp2 = (x[i : i + 2000] for x in columns)
                 keys, probes, at = entries(fp.view(np.uint64), radius, count)
-                found = [keys.view(np.int64), probes, node[at], fp[at], own[at], size[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "probe", "node", "fp", "class", "size"])
+                found = [keys.view(np.int64), probes, node[at], fp[at], fp2[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "probe", "node", "fp", "fp2"])
 
     def search(batches):
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
 
-        def found(parts, last):
-            columns = [np.concatenate(x) for x in zip(*parts)]
-            stop = len(columns[0]) if last else int(np.searchsorted(columns[0], columns[0][-1]))
-            key, probe, node, fp, own, n = (x[:stop] for x in columns)
-            out = _near_pairs(key, fp.view(np.uint64), probe, node, own, n, radius, most) if stop else ([], [], [])
-            kinds = (pa.int64(), pa.int64(), pa.bool_())
-            batch = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["a", "b", "more"])
-            return batch, [] if last else [tuple(x[stop:] for x in columns)]
+        def found(last):
+            nonlocal held, size
+            columns = [np.concatenate(x) for x in zip(*held)]
+            key, whole = columns[0], len(columns[0])
+            stop = whole if last else int(np.searchsorted(key, key[-1]))
+            left = stop
+            if not stop and whole >= ENTRY_ROWS:  # one entry beyond what is held at once: its last row leads on to the rest
+                stop, left = whole, whole - 1
+            out = _nearest(key[:stop], columns[1][:stop], columns[2][:stop], *(x[:stop].view(np.uint64) for x in columns[3:]), radius, total, most)
+            held = [tuple(x[left:] for x in columns)]
+            size = 0
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            if left < stop:
+                row = columns[2][:stop]
+                extra = (row, np.full(stop, row[-1]), np.full(stop, LINK), np.ones(stop, dtype=bool))
+                out = tuple(np.concatenate(x) for x in zip(out, extra))
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["a", "b", "d", "more"])
 
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)))
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)))
             size += batch.num_rows
-            if size >= 1 << 18 and held[0][0][0] != held[-1][0][-1]:
-                out, held = found(held, False)
-                size = sum(len(x[0]) for x in held)
-                yield out
-        if size:
-            yield found(held, True)[0]
+            if size >= ENTRY_ROWS // 4:
+                yield found(False)
+        if held:
+            yield found(True)
+
+    rows = nodes.select("node", "fp", "fp2").mapInArrow(explode, "key long, probe boolean, node long, fp long, fp2 long")
+    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, d long, more boolean")
+    pairs = found.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("more").alias("more"))
+    own = Window.partitionBy("a")  # some rows for each table at most
+    ranked = pairs.filter("a <> b").withColumn("rank", F.row_number().over(own.orderBy("d", F.xxhash64("a", "b"))))
+    near = F.sum((F.col("d") < LINK).cast("int")).over(own)
+    return ranked.withColumn("more", F.max("more").over(own) | (near > most))
+
+
+def _compare_blocks(similarity: float):
+    """Links (a, b) between alike nodes of different classes in each task (rows task, node, class, shingles; sorted by task)."""
+
+    def links_of(rows):
+        rows = list({r[1]: r for r in rows}.values())
+        sets = [np.array(r[3], dtype=np.int64) for r in rows]
+        # Sets as alike as that differ in this share of bits on average; four standard deviations are let through.
+        share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+        bits = 64 * SKETCH
+        limit = share * bits + 4 * np.sqrt(bits * share * (1 - share))
+        sketches = np.stack([sketch(x.view(np.uint64), SKETCH) for x in sets])
+        _, root = np.unique(np.array([r[2] for r in rows], dtype=np.int64), return_inverse=True)
+        out = []
+        for i in range(len(rows) - 1):
+            others = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+            d = _popcount(sketches[others] ^ sketches[i]).sum(axis=1, dtype=np.int64)
+            near = np.flatnonzero(d <= limit)
+            for j in others[near[np.argsort(d[near], kind="stable")]].tolist():
+                if root[i] == root[j]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                    out.append((rows[i][1], rows[j][1]))
+                    root[root == root[j]] = root[i]
+        return out
+
+    def run(batches):
+        held = []
 
-    rows = open_.select("node", "fp", "class", "size").mapInArrow(explode, "key long, probe boolean, node long, fp long, class long, size long")
-    pairs = rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, more boolean")
-    return pairs.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("more").alias("more"))
+        def emit():
+            links_ = links_of(held)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links_], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            for part in slices([batch], 256):
+                for row in zip(*(c.to_pylist() for c in part.columns)):
+                    if held and held[0][0] != row[0]:
+                        yield emit()
+                        held = []
+                    held.append(row)
+        if held:
+            yield emit()
+
+    return run
+
+
+def links_between(open_: DataFrame, sets: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
+    """``a, b``: links that join every two classes of ``open_`` (node, span, class) with alike nodes in the same span.
+
+    Nodes are dealt to blocks of about ``block``: large classes to their own, small ones together. Every two blocks of a span
+    meet in a task, unless both are of one class; what is compared there stays there, but for fewer links than nodes.
+    """
+    block = block or BLOCK
+    sizes = open_.groupBy("span", "class").agg(F.count("*").alias("size"))
+    small = sizes.filter(F.col("size") < block).groupBy("span").agg(F.sum("size").alias("rest"))
+    several = sizes.groupBy("span").agg(F.count("*").alias("classes")).filter("classes > 1").select("span")
+    dealt = open_.join(sizes, ["span", "class"]).join(several, "span").join(small, "span", "left")
+    large = F.col("size") >= block
+    parts = F.ceil(F.when(large, F.col("size")).otherwise(F.col("rest")) / block)
+    owner = F.when(large, F.col("class"))
+    dealt = dealt.withColumns({"owner": owner, "part": F.pmod(F.xxhash64(F.when(large, F.col("node")).otherwise(F.col("class"))), parts)})
+    dealt = dealt.withColumn("block", F.xxhash64("span", F.coalesce(owner.cast("string"), F.lit("small")), "part"))
+    dealt = cut(dealt.select("node", "class", "span", "owner", "block"), "dealt")
+    blocks = dealt.select("span", "owner", "block").distinct()  # one row for some ``block`` nodes
+    others = blocks.select("span", F.col("owner").alias("owner2"), F.col("block").alias("block2"))
+    tasks = blocks.join(others, "span").filter("block <= block2 and not coalesce(owner = owner2, false)")
+    tasks = tasks.select(F.xxhash64("block", "block2").alias("task"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    rows = dealt.select("node", "class", "block").join(tasks, "block").join(sets, F.col("node") == F.col("text_hash"))
+    rows = rows.select("task", "node", "class", "shingles").repartition("task").sortWithinPartitions("task")
+    return rows.mapInArrow(_compare_blocks(similarity), "a long, b long")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -344,67 +482,57 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(alike).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, radius: int = 11, similarity: float = 0.8) -> DataFrame:
     """``doc_id, text_hash, keeper``: groups of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
-    Fingerprints are of the same sets: a line that a text repeats counts once. Every two texts whose fingerprints lie within ``radius`` bits are joined if their shingle sets are that similar. The
-    fingerprints' links, which span what lies within ``radius``, are checked first. Where checks failed, the texts that the links
-    span fall into several classes: those search again, each for a few texts of each other class, then for more, in the end for all.
-    A group is what checked links join; ``keeper`` is its smallest doc_id. Texts are told apart by a 64-bit hash.
+    Two fingerprints of each distinct text's shingle set (a line that a text repeats counts once): the tables hold the first;
+    candidates lie within ``radius`` bits of it and ``TOTAL`` bits of both, which sets at a similarity of 0.8 differ in by 10 and
+    19 on average. Each text takes its ``NEAREST`` nearest candidates, whose sets are compared. Where texts have more
+    candidates than that and fall into several groups, what is left is compared in blocks (``links_between``), so that no two
+    texts within the bits go unjoined and no pairs of a large group are ever written.
+    A group is what these links join; ``keeper`` is its smallest doc_id. Texts are told apart by a 64-bit hash.
     """
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    prints = cut(fingerprints(hashed, words, distinct=True), "prints")
-    nodes = prints.groupBy("text_hash").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"))
-    heads = nodes.groupBy("fp").agg(F.min("text_hash").alias("head"))
-    same = nodes.join(heads, "fp").filter("text_hash <> head").select(F.col("text_hash").alias("a"), F.col("head").alias("b"))
-    near = links(heads.select("fp"), radius)
-    near = near.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("ha")), "a")
-    near = near.join(heads.select(F.col("fp").alias("b"), F.col("head").alias("hb")), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))
-    candidates = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = cut(candidates.distinct(), "links")
-    wanted = candidates.select("a").union(candidates.select("b")).distinct()
+    prints = cut(set_fingerprints(hashed, words), "prints")
+    nodes = prints.groupBy(F.col("text_hash").alias("node")).agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2"))
+    nodes = cut(nodes, "nodes")
+    found = cut(candidates_of(nodes, radius, TOTAL, NEAREST), "candidates")
+    candidates = found.filter((F.col("d") < LINK) & (F.col("rank") <= NEAREST))
+    candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cramped = found.filter("more")
+    wanted = candidates.select("a").union(candidates.select("b")).union(cramped.select("a")).distinct()
     texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     texts = texts.join(wanted, F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
 
     def sets(batches):
         for batch in slices(batches):
-            found = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in column_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["text_hash", "shingles"])
+            own = [distinct(shingle_hashes(t, words)).view(np.int64) for t in column_bytes(batch.column(1))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["text_hash", "shingles"])
 
     # Written, so that both sides of the next joins are plain exchanges, which Spark splits where one text has many links.
     own = cut(texts.mapInArrow(sets, "text_hash long, shingles array<long>"), "shingles")
     checked = cut(_alike(candidates, own, similarity), "alike")
     reached = cut(components(checked), "reached")
-    failed = candidates.join(checked, ["a", "b"], "left_anti")
-    if not failed.isEmpty():
-        spans = components(candidates).select("node", F.col("component").alias("span"))
-        ends = failed.join(spans, F.col("a") == F.col("node")).select("span").distinct()
-        prints_of = nodes.select(F.col("text_hash").alias("node"), "fp")
-        unsettled = cut(spans.join(ends, "span", "left_semi").join(prints_of, "node"), "unsettled")
-        for most in (4, 64, 1 << 62):
-            label = F.coalesce("component", "node").alias("class")
-            open_ = unsettled.join(reached, "node", "left").select("node", "fp", "span", label)
-            sizes = open_.groupBy("class").agg(F.count("*").alias("size"), F.first("span").alias("span"))
-            sizes = sizes.withColumn("classes", F.count("*").over(Window.partitionBy("span"))).filter("classes > 1")
-            open_ = cut(open_.drop("span").join(sizes.select("class", "size"), "class"), "open")
-            if open_.isEmpty():
-                break
-            pairs = cut(near_pairs(open_, radius, most), "pairs")
-            fresh = pairs.select("a", "b").join(candidates, ["a", "b"], "left_anti")
-            candidates = candidates.unionByName(fresh)
-            checked = cut(checked.unionByName(_alike(fresh, own, similarity)), "alike")
-            reached = cut(components(checked), "reached")
-            if not pairs.agg(F.max("more")).first()[0]:
-                break
-    classes = nodes.join(reached, nodes["text_hash"] == reached["node"], "left").select(
-        F.col("text_hash").alias("own"), "least", F.coalesce("component", "text_hash").alias("class")
-    )
+    if not cramped.isEmpty():
+        # Spans: what chains of near texts join, over the groups found so far.
+        label = reached.select(F.col("node").alias("of"), "component")
+        ends = cramped.select("a", "b").join(label, F.col("a") == F.col("of"), "left").select(F.coalesce("component", "a").alias("x"), "b")
+        ends = ends.join(label, F.col("b") == F.col("of"), "left").select("x", F.coalesce("component", "b").alias("y"))
+        steps = ends.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+        spans = cut(components(steps), "spans")
+        open_ = cramped.select(F.col("a").alias("node")).distinct().join(reached, "node", "left")
+        open_ = open_.select("node", F.coalesce("component", "node").alias("class"))
+        open_ = open_.join(spans.select(F.col("node").alias("class"), F.col("component").alias("span")), "class").select("node", "span", "class")
+        fresh = cut(links_between(cut(open_, "open"), own, similarity), "fresh")
+        if not fresh.isEmpty():
+            reached = cut(components(checked.unionByName(fresh)), "reached")
+    classes = nodes.join(reached, "node", "left").select("node", "least", F.coalesce("component", "node").alias("class"))
     keepers = classes.groupBy("class").agg(F.min("least").alias("keeper"))
-    named = classes.join(keepers, "class").select("own", "keeper")
-    return prints.join(named, F.col("text_hash") == F.col("own")).select("doc_id", "text_hash", "keeper")
+    named = classes.join(keepers, "class").select("node", "keeper")
+    return prints.join(named, F.col("text_hash") == F.col("node")).select("doc_id", "text_hash", "keeper")
 
 
-def drop_similar(docs: DataFrame, words: int = 5, radius: int = 7, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, words: int = 5, radius: int = 11, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one document of each group left, the one with the smallest doc_id; columns as they are.
 
     Of rows that repeat the keeper's id and text one stays. In a group without ids one row for each distinct text stays.

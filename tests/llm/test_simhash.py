@@ -1,4 +1,6 @@
+import functools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -143,33 +145,63 @@ def family_rows(families, copies, seed=5):
 
 
 def test_similar_texts_are_joined_whatever_shares_their_fingerprint(spark, monkeypatch):
-    """Eight fingerprints within three bits over five families: a check that fails says nothing about other pairs."""
-    at = lambda docs, *a, **k: docs.select("doc_id", "text_hash", F.pmod("doc_id", F.lit(8)).alias("fp"))
-    monkeypatch.setattr(S, "fingerprints", at)
+    """Eight fingerprints within three bits over five families, two candidates a text: a check that fails says nothing about other pairs."""
+    at = lambda docs, words: docs.select("doc_id", "text_hash", F.pmod("doc_id", F.lit(8)).alias("fp"), F.lit(0).cast("long").alias("fp2"))
+    monkeypatch.setattr(S, "set_fingerprints", at)
+    monkeypatch.setattr(S, "NEAREST", 2)
     rows = family_rows(5, 12)
     want = keepers_of(rows, lambda i, j: True)
     assert len(set(want.values())) == 5
     found = S.similar_groups(docs_frame(spark, rows)).collect()
     assert {r["doc_id"]: r["keeper"] for r in found} == want
+    monkeypatch.setattr(S, "BLOCK", 7)  # families over several blocks
+    found = S.similar_groups(docs_frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["keeper"] for r in found} == want
 
 
-@pytest.mark.parametrize("most", [2, 1 << 62])
-def test_near_pairs(spark, most):
+@pytest.mark.parametrize("most,dense,held", [(3, 2048, 1 << 20), (1000, 2048, 1 << 20), (3, 4, 1 << 20), (3, 4, 64)])
+def test_candidates(spark, monkeypatch, most, dense, held):
+    """Each node's nearest within the bits of both fingerprints, or what leads to them: the same components as all pairs."""
+    monkeypatch.setattr(S, "PIECE", dense)
+    monkeypatch.setattr(S, "ENTRY_ROWS", held)
     rng = random.Random(4)
-    base = [rng.getrandbits(63) for _ in range(2)]
-    rows = []
-    for node in range(60):
-        fp = base[node % 2]
-        for bit in rng.sample(range(63), rng.randrange(6)):
-            fp ^= 1 << bit
-        rows.append((node, fp, node % 4 if node < 40 else node))
-    size = {c: sum(r[2] == c for r in rows) for _, _, c in rows}
-    df = spark.createDataFrame([(*r, size[r[2]]) for r in rows], "node long, fp long, class long, size long")
-    found = S.near_pairs(df, 7, most).collect()
-    pairs = {(r["a"], r["b"]) for r in found}
-    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if rows[i][2] != rows[j][2] and (rows[i][1] ^ rows[j][1]).bit_count() <= 7}
-    assert pairs <= want and len(pairs) == len(found)
-    assert pairs == want if most > 60 else len(pairs) < len(want) and any(r["more"] for r in found)
+    flip = lambda x, n: functools.reduce(lambda v, b: v ^ 1 << b, rng.sample(range(63), n), x)
+    base = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(3)]
+    rows = [(i, *(flip(f, rng.randrange(6)) for f in base[i % 3])) for i in range(240)] + [(500 + i, rng.getrandbits(63), 0) for i in range(30)]
+    every = S.candidates_of(spark.createDataFrame(rows, "node long, fp long, fp2 long"), 11, 32, most).collect()
+    place = {n: k for k, (n, _, _) in enumerate(rows)}
+    far = lambda i, j: ((rows[i][1] ^ rows[j][1]).bit_count(), (rows[i][2] ^ rows[j][2]).bit_count())
+    want = [(i, j) for i in range(len(rows)) for j in range(len(rows)) if i != j and far(i, j)[0] <= 11 and sum(far(i, j)) <= 32]
+    steps = [(place[r["a"]], place[r["b"]]) for r in every]
+    found = [(place[r["a"]], place[r["b"]]) for r in every if r["d"] < S.LINK and r["rank"] <= most]
+    assert len(steps) == len(set(steps)) and set(found) <= set(want)
+    joined = union(len(rows), steps)
+    assert all(joined[i] == joined[j] for i, j in want)
+    cramped, n = {place[r["a"]] for r in every if r["more"]}, Counter(i for i, _ in want)
+    of = Counter(i for i, _ in found)
+    assert all(of[i] <= most and (i in cramped or of[i] == n[i]) for i in range(len(rows)))
+    if dense > 100:
+        assert joined == union(len(rows), want) and cramped == {i for i in n if n[i] > most}
+        assert all(of[i] == min(most, n[i]) for i in n)
+
+
+def test_links_between_classes_against_all_pairs(spark):
+    rng = random.Random(12)
+    base = [rng.getrandbits(62) for _ in range(100)]
+    sets, open_ = [], []
+    for node in range(90):
+        family = base[:50] if node % 3 else base[50:]
+        own = set(rng.sample(family, 44)) | {rng.getrandbits(62) for _ in range(rng.randrange(8))}
+        sets.append((node, sorted(own)))
+        open_.append((node, node % 2, node % 2 + (0 if node < 40 else node + 1) if node % 3 else 1000 + node))
+    df = spark.createDataFrame(open_, "node long, span long, class long")
+    own = spark.createDataFrame(sets, "text_hash long, shingles array<long>")
+    alike = lambda i, j: 5 * len(set(sets[i][1]) & set(sets[j][1])) >= 4 * len(set(sets[i][1]) | set(sets[j][1]))
+    same = [(i, j) for i in range(90) for j in range(i) if open_[i][1:] == open_[j][1:]]
+    want = [(i, j) for i in range(90) for j in range(i) if open_[i][1] == open_[j][1] and alike(i, j)]
+    for block in (4, 1000):
+        found = [(r["a"], r["b"]) for r in S.links_between(df, own, 0.8, block).collect()]
+        assert all(alike(i, j) for i, j in found) and union(90, same + found) == union(90, same + want)
 
 
 def test_repeated_lines_hide_no_copy(spark):
