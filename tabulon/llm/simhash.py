@@ -34,9 +34,10 @@ SEED = 42
 _HELD = 1 << 15
 #: Fingerprints of one table entry that are searched together; above, the entry is split.
 ENTRY = 20_000
-#: The stage on shingle sets: bits of both fingerprints, candidates that a text takes, rows of a dense entry that are searched
-#: together, rows held at once, and nodes of a block with the words of their sketches.
+#: The stage on shingle sets: bits of both fingerprints, bits of the first beyond the radius of the tables, candidates that a text
+#: takes, rows of a dense entry that are searched together, rows held at once, and nodes of a block with the words of their sketches.
 TOTAL = 32
+LOOSE = 7
 NEAREST = 6
 PIECE = 2048
 ENTRY_ROWS = 1 << 20
@@ -294,7 +295,8 @@ def _dense(f1: np.ndarray, radius: int, most: int) -> bool:
 def _nearest(keys, probes, nodes, f1, f2, radius: int, total: int, most: int):
     """For each stored row its ``most`` nearest others in its entry: (node, other, distance, whether more lie as near).
 
-    Rows come sorted by key. Near means ``radius`` bits of the first fingerprint and ``total`` bits of both. Where more lie as near, links
+    Rows come sorted by key. Near means ``radius`` bits of the first fingerprint (``LOOSE`` more than the tables are sure to find) and
+    ``total`` bits of both. Where more lie as near, links
     of distance ``LINK`` join what chains of near rows join. An entry where very many lie near one another is searched in pieces
     of alike rows; all its rows have more then, and such links lead from each to its piece's first row and on to the next piece.
     """
@@ -348,6 +350,8 @@ def _nearest(keys, probes, nodes, f1, f2, radius: int, total: int, most: int):
 def candidates_of(nodes: DataFrame, radius: int, total: int, most: int) -> DataFrame:
     """``a, b, d, rank, more``: each of ``nodes`` (node, fp, fp2) with others within the bits, at distance ``d``, ranked.
 
+    Every two within ``radius`` bits of the first fingerprint and ``total`` of both meet in a table, and most of those within ``LOOSE``
+    more.
     ``more`` is true of all rows of a node that has more than ``most`` others so near; rows with a ``d`` of ``LINK`` then lead, by
     chains, to all of them.
     """
@@ -374,7 +378,8 @@ def candidates_of(nodes: DataFrame, radius: int, total: int, most: int) -> DataF
             left = stop
             if not stop and whole >= ENTRY_ROWS:  # one entry beyond what is held at once: its last row leads on to the rest
                 stop, left = whole, whole - 1
-            out = _nearest(key[:stop], columns[1][:stop], columns[2][:stop], *(x[:stop].view(np.uint64) for x in columns[3:]), radius, total, most)
+            own = (x[:stop].view(np.uint64) for x in columns[3:])
+            out = _nearest(key[:stop], columns[1][:stop], columns[2][:stop], *own, radius + LOOSE, total, most)
             held = [tuple(x[left:] for x in columns)]
             size = 0
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
@@ -486,10 +491,11 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 11, similarity
     """``doc_id, text_hash, keeper``: groups of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Two fingerprints of each distinct text's shingle set (a line that a text repeats counts once): the tables hold the first;
-    candidates lie within ``radius`` bits of it and ``TOTAL`` bits of both, which sets at a similarity of 0.8 differ in by 10 and
-    19 on average. Each text takes its ``NEAREST`` nearest candidates, whose sets are compared. Where texts have more
+    candidates are texts that meet in a table and lie within ``radius`` + ``LOOSE`` bits of it and ``TOTAL`` bits of both. Sets at a
+    similarity of 0.8 differ in 10 and 19 bits on average, and one of the first fingerprint's six segments or more differs in one bit at most
+    for 98 of 100 such pairs. Each text takes its ``NEAREST`` nearest candidates, whose sets are compared. Where texts have more
     candidates than that and fall into several groups, what is left is compared in blocks (``links_between``), so that no two
-    texts within the bits go unjoined and no pairs of a large group are ever written.
+    candidates go unjoined and no pairs of a large group are ever written.
     A group is what these links join; ``keeper`` is its smallest doc_id. Texts are told apart by a 64-bit hash.
     """
     hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
