@@ -9,7 +9,7 @@ string that starts in two places. Identical surroundings enter the array once, w
 A gram with more than ``HOT`` places would make one shard too large. Its windows (at most 177 for a place) are compared by
 128-bit hashes in an aggregation that Spark combines before it shuffles: the same rows, at any count.
 
-Edge cases: a null text is empty and is never removed from; texts under 200 bytes stay whole; copies of a text of at least 200
+Edge cases: a null text is empty and is never removed from; texts under 200 bytes stay whole; very long ones are read in overlapping pieces; copies of a text of at least 200
 bytes (repeated rows among them) lose everything; matches never cross documents; an empty table gives no rows; extra columns
 are kept by ``remove_repeats`` and ignored by ``repeat_digest``. A helper column's name gives way to the table's own.
 """
@@ -20,10 +20,10 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import chunks_of, column_bytes, cut, slices
+from tabulon.llm.common import chunks_of, column_bytes, cut, drop_cut, slices
 from tabulon.llm.suffixes import permuted_prefixes, suffix_array
 from tabulon.llm.words import mix
 
@@ -168,9 +168,14 @@ def shard_spans(owners: np.ndarray, starts: np.ndarray, pieces: list[bytes], len
 _SPANS = "tkey binary, start long, end long"
 
 
+def _key(text: Column) -> Column:
+    """By which texts are told apart: half of their SHA-256."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("tkey")).filter(F.octet_length("text") >= LENGTH)
+    return docs.select(text.alias("text"), _key(text).alias("tkey")).filter(F.octet_length("text") >= LENGTH)
 
 
 def _find_anchors(batches):
@@ -297,7 +302,8 @@ def whole_characters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) ->
 def repeat_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """Distinct texts with a repeated gram (tkey, z, at), and spans (tkey, start, end) of repeated strings between them."""
     texts = _keyed(docs)
-    found = texts.mapInArrow(_find_anchors, "tkey binary, pos int, hash long")
+    # Written: found once, and a plain side of the join below, which Spark can split where a gram is very common.
+    found = cut(texts.mapInArrow(_find_anchors, "tkey binary, pos int, hash long"), "anchors")
     place = F.xxhash64("tkey", "pos")
     repeated = (
         found.groupBy("hash")
@@ -308,6 +314,7 @@ def repeat_spans(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int = HOT
     positions = found.join(repeated, "hash").distinct().groupBy("tkey").agg(F.collect_list(F.struct("pos", "hash", "hot")).alias("at"))
     small = texts.mapInArrow(_squeeze, "tkey binary, z binary").dropDuplicates(["tkey"])
     candidates = cut(small.join(positions, "tkey"), "candidates")
+    drop_cut(found)
     total = candidates.agg(F.sum(F.size("at").cast("long"))).first()[0] or 0
     shards = max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-total * (2 * LENGTH - GRAM) // (8 * SHARD_BYTES)))
     pieces = candidates.mapInArrow(_around, "hash long, tkey binary, start long, piece binary")
@@ -336,7 +343,7 @@ def repeat_digest(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int = HO
     docs = docs.select("doc_id", "text")
     parts, copies = _results(docs, False, shard_bytes, hot)
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.md5(text)).alias("tkey"), F.sha2(text, 256).alias("own"))
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), _key(text).alias("tkey"), F.sha2(text, 256).alias("own"))
     joined = rows.join(parts, "tkey", "left").join(copies, "tkey", "left")
     gone = F.col("copied").isNotNull()
     return joined.select(
@@ -355,7 +362,7 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, hot: int = H
     while key in docs.columns:
         key += "_"
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.withColumn(key, F.unhex(F.md5(text))).alias("d")
+    rows = docs.withColumn(key, _key(text)).alias("d")
     joined = rows.join(parts.select(F.col("tkey").alias("k1"), "kept").alias("p"), F.col(f"d.{key}") == F.col("p.k1"), "left")
     joined = joined.join(copies.select(F.col("tkey").alias("k2"), "copied").alias("c"), F.col(f"d.{key}") == F.col("c.k2"), "left")
     left = F.when(F.col("c.copied"), F.lit("")).otherwise(F.coalesce(F.col("p.kept"), F.col("d.text")))
