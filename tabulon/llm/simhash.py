@@ -343,7 +343,7 @@ def _nearest(keys, probes, nodes, f1, f2, radius: int, total: int, most: int):
             if crowd.any() and not dense:
                 rows = own[crowd]
                 a, b = reach(f1[rows], ~probes[rows], radius, f2[rows], total)
-                add(nodes[rows[a]], nodes[rows[b]], None, False)
+                add(nodes[rows[b]], nodes[rows[a]], None, False)  # each row found leads back: no row has many
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
