@@ -1,7 +1,8 @@
 """Exact nearest-neighbour search, classification and regression.
 
-``algorithm`` and ``leaf_size`` are accepted for compatibility: every choice gives the same, exact neighbours, and the size
-of the training side decides the plan.
+Every ``algorithm`` gives the same, exact neighbours. ``kd_tree`` and ``ball_tree`` deal the training rows to leaves of about
+``leaf_size`` rows (more beyond 4,096 leaves) and send a query only to those that its bounds can't rule out; ``brute`` compares all;
+``auto`` takes kd_tree for many rows of few features.
 """
 
 from __future__ import annotations
@@ -38,6 +39,8 @@ class _Neighbors(Estimator):
             raise ValueError("weights must be 'uniform' or 'distance'")
         if algorithm not in ALGORITHMS:
             raise ValueError(f"algorithm must be one of {', '.join(ALGORITHMS)}")
+        if leaf_size < 1:
+            raise ValueError("leaf_size must be >= 1")
         self.n_neighbors, self.weights, self.algorithm, self.leaf_size = n_neighbors, weights, algorithm, leaf_size
         self.metric, self.p, self.n_jobs = metric, p, n_jobs
         self._metric = Metric.of(metric, p)
@@ -68,7 +71,7 @@ class _Neighbors(Estimator):
         if k < 1:
             raise ValueError("n_neighbors must be >= 1")
         k = min(k, self.n_samples_fit_)
-        out = nearest(df, found, id_col or self._id, self._train, self._fitted(), self._id, self.n_samples_fit_, k, self._metric)
+        out = nearest(df, found, id_col or self._id, self._train, self._fitted(), self._id, self.n_samples_fit_, k, self._metric, self.algorithm, self.leaf_size)
         return out if return_distance else out.drop("distance")
 
     def kneighbors_wide(self, df: DataFrame, n_neighbors: int | None = None, id_col: str | None = None) -> DataFrame:

@@ -9,22 +9,41 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.distance import Metric
+from tabulon.plans.cells import nearest_in_cells
 from tabulon.plans.features import Features
 from tabulon.plans.partials import matrix
 
 #: Training rows up to which the training side is broadcast and Catalyst ranks (of few features).
 BROADCAST_ROWS, BROADCAST_WIDTH = 2000, 8
+#: ``auto`` takes cells beyond so many training rows, for so few features (in more, cells rule little out).
+TREE_ROWS, TREE_WIDTH = 1 << 17, 15
 #: Training and query rows that meet in one task otherwise.
 BLOCK_ROWS = 16_384
 
 
 def nearest(
-    queries: DataFrame, query_features: Features, query_id: str, train: DataFrame, features: Features, train_id: str, n_train: int, k: int, metric: Metric
+    queries: DataFrame,
+    query_features: Features,
+    query_id: str,
+    train: DataFrame,
+    features: Features,
+    train_id: str,
+    n_train: int,
+    k: int,
+    metric: Metric,
+    algorithm: str = "auto",
+    leaf_size: int = 30,
 ) -> DataFrame:
-    """``query_id, rank, neighbor_id, distance``; ranks start at 1."""
-    small = n_train <= BROADCAST_ROWS and features.width <= BROADCAST_WIDTH
-    plan = _by_broadcast if small else _by_blocks
-    found = plan(queries, query_features, query_id, train, features, train_id, n_train, k, metric)
+    """``query_id, rank, neighbor_id, distance``; ranks start at 1. Every ``algorithm`` finds the same rows."""
+    if algorithm == "auto":
+        algorithm = "kd_tree" if n_train > TREE_ROWS and features.width <= TREE_WIDTH else "brute"
+    sides = (queries, query_features, query_id, train, features, train_id, n_train, k, metric)
+    if algorithm != "brute":
+        found = nearest_in_cells(*sides, algorithm == "ball_tree", leaf_size)
+    elif n_train <= BROADCAST_ROWS and features.width <= BROADCAST_WIDTH:
+        found = _by_broadcast(*sides)
+    else:
+        found = _by_blocks(*sides)
     order = Window.partitionBy("query_id").orderBy("power", "neighbor_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "neighbor_id", F.expr(metric.root_sql("power")).alias("distance"))

@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from helpers import frame, names, values
 
+import tabulon.plans.cells as cells
 import tabulon.plans.neighbors as plan
 from tabulon import KNeighborsClassifier, KNeighborsRegressor
+from tabulon.functions.distance import Metric
 
 
 def brute(q, x, k, p=2.0):
@@ -20,6 +22,43 @@ def strategy(request, monkeypatch):
     return request.param
 
 
+@pytest.mark.parametrize("algorithm", ["kd_tree", "ball_tree"])
+@pytest.mark.parametrize("metric,p,leaf", [("euclidean", 2, 30), ("manhattan", 1, 5), ("minkowski", 3, 1), ("minkowski", 0.5, 9)])
+def test_trees(spark, monkeypatch, algorithm, metric, p, leaf):
+    """The same rows as all pairs, ties and copies among them, whatever the leaves; and most leaves are ruled out."""
+    monkeypatch.setattr(cells, "BLOCK_ROWS", 70)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(150, 3)) * 0.1 + c for c in rng.normal(size=(4, 3)) * 10] + [np.zeros((60, 3))])
+    q = np.vstack([x[::9], rng.normal(size=(20, 3)) * 10, np.zeros((1, 3))])
+    m = KNeighborsRegressor(n_neighbors=7, metric=metric, p=p, algorithm=algorithm, leaf_size=leaf).fit(frame(spark, x, x[:, 0]), names(x), "y")
+    rows = m.kneighbors_wide(frame(spark, q)).orderBy("query_id").collect()
+    ids, d = brute(q, x, 7, p)
+    assert [r["neighbor_ids"] for r in rows] == ids.tolist()
+    np.testing.assert_allclose([r["distances"] for r in rows], d, rtol=1e-12)
+    assert m.kneighbors(frame(spark, q[:2]), n_neighbors=10_000).count() == 2 * len(x)
+
+
+def test_trees_rule_leaves_out():
+    rng = np.random.default_rng(5)
+    x = rng.uniform(size=(20_000, 2))
+    splits = cells.Splits.of(x, 256)
+    at = splits.leaves_of(x)
+    assert splits.leaves == 256 and np.bincount(at).max() < 2 * 20_000 / 256
+    for ball in (False, True):
+        low = np.array([x[at == i].min(axis=0) for i in range(256)])
+        high = np.array([x[at == i].max(axis=0) for i in range(256)])
+        center = np.array([x[at == i].mean(axis=0) for i in range(256)])
+        radius = np.array([np.sqrt(((x[at == i] - center[i]) ** 2).sum(axis=1)).max() for i in range(256)])
+        bounds = cells.Bounds(np.bincount(at), low, high, center, radius, Metric.of("euclidean"), ball)
+        assert bounds.needed(x[:500], 5).sum(axis=1).mean() < 40
+
+
+def test_splits_of_few_values():
+    for x in (np.zeros((100, 2)), np.array([[0.0, 1]] * 99 + [[1.0, 1]]), np.zeros((0, 2)), np.array([[1.0, 2]])):
+        splits = cells.Splits.of(x, 16)
+        assert len(np.unique(splits.leaves_of(x))) <= splits.leaves <= 16
+
+
 @pytest.mark.parametrize("metric,p", [("euclidean", 2), ("manhattan", 1), ("minkowski", 3), ("minkowski", 2)])
 def test_kneighbors(spark, strategy, metric, p):
     rng = np.random.default_rng(3)
