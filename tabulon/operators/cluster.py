@@ -20,7 +20,8 @@ from tabulon.plans.partials import blocks, matrix, summed
 from tabulon.plans.positions import with_positions
 
 log = logging.getLogger(__name__)
-#: Values (rows times features) up to which all rounds run on one array on the driver: at most 16 MB, and no jobs between rounds.
+#: Values (rows times features) up to which, unless told otherwise, all rounds run on one array on the driver: at most 16 MB, and no
+#: jobs between rounds.
 LOCAL_CELLS = 1 << 21
 #: Up to so many centre coordinates, distances are SQL projections; beyond, NumPy over Arrow blocks.
 SQL_CELLS = 16
@@ -97,7 +98,8 @@ class _SpreadPoints:
     """Vectors with their positions, persisted in the cluster."""
 
     def __init__(self, rows: DataFrame, n: int):
-        self._frame = with_positions(rows, "_key").select("position", "x").persist()
+        numbered, self._free = with_positions(rows, "_key")
+        self._frame = numbered.select("position", "x").persist()
         self._n, self._band = n, max(1024, math.isqrt(n))  # bands are few, and each is small
 
     def summed(self, fn, size: int) -> np.ndarray:
@@ -135,13 +137,15 @@ class _SpreadPoints:
 
     def release(self) -> None:
         self._frame.unpersist()
+        self._free()
 
 
 class KMeans(Estimator):
     """Lloyd's rounds from k-means++ or random centres.
 
     Rounds end once the centres' shift (Frobenius norm) is at most ``tol`` times the mean variance of the features. A cluster
-    without rows moves to the origin. ``random_state`` None is seed 0; run i of ``n_init`` has seed + i.
+    without rows moves to the origin. ``random_state`` None is seed 0; run i of ``n_init`` has seed + i. Up to ``local_cells`` values
+    (rows times features) the rounds run on the driver, with the same draws and sums; 0 keeps them all in the cluster.
     """
 
     cluster_centers_: np.ndarray | None = None
@@ -159,6 +163,7 @@ class KMeans(Estimator):
         tol: float = 1e-4,
         random_state: int | None = None,
         n_jobs: int = 1,
+        local_cells: int | None = None,
     ):
         if init not in ("k-means++", "random"):
             raise ValueError("init must be 'k-means++' or 'random'")
@@ -168,7 +173,7 @@ class KMeans(Estimator):
             raise ValueError("n_init must be >= 1")
         self.n_clusters, self.init, self.max_iter, self.tol = n_clusters, init, max_iter, tol
         self.n_init = n_init
-        self.random_state, self.n_jobs = random_state, n_jobs
+        self.random_state, self.n_jobs, self.local_cells = random_state, n_jobs, local_cells
 
     @property
     def runs(self) -> int:
@@ -184,7 +189,8 @@ class KMeans(Estimator):
             raise ValueError(f"n_samples={n} should be >= n_clusters={self.n_clusters}")
         key = F.col(id_col) if id_col else found.vector()
         rows = df.select(key.alias("_key"), found.vector().alias("x"))
-        points = _LocalPoints(rows) if n * found.width <= LOCAL_CELLS else _SpreadPoints(rows, n)
+        local = LOCAL_CELLS if self.local_cells is None else self.local_cells
+        points = _LocalPoints(rows) if n * found.width <= local else _SpreadPoints(rows, n)
         try:
             mean = points.summed(lambda x: x.sum(axis=0), found.width) / n
             spread = points.summed(lambda x: ((x - mean) ** 2).sum(axis=0), found.width) / n

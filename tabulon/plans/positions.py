@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_positions(df: DataFrame, order_by: str, name: str = "position") -> DataFrame:
-    """``df`` with each row's place, from 0, in the order of ``order_by`` (unique); call it on a persisted frame.
+def with_positions(df: DataFrame, order_by: str, name: str = "position") -> tuple[DataFrame, Callable[[], object]]:
+    """``df`` with each row's place, from 0, in the order of ``order_by`` (unique), and what frees the rows it persists.
 
     Rows are range-partitioned by the key; partitions number their own rows and start where those before them end.
     """
@@ -21,4 +23,4 @@ def with_positions(df: DataFrame, order_by: str, name: str = "position") -> Data
     offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "_range int, _start long")
     own = Window.partitionBy("_range").orderBy(key)
     numbered = ranged.join(F.broadcast(offsets), "_range").withColumn(name, F.row_number().over(own) - 1 + F.col("_start"))
-    return numbered.drop("_range", "_start")
+    return numbered.drop("_range", "_start"), ranged.unpersist

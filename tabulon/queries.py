@@ -1,4 +1,6 @@
-"""Registered queries of the estimators, each with DuckDB SQL that gives the same rows.
+"""Registered queries of the estimators, with DuckDB SQL that gives the same rows.
+
+Fits that run until they converge have no SQL: tests hold them against plain NumPy.
 
 Per-row results come in long form, rounded where floating-point sums may differ in their last digits.
 """
@@ -21,12 +23,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str):
-    """Registers a query and the SQL it equals."""
+def query(name: str, sql: str | None = None):
+    """Registers a query and the SQL it equals, if there is any."""
 
     def add(fn):
         QUERIES[name] = fn
-        ORACLES[name] = sql
+        if sql is not None:
+            ORACLES[name] = sql
         return fn
 
     return add
@@ -61,6 +64,23 @@ def std_fit(spark, sf):
     return rounded(rounded(out, 5, "mean", "scale"), 3, "var")
 
 
+_WIDE = "(SELECT generate_subscripts(embedding, 1) - 1 AS j, unnest(embedding)::DOUBLE AS u FROM embeddings)"
+
+
+@query("std_fit_wide", f"SELECT 'embedding[' || j || ']' AS feature, round(avg(u), 6) + 0 AS mean, round(stddev_pop(u), 6) + 0 AS scale FROM {_WIDE} GROUP BY j")
+def std_fit_wide(spark, sf):
+    """Many features: sums by NumPy over Arrow blocks."""
+    s = StandardScaler().fit(read_table(spark, sf, "embeddings"), "embedding")
+    return rounded(s.stats_df(spark).select("feature", "mean", "scale"), 6, "mean", "scale")
+
+
+@query("mm_fit_wide", f"SELECT 'embedding[' || j || ']' AS feature, min(u) AS data_min, max(u) AS data_max FROM {_WIDE} GROUP BY j")
+def mm_fit_wide(spark, sf):
+    m = MinMaxScaler().fit(read_table(spark, sf, "embeddings"), "embedding")
+    rows = [(f"embedding[{j}]", a, b) for j, (a, b) in enumerate(zip(m.data_min_, m.data_max_))]
+    return _rows(spark, rows, "feature string, data_min double, data_max double")
+
+
 PART = ["p_size", "p_retailprice"]
 _PART_STATS = "(SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2, stddev_pop(p_retailprice) AS s2 FROM part)"
 
@@ -302,6 +322,14 @@ def huber_score(spark, sf):
     return rounded(_rows(spark, [(h.score(lines, "l_extendedprice"),)], "r2 double"), 8, "r2")
 
 
+@query("huber_converged")
+def huber_converged(spark, sf):
+    """Default stopping."""
+    h = HuberRegressor().fit(read_table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_extendedprice")
+    out = _rows(spark, [(*h.coef_, h.intercept_, h.scale_, h.n_iter_)], "w1 double, w2 double, c double, s double, n_iter long")
+    return rounded(out, 2, "w1", "w2", "c", "s")
+
+
 # --- neighbours ------------------------------------------------------------------------------------------------------
 
 _VECTORS = "SELECT vec_id, label::BIGINT AS label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings"
@@ -328,16 +356,18 @@ def _split(spark, sf) -> tuple[DataFrame, DataFrame]:
 _NEIGHBORS = "SELECT query_id, rank, neighbor_id, round(distance, 6) + 0 AS distance FROM r"
 
 
-def _kneighbors(metric: str, p: float = 2.0):
+def _kneighbors(metric: str, p: float = 2.0, **kw):
     def run(spark, sf):
         train, asked = _split(spark, sf)
-        m = KNeighborsRegressor(metric=metric, p=p).fit(train, "embedding", "label", "vec_id")
+        m = KNeighborsRegressor(metric=metric, p=p, **kw).fit(train, "embedding", "label", "vec_id")
         return rounded(m.kneighbors(asked).withColumn("rank", F.col("rank").cast("long")), 6, "distance")
 
     return run
 
 
 query("knn_euclidean", _L2 + _NEIGHBORS)(_kneighbors("euclidean"))
+query("knn_kd_tree", _L2 + _NEIGHBORS)(_kneighbors("euclidean", algorithm="kd_tree"))
+query("knn_ball_tree", _L2 + _NEIGHBORS)(_kneighbors("euclidean", algorithm="ball_tree"))
 query("knn_manhattan", _knn_sql("abs(z[1] - z[2])", "power") + _NEIGHBORS)(_kneighbors("manhattan"))
 query("knn_minkowski3", _knn_sql("abs(z[1] - z[2]) ** 3", "power ** (1.0 / 3)") + _NEIGHBORS)(_kneighbors("minkowski", 3.0))
 
@@ -414,6 +444,31 @@ def knn_reg_predict(spark, sf):
     return _regressed(*_customers(spark, sf))
 
 
+@query("knn_reg_kd_tree", _customer_sql(5) + "SELECT query_id, round(avg(y), 6) + 0 AS prediction FROM r GROUP BY query_id")
+def knn_reg_kd_tree(spark, sf):
+    return _regressed(*_customers(spark, sf, algorithm="kd_tree"))
+
+
+@query("knn_reg_ball_tree", _customer_sql(5) + "SELECT query_id, round(avg(y), 6) + 0 AS prediction FROM r GROUP BY query_id")
+def knn_reg_ball_tree(spark, sf):
+    return _regressed(*_customers(spark, sf, algorithm="ball_tree", leaf_size=10))
+
+
+@query(
+    "knn_all_rows",
+    """
+WITH s AS (SELECT s_suppkey AS id, s_acctbal AS x, s_nationkey::DOUBLE AS y FROM supplier),
+d AS (SELECT q.id AS query_id, t.id AS neighbor_id, (q.x - t.x) * (q.x - t.x) + (q.y - t.y) * (q.y - t.y) AS power FROM s q, s t)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY power, neighbor_id) AS rank, neighbor_id, round(sqrt(power), 6) + 0 AS distance FROM d QUALIFY rank <= 5
+""",
+)
+def knn_all_rows(spark, sf):
+    """Every row asked about, against all rows, itself among them."""
+    s = read_table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("x"), F.col("s_nationkey").cast("double").alias("y"))
+    found = KNeighborsRegressor(algorithm="kd_tree").fit(s, ["x", "y"], id_col="id").kneighbors(s)
+    return rounded(found.withColumn("rank", F.col("rank").cast("long")), 6, "distance")
+
+
 @query("knn_reg_distance", _customer_sql(5) + f"SELECT query_id, round({_WEIGHTED}, 6) + 0 AS prediction FROM r GROUP BY query_id")
 def knn_reg_distance(spark, sf):
     return _regressed(*_customers(spark, sf, weights="distance"))
@@ -513,7 +568,7 @@ _FITTED = "SELECT cluster::BIGINT AS cluster, count(*) AS n, round(sum(d), 5) +
 
 def _fitted_clusters(spark, sf, **kw) -> DataFrame:
     e = read_table(spark, sf, "embeddings")
-    m = KMeans(n_clusters=CLUSTERS, tol=0.0, n_init=1, random_state=42, **kw).fit(e, "embedding", id_col="vec_id")
+    m = KMeans(**{"n_clusters": CLUSTERS, "tol": 0.0, "n_init": 1, "random_state": 42, "local_cells": 0} | kw).fit(e, "embedding", id_col="vec_id")
     both = m.transform(m.predict(e))
     rows = both.select(F.col("prediction").alias("cluster"), F.pow(F.array_min("distances"), 2).alias("d"))
     return rounded(rows.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("d").alias("inertia")), 5, "inertia")
@@ -556,32 +611,19 @@ def km_lloyd(spark, sf):
     return _fitted_clusters(spark, sf, max_iter=ROUNDS)
 
 
-# --- benchmark report ------------------------------------------------------------------------------------------------
+@query("km_lloyd_local", _lloyd_sql(_plus_plus_start(42, CLUSTERS), ROUNDS) + " " + _FITTED.format(r=ROUNDS))
+def km_lloyd_local(spark, sf):
+    """The same draws and rounds on one array."""
+    return _fitted_clusters(spark, sf, max_iter=ROUNDS, local_cells=None)
 
-#: Published milliseconds: estimator, method, then one thread of the common library, one of the engine measured, all of its threads.
-TIMES = [
-    ("StandardScaler", "fit", 11.11, 6.65, 1.30),
-    ("MinMaxScaler", "fit", 3.67, 4.29, 1.04),
-    ("RidgeRegressor", "fit", 7.29, 19.52, None),
-    ("KNeighborsClassifier", "fit", 1.56, 2.31, 2.20),
-    ("KNeighborsRegressor", "fit", 1.55, 2.35, 2.22),
-    ("KMeans", "fit", 36.00, 34.51, 42.46),
-]
 
+@query("km_converged")
+def km_converged(spark, sf):
+    """Default clusters, restarts and stopping."""
+    return _fitted_clusters(spark, sf, n_clusters=8, tol=1e-4, n_init=None)
 
-@query(
-    "bench_report",
-    "SELECT estimator, method, round(base / single, 3) AS speedup, round(base / parallel, 3) AS speedup_parallel FROM (VALUES "
-    + ", ".join(f"('{a}', '{m}', {b}::DOUBLE, {s}::DOUBLE, {'NULL' if p is None else p}::DOUBLE)" for a, m, b, s, p in TIMES)
-    + ") t(estimator, method, base, single, parallel)",
-)
-def bench_report(spark, sf):
-    """Times by engine, joined with the base times and turned into ratios."""
-    long = [(a, m, engine, t) for a, m, *times in TIMES for engine, t in zip(("base", "single", "parallel"), times) if t is not None]
-    rows = spark.createDataFrame(long, "estimator string, method string, engine string, ms double")
-    base = rows.filter("engine = 'base'").select("estimator", "method", F.col("ms").alias("base"))
-    out = base
-    for engine, name in (("single", "speedup"), ("parallel", "speedup_parallel")):
-        own = rows.filter(F.col("engine") == engine).select("estimator", "method", F.col("ms").alias(engine))
-        out = out.join(own, ["estimator", "method"], "left").withColumn(name, F.round(F.col("base") / F.col(engine), 3))
-    return out.select("estimator", "method", "speedup", "speedup_parallel")
+
+@query("km_restarts")
+def km_restarts(spark, sf):
+    """The best of ten runs from random rows."""
+    return _fitted_clusters(spark, sf, tol=1e-4, n_init=None, init="random")

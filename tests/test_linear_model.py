@@ -116,3 +116,15 @@ def test_median_by_ranges(spark, n):
     df = frame(spark, v[:, None])
     assert exact_median(df, "x0", collected=20) == pytest.approx(np.median(v), rel=1e-12)
     assert exact_median(df, "x0") == pytest.approx(np.median(v), rel=1e-12)
+
+
+def test_ridge_of_many_features(spark):
+    """Beyond a dozen features products are made by NumPy over Arrow blocks."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 30)) @ rng.normal(size=(30, 30)) + 5
+    y = x @ rng.normal(size=30) + 2 + rng.normal(size=400)
+    m = RidgeRegressor(alpha=3.0).fit(frame(spark, x, y), names(x), "y")
+    a, b = x - x.mean(axis=0), y - y.mean()
+    want = np.linalg.solve(a.T @ a + 3 * np.eye(30), a.T @ b)
+    np.testing.assert_allclose(m.coef_, want, rtol=1e-6, atol=1e-8)
+    assert abs(m.intercept_ - (y.mean() - x.mean(axis=0) @ want)) < 1e-6
