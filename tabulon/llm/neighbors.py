@@ -2,16 +2,19 @@
 
 Vectors are lengthened by one component that makes all norms equal, so that the largest inner product is the smallest distance.
 A fixed Gaussian matrix takes them to ``PROJECTED`` dimensions; the squared projected distance of two vectors over their squared
-distance follows a chi-square law. A kd-tree over the projected points of a block gives a query its neighbours there in
-order of projected distance; each is verified by its inner product. The search of a block ends once a vector as near as
+distance follows a chi-square law. A kd-tree over the projected points gives a query its neighbours in
+order of projected distance; each is verified by its inner product. The search ends once a vector as near as
 the k-th found would, with probability ``CONFIDENCE``, have come up before the next projected distance.
 
-All vectors are indexed, in blocks of about ``BLOCK`` dealt by hash; every query meets every block, and the best of all blocks
-are ranked. Each block's k-th is no nearer than the k-th of all, so the test is passed later than it need be.
+The tree has two levels. Its upper splits come from a sample of ``SAMPLE_ROWS`` rows at most and deal all vectors to blocks of about
+``BLOCK`` (``MOST_BLOCKS`` at most, so that their boxes have a bounded size); each block builds its own tree. A query first searches the
+block nearest to it, then, with the k-th product found there as a start, only blocks that begin before the test holds.
+The sample shapes the blocks only: every row is indexed.
 
 Edge cases: vectors that are null, zero, hold a null or non-finite component, have no id, or have another length than most
 take no part; rows that repeat an id are candidates each, but none for a query of that id, which is asked once; ties go to the
-smaller id; with fewer than k candidates all are returned; an empty table gives no rows; extra columns are ignored.
+smaller id; with fewer than k candidates all are returned; of rows that repeat a query's id the smallest vector asks; an empty
+table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,9 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tabulon.llm.common import cut
+from tabulon.plans.cells import Splits
+from tabulon.plans.partials import matrix
+
 PROJECTED = 6
-CONFIDENCE = 0.85
+CONFIDENCE = 0.95
 BLOCK = 8192
+MOST_BLOCKS = 4096
+SAMPLE_ROWS = 16_384
 LEAF = 64
 SEED = 5
 QUERY_EVERY = 20
@@ -94,8 +103,11 @@ class BlockIndex:
         self.low = np.minimum.reduceat(self.points, self.starts)
         self.high = np.maximum.reduceat(self.points, self.starts)
 
-    def search(self, query_id: int, query: np.ndarray, k: int, quantile: float) -> tuple[np.ndarray, np.ndarray, int]:
-        """Ids and inner products of the ``k`` best found, and how many points were verified."""
+    def search(self, query_id: int, query: np.ndarray, k: int, quantile: float, known: float = -np.inf) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and inner products of the ``k`` best found, and how many points were verified.
+
+        ``known`` is a product that ``k`` vectors elsewhere reach: less is neither looked for nor returned.
+        """
         q = self.projection.queries(query[None])[0]
         gap = np.maximum(np.maximum(self.low - q, q - self.high), 0)
         bound = np.einsum("ij,ij->i", gap, gap)
@@ -124,17 +136,42 @@ class BlockIndex:
                 best, best_at = best[near], best_at[near]
             if done >= len(leaves):
                 break
-            if len(best) >= k:
-                kth = np.partition(best, len(best) - k)[len(best) - k]
-                if bound[done] >= quantile * max(far - 2 * (kth - self.slack), 0):
-                    break
+            kth = max(known, np.partition(best, len(best) - k)[len(best) - k] if len(best) >= k else -np.inf)
+            if bound[done] >= quantile * max(far - 2 * (kth - self.slack), 0):
+                break
         if len(best) > k:
             best_at = best_at[best >= np.partition(best, len(best) - k)[len(best) - k] - 2 * self.slack]
         exact = (self.vectors[best_at] * query).sum(axis=1)  # the same sum wherever a vector lies
+        best_at, exact = best_at[exact >= known], exact[exact >= known]
         order = np.lexsort((self.ids[best_at], -exact))[:k]
         return self.ids[best_at][order], exact[order], verified
 
 
+_DEALT = ["block", "query", "vec_id", "v", "known"]
+
+
+def _boxes(rows: DataFrame, projection: Projection, splits: Splits) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest projected coordinates of each block's rows; infinitely far for blocks without any."""
+
+    def run(batches):
+        low, high = np.full((splits.leaves, PROJECTED), np.inf), np.full((splits.leaves, PROJECTED), -np.inf)
+        for batch in batches:
+            if batch.num_rows:
+                points = projection.points(matrix(batch.column(0)))
+                at = splits.leaves_of(points)
+                np.minimum.at(low, at, points)
+                np.maximum.at(high, at, points)
+        leaf, axis = np.nonzero(np.isfinite(low))
+        columns = [pa.array(leaf), pa.array(axis), pa.array(low[leaf, axis]), pa.array(high[leaf, axis])]
+        yield pa.RecordBatch.from_arrays(columns, ["leaf", "axis", "low", "high"])
+
+    parts = rows.select("v").mapInArrow(run, "leaf long, axis long, low double, high double")
+    found = parts.groupBy("leaf", "axis").agg(F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+    low, high = np.full((splits.leaves, PROJECTED), np.inf), np.full((splits.leaves, PROJECTED), np.inf)
+    low[found["leaf"], found["axis"]], high[found["leaf"], found["axis"]] = found["low"], found["high"]
+    return low, high
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id, v`` (array of doubles) of the rows that take part."""
     v = F.col("embedding").cast("array<double>")
@@ -160,14 +197,52 @@ def nearest(vectors: DataFrame, k: int = NEIGHBORS, every: int = QUERY_EVERY, bl
     shape = max(shapes, key=lambda r: (r["n"], r["dims"]))
     rows = rows.filter(F.size("v") == shape["dims"])
     projection = Projection.of(shape["dims"], math.sqrt(shape["most"]) * (1 + 1e-12))
-    blocks = -(-shape["n"] // block)
     quantile = chi_square_quantile(confidence, PROJECTED)
+    share = min(1.0, 1.2 * SAMPLE_ROWS / shape["n"])
+    some = (rows.sample(share, seed=SEED) if share < 1 else rows).limit(SAMPLE_ROWS).select("v").toArrow()
+    sampled = matrix(some.column("v").combine_chunks())
+    splits = Splits.of(projection.points(sampled) if len(sampled) else np.zeros((0, PROJECTED)), min(MOST_BLOCKS, -(-shape["n"] // block)))
+    boxes = _boxes(rows, projection, splits)
+
+    def store(batches):
+        for batch in batches:
+            at = splits.leaves_of(projection.points(matrix(batch.column(1))))
+            none = pa.nulls(len(at), pa.float64())
+            columns = [pa.array(at), pa.array(np.zeros(len(at), dtype=bool)), *batch.columns, none]
+            yield pa.RecordBatch.from_arrays(columns, _DEALT)
+
+    def ask(first: bool):
+        def run(batches):
+            step = max(1, (1 << 20) // len(boxes[0]))
+            for batch in batches:
+                for i in range(0, batch.num_rows, step):
+                    part = batch.slice(i, step)
+                    x = matrix(part.column(1))
+                    q = projection.queries(x)
+                    bound = np.zeros((len(q), len(boxes[0])))
+                    for j in range(PROJECTED):
+                        bound += np.maximum(np.maximum(boxes[0][None, :, j] - q[:, j, None], q[:, j, None] - boxes[1][None, :, j]), 0) ** 2
+                    home = bound.argmin(axis=1)
+                    if first:
+                        row, leaf = np.arange(len(q)), home
+                    else:
+                        known = part.column(2).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+                        far = np.einsum("ij,ij->i", x, x) + projection.reach**2
+                        slack = 1e-5 * (1 + projection.reach) ** 2
+                        need = bound < (quantile * np.maximum(far - 2 * (known - slack), 0))[:, None]
+                        need[np.arange(len(q)), home] = False
+                        row, leaf = np.nonzero(need & np.isfinite(bound))
+                    own = pa.array(row)
+                    columns = [pa.array(leaf), pa.array(np.ones(len(row), dtype=bool)), *(c.take(own) for c in part.columns)]
+                    yield pa.RecordBatch.from_arrays(columns, _DEALT)
+
+        return run
 
     def search(batches):
         index, ids, parts, now = None, [], [], None
         for batch in batches:
             tags, queries, keys = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            flat = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(keys), -1)
+            flat, known = matrix(batch.column(3)), batch.column(4).fill_null(-np.inf).to_numpy(zero_copy_only=False)
             # Runs of one block's vectors, or of one block's queries.
             change = (tags[1:] != tags[:-1]) | (queries[1:] != queries[:-1])
             edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(keys)] if len(keys) else []
@@ -184,8 +259,8 @@ def nearest(vectors: DataFrame, k: int = NEIGHBORS, every: int = QUERY_EVERY, bl
                     index = BlockIndex(np.concatenate(ids), np.concatenate(parts), projection)
                     parts = []
                 out = [[], [], [], []]
-                for key, q in zip(keys[a:b], flat[a:b]):
-                    found, score, verified = index.search(key, q, k, quantile)
+                for key, q, least in zip(keys[a:b], flat[a:b], known[a:b]):
+                    found, score, verified = index.search(key, q, k, quantile, least)
                     effort = np.zeros(len(found), dtype=np.int64)
                     effort[:1] = verified
                     for column, x in zip(out, (np.full(len(found), key), found, score, effort)):
@@ -193,13 +268,18 @@ def nearest(vectors: DataFrame, k: int = NEIGHBORS, every: int = QUERY_EVERY, bl
                 columns = [pa.array(np.concatenate(x)) for x in out]
                 yield pa.RecordBatch.from_arrays(columns, ["query_id", "vec_id", "score", "verified"])
 
-    stored = rows.select(
-        F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(blocks)).cast("int").alias("block"), F.lit(False).alias("query"), "vec_id", "v"
-    )
-    asked = rows.filter(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    asked = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("query"), "vec_id", "v")
-    dealt = stored.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "query")
-    found = dealt.mapInArrow(search, schema)
+    kinds = "block long, query boolean, vec_id long, v array<double>, known double"
+    stored = rows.mapInArrow(store, kinds)
+    asked = rows.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+
+    def searched(queries: DataFrame, first: bool) -> DataFrame:
+        dealt = stored.unionByName(queries.mapInArrow(ask(first), kinds)).repartition(splits.leaves, "block")
+        return dealt.sortWithinPartitions("block", "query").mapInArrow(search, schema)
+
+    near = cut(searched(asked.withColumn("known", F.lit(None).cast("double")), True), "near")
+    reached = near.groupBy(F.col("query_id").alias("of")).agg(F.count("*").alias("n"), F.min("score").alias("kth"))
+    known = F.when(F.col("n") >= k, F.col("kth"))
+    found = near.unionByName(searched(asked.join(reached, F.col("vec_id") == F.col("of"), "left").select("vec_id", "v", known.alias("known")), False))
     by_query = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumns({
         "rank": F.row_number().over(by_query),

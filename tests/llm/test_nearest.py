@@ -49,6 +49,16 @@ def test_structured_data_is_pruned():
     assert np.mean(seen) < 3500
 
 
+def test_blocks_far_away_are_not_searched(spark):
+    """Tight clusters: a query's test holds long before most blocks begin, and nothing is lost."""
+    rng = np.random.default_rng(7)
+    centers = rng.normal(size=(40, 32))
+    x = (centers[rng.integers(0, 40, 4000)] + 0.02 * rng.normal(size=(4000, 32))).astype(np.float32)
+    assert recall(spark, x, block=100) >= 0.9
+    found = nearest(frame(spark, rows_of(x)), k=10, block=100).groupBy("query_id").agg({"verified": "max"}).toPandas()
+    assert len(found) == 200 and found["max(verified)"].mean() < 2000
+
+
 def test_chi_square_quantile():
     for dims, p, want in ((2, 0.5, 2 * math.log(2)), (6, 0.95, 12.5916), (10, 0.9, 15.9872)):
         assert abs(chi_square_quantile(p, dims) - want) < 1e-3
