@@ -5,7 +5,7 @@ in one table for each segment of their bits: a fingerprint sends its own segment
 value in a small Hamming ball around it. If two fingerprints differ in at most r bits, some segment differs in no more
 than its ball's radius (``segments``), so no link is lost. Each table entry's fingerprints are verified on all 64 bits by a search
 that links what it reaches, so an entry of n fingerprints gives fewer than n links, never all pairs; entries with very many
-fingerprints are split once more by the tables of the other segments. Links go through distributed components.
+fingerprints are dealt on to the tables of finer segments. Links go through distributed components.
 
 The pipeline's stage (``similar_groups``) compares shingle sets; see there.
 
@@ -232,8 +232,13 @@ def _search_groups(keys: np.ndarray, fps: np.ndarray, probes: np.ndarray, radius
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``a, b``: links between the distinct ``fp`` of ``prints`` that join all within ``radius`` bits, each chain once."""
-    count = choose_segments(prints.count(), radius)
+    """``a, b``: links between the distinct ``fp`` of ``prints`` that join all within ``radius`` bits, each chain once.
+
+    A table entry with over ``ENTRY_ROWS`` fingerprints, more than one task should hold, is dealt on to the tables of both halves of
+    their bits.
+    """
+    n = prints.count()
+    count = choose_segments(n, radius)
 
     def explode(batches):
         for batch in batches:
@@ -267,7 +272,22 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
         if size:
             yield found(held, True)[0]
 
-    probes = prints.mapInArrow(explode, "key long, fp long, probe boolean")
+    def deal_on(batches):
+        for batch in batches:
+            key, fp = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(2))
+            for i in range(0, batch.num_rows, 500):
+                fps = fp[i : i + 500]
+                finer, probe, owners = entries(fps, radius, 2)
+                keys = mix(key[i : i + 500][owners] + finer * np.uint64(_ODD))
+                columns = [pa.array(keys.view(np.int64)), pa.array(fps[owners].view(np.int64)), pa.array(probe)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "probe"])
+
+    schema = "key long, fp long, probe boolean"
+    probes = prints.mapInArrow(explode, schema)
+    if n > ENTRY_ROWS:  # an entry has a fingerprint once at most
+        hot = probes.groupBy("key").count().filter(F.col("count") > ENTRY_ROWS).select("key")  # one key for so many rows
+        finer = probes.join(F.broadcast(hot), "key", "left_semi").mapInArrow(deal_on, schema)
+        probes = probes.join(F.broadcast(hot), "key", "left_anti").unionByName(finer)
     return probes.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long").distinct()
 
 

@@ -83,6 +83,26 @@ def test_classes_against_brute_force(spark):
     assert sorted(((x["doc_id"] is None, x["doc_id"] or 0), x["fp"], x["component_id"]) for x in found) == want
 
 
+def test_hot_entries_are_dealt_on(spark, monkeypatch):
+    """Hundreds of fingerprints in each entry, of which a task should hold 50: the classes of all pairs."""
+    rng = random.Random(13)
+    fps = set()
+    for _ in range(8):
+        base = rng.getrandbits(8) | 0xABCD << 48 | 0x1234 << 24
+        for _ in range(40):
+            x = base
+            for bit in rng.sample(range(64), rng.randrange(7)):
+                x ^= 1 << bit
+            fps.add(x)
+    fps = sorted(fps)
+    want = union(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    df = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
+    place = {f - (f >> 63 << 64): i for i, f in enumerate(fps)}
+    for held in (1 << 20, 50):
+        monkeypatch.setattr(S, "ENTRY_ROWS", held)
+        assert union(len(fps), [(place[r["a"]], place[r["b"]]) for r in S.links(df).collect()]) == want
+
+
 def test_hot_group_and_empty(spark):
     """Thousands of near copies: one class, and fewer links than table entries (some 45 a fingerprint)."""
     rng = random.Random(3)
