@@ -626,4 +626,4 @@ def km_converged(spark, sf):
 @query("km_restarts")
 def km_restarts(spark, sf):
     """The best of ten runs from random rows."""
-    return _fitted_clusters(spark, sf, tol=1e-4, n_init=None, init="random")
+    return _fitted_clusters(spark, sf, tol=1e-4, n_init=None, init="random", local_cells=None)
