@@ -2,7 +2,7 @@
 
 Each round makes every node's larger neighbours, then its smaller ones, point to the smallest node it sees; the number of
 rounds is logarithmic in the number of nodes, whatever the shape. Edges stay in the cluster; the driver sees their count and a
-checksum. A node with very many edges is one key of a join and of a pre-aggregated minimum, both of which Spark splits.
+checksum. Repeated edges count once, loops never, and an empty list has no nodes. A node with very many edges is one key of a join and of a pre-aggregated minimum, both of which Spark splits.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ capacity; counts are found by tracking back through the bit sets. A pattern is u
 the cluster, remainders are ranked within their length (by hashed blocks, so a common length is no hot group) and look up
 which use of which pattern their rank falls into.
 
-Edge cases: a null or empty text is the end id alone; repeated rows are packed each for itself; an empty table gives no
+Edge cases: a null or empty text is the end id alone; a very long one is tokenised whole and leaves one checksum for each window;
+equal lengths are ranked by id and place; null ids rank first; repeated rows are packed each for itself; an empty table gives no
 pieces; extra columns are ignored.
 """
 

@@ -8,6 +8,8 @@ within a bucket in rounds, so that every suffix is handled once and in array ope
 
 Common prefixes are computed in text order: where the bytes before a suffix and before its predecessor in the array
 agree, its prefix is one shorter than that of the suffix before it in the text; only the others are compared.
+
+An empty text has an empty array; texts of one repeated byte, and any bytes, zero among them, are texts like others.
 """
 
 from __future__ import annotations

@@ -2,7 +2,8 @@
 
 A word is a run of bytes other than space and 0x09-0x0D; A-Z are lower-cased. Its hash is a polynomial over random
 byte values modulo 2**64, taken from prefix sums, then mixed. Two of V words share a hash with a probability of about
-V * V / 2**65 (a billion words: 3 in 100 that any two do).
+V * V / 2**65 (a billion words: 3 in 100 that any two do). Empty texts have no words; long ones are hashed piece by piece, a word longer than
+a piece whole.
 """
 
 from __future__ import annotations

@@ -20,8 +20,9 @@ def folder(tmp_path_factory, spark):
     rows += [(110 + i, words(rng, 20, 20_000) + " " + passage + " " + words(rng, 20, 20_000)) for i in range(3)]
     rows += [(120, words(rng, 30, 20_000) + " " + item)]
     rows += [(200 + i, t) for i, t in enumerate(EDGE)] + [(0, rows[0][1]), (None, "an id is missing here")]
-    table = [(i, t, "en", "src", None if t is None else len(t)) for i, t in rows]
-    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    table = [(i, t, "en", "src", None if t is None else len(t), 1, 2, "k", 0.5, 3, "g") for i, t in rows]
+    extra = "h long, node long, tkey string, score double, text_hash long, keeper string"  # names that the stages use themselves
+    spark.createDataFrame(table, f"doc_id long, text string, lang string, source string, n_chars long, {extra}").write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     return str(path), passage
 
