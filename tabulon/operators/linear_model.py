@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tabulon.functions.literals import double, quoted, total
 from tabulon.operators.base import Regression
 from tabulon.plans.features import Features, check_rows
-from tabulon.plans.gram import centred_products, solve_ridge
+from tabulon.plans.gram import SQL_WIDTH, centred_products, means_and_products, solve_ridge
 from tabulon.plans.moments import exact_median
 
 log = logging.getLogger(__name__)
@@ -60,10 +60,17 @@ class RidgeRegressor(_Linear):
         self.alpha, self.fit_intercept, self.solver = alpha, fit_intercept, solver
 
     def fit(self, df: DataFrame, features: str | list[str], label: str) -> RidgeRegressor:
-        """Two jobs: means, then products of centred columns."""
+        """Few features take two aggregates, means and then products of centred columns; more take one pass over blocks."""
         found = Features.of(df, features)
-        n, x_mean, y_mean = self._centre(df, found, label)
-        gram, moment = centred_products(df, found.sql(), f"CAST({quoted(label)} AS DOUBLE)", x_mean, y_mean)
+        y = f"CAST({quoted(label)} AS DOUBLE)"
+        if found.width > SQL_WIDTH:
+            n, mean, products = means_and_products(df, found.checked(df), y)
+            if not self.fit_intercept:
+                products, mean = products + n * np.outer(mean, mean), np.zeros_like(mean)
+            x_mean, y_mean, gram, moment = mean[:-1], float(mean[-1]), products[:-1, :-1], products[:-1, -1]
+        else:
+            n, x_mean, y_mean = self._centre(df, found, label)
+            gram, moment = centred_products(df, found.sql(), y, x_mean, y_mean)
         self.coef_ = solve_ridge(gram, moment, self.alpha, "Solve failed")
         self.intercept_ = float(y_mean - x_mean @ self.coef_) if self.fit_intercept else 0.0
         self._features, self.n_samples_fit_ = found, n

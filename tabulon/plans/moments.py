@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.plans.features import Features, check_rows
-from tabulon.plans.partials import summed
+from tabulon.plans.partials import mean_of, merged
 
-#: Up to so many features one SQL aggregate takes them all; beyond, two passes over Arrow blocks.
+#: Up to so many features one SQL aggregate takes them all; beyond, NumPy over Arrow blocks.
 SQL_WIDTH = 24
 
 
@@ -56,16 +56,31 @@ def _aggregate(df: DataFrame, features: Features, functions: list[str]):
 
 
 def moments(df: DataFrame, features: Features) -> Moments:
-    """One aggregate where the features are few, else means first and squared deviations from them second."""
+    """One pass: an aggregate where the features are few, else the moments of Arrow blocks, merged pairwise."""
     features.checked(df)
     if features.width <= SQL_WIDTH:
         n, mean, variance = _aggregate(df, features, ["avg", "var_pop"])
         return Moments(n, mean, variance * n)
-    row = df.agg(F.count("*").alias("n"), F.expr(f"count_if({features.bad_sql()})").alias("bad")).first()
-    check_rows(row["n"], row["bad"])
-    vectors, width, n = df.select(features.vector().alias("x")), features.width, row["n"]
-    mean = summed(vectors, lambda c: c[0].sum(axis=0), width) / n
-    return Moments(n, mean, summed(vectors, lambda c: ((c[0] - mean) ** 2).sum(axis=0), width))
+    width, bad = features.width, F.expr(features.bad_sql())
+    rows = df.select(F.when(bad, F.array_repeat(F.lit(0.0), width)).otherwise(features.vector()).alias("x"), bad.alias("bad"))
+
+    def packed(m: Moments, broken: float) -> np.ndarray:
+        return np.concatenate([[m.count, broken], m.mean, m.squares])
+
+    def unpacked(v: np.ndarray) -> Moments:
+        return Moments(v[0], v[2 : 2 + width], v[2 + width :])
+
+    def of_block(block: list[np.ndarray]) -> np.ndarray:
+        x, broken = block
+        mean = mean_of(x)
+        return packed(Moments(len(x), mean, ((x - mean) ** 2).sum(axis=0)), broken.sum())
+
+    found = merged(rows, of_block, lambda a, b: packed(unpacked(a).merged(unpacked(b)), a[1] + b[1]))
+    if found is None:
+        check_rows(0, 0)
+    check_rows(int(found[0]), int(found[1]))
+    whole = unpacked(found)
+    return Moments(int(found[0]), whole.mean, whole.squares)
 
 
 def extremes(df: DataFrame, features: Features) -> Extremes:

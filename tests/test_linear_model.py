@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from helpers import frame, names, values
+from pyspark.sql import functions as F
 
 from tabulon import HuberRegressor, RidgeRegressor
 from tabulon.linear_model import Huber, Ridge
@@ -44,6 +45,26 @@ def test_ridge_wide_and_alpha_zero(spark):
     np.testing.assert_allclose(r.coef_, np.arange(20.0), atol=1e-8)
 
 
+@pytest.mark.parametrize("intercept", [True, False])
+def test_ridge_wide_blocks(spark, intercept):
+    """One pass over blocks of uneven partitions, against the closed form; nulls and no rows are refused."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 15)) + 50
+    y = x @ np.arange(15.0) + 3 + rng.normal(size=300)
+    df = frame(spark, x, y)
+    uneven = df.filter("id < 2").coalesce(1).union(df.filter("id >= 2").repartition(4))
+    r = Ridge(alpha=0.5, fit_intercept=intercept).fit(uneven, names(x), "y")
+    c, t = (x - x.mean(axis=0), y - y.mean()) if intercept else (x, y)
+    coef = np.linalg.solve(c.T @ c + 0.5 * np.eye(15), c.T @ t)
+    np.testing.assert_allclose(r.coef_, coef, rtol=1e-8)
+    np.testing.assert_allclose(r.intercept_, y.mean() - x.mean(axis=0) @ coef if intercept else 0.0, rtol=1e-8, atol=1e-9)
+    assert r.n_samples_fit_ == 300
+    with pytest.raises(ValueError, match="in 1 rows"):
+        Ridge().fit(df.withColumn("y", F.expr("CASE WHEN id = 9 THEN NULL ELSE y END")), names(x), "y")
+    with pytest.raises(ValueError, match="non-empty"):
+        Ridge().fit(df.limit(0), names(x), "y")
+
+
 def test_ridge_errors(spark):
     x, y = data()
     with pytest.raises(ValueError, match="alpha must be >= 0"):

@@ -34,6 +34,24 @@ def test_standard_random(spark, shape):
     np.testing.assert_allclose(values(back, [n + "_scaled_back" for n in names(x)]), x, atol=1e-9)
 
 
+def test_standard_wide_blocks(spark):
+    """Far from zero, over partitions of uneven size with an empty one; a constant column; nulls and NaN are refused, no rows too."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(500, 30)) + 1e7
+    x[:, 4] = 0.1
+    df = frame(spark, x)
+    uneven = df.filter("id < 3").coalesce(1).union(df.filter("id < 0")).union(df.filter("id >= 3").repartition(5))
+    s = StandardScaler().fit(uneven, names(x))
+    np.testing.assert_allclose(s.mean_, x.mean(axis=0), rtol=1e-13)
+    np.testing.assert_allclose(np.delete(s.var_, 4), np.delete(x.var(axis=0), 4), rtol=1e-7)
+    assert s.scale_[4] == 1.0 and s.n_samples_seen_ == 500
+    for broken in ("NULL", "double('NaN')"):
+        with pytest.raises(ValueError, match="in 2 rows"):
+            StandardScaler().fit(uneven.withColumn("x7", F.expr(f"CASE WHEN id IN (4, 444) THEN {broken} ELSE x7 END")), names(x))
+    with pytest.raises(ValueError, match="non-empty"):
+        StandardScaler().fit(df.limit(0), names(x))
+
+
 def test_standard_constant_and_options(spark):
     s = StandardScaler().fit(frame(spark, CONSTANT), ["x0", "x1"])
     assert s.scale_[0] == 1.0
