@@ -55,14 +55,26 @@ def _aggregate(df: DataFrame, features: Features, functions: list[str]):
     return row["n"], *(np.array([row[f"{f}_{j}"] for j in range(features.width)], dtype=float) for f in functions)
 
 
+def _blocks_of(df: DataFrame, features: Features) -> DataFrame:
+    """``x``, all features (zeros where a row is bad), and ``bad``, whether it is."""
+    bad = F.expr(features.bad_sql())
+    return df.select(F.when(bad, F.array_repeat(F.lit(0.0), features.width)).otherwise(features.vector()).alias("x"), bad.alias("bad"))
+
+
+def _checked(found: np.ndarray | None) -> int:
+    """The number of rows, first in a merged vector; what every fit refuses, by the number of bad ones behind it."""
+    n, bad = (0, 0) if found is None else (int(found[0]), int(found[1]))
+    check_rows(n, bad)
+    return n
+
+
 def moments(df: DataFrame, features: Features) -> Moments:
     """One pass: an aggregate where the features are few, else the moments of Arrow blocks, merged pairwise."""
     features.checked(df)
     if features.width <= SQL_WIDTH:
         n, mean, variance = _aggregate(df, features, ["avg", "var_pop"])
         return Moments(n, mean, variance * n)
-    width, bad = features.width, F.expr(features.bad_sql())
-    rows = df.select(F.when(bad, F.array_repeat(F.lit(0.0), width)).otherwise(features.vector()).alias("x"), bad.alias("bad"))
+    width, rows = features.width, _blocks_of(df, features)
 
     def packed(m: Moments, broken: float) -> np.ndarray:
         return np.concatenate([[m.count, broken], m.mean, m.squares])
@@ -76,16 +88,27 @@ def moments(df: DataFrame, features: Features) -> Moments:
         return packed(Moments(len(x), mean, ((x - mean) ** 2).sum(axis=0)), broken.sum())
 
     found = merged(rows, of_block, lambda a, b: packed(unpacked(a).merged(unpacked(b)), a[1] + b[1]))
-    if found is None:
-        check_rows(0, 0)
-    check_rows(int(found[0]), int(found[1]))
-    whole = unpacked(found)
-    return Moments(int(found[0]), whole.mean, whole.squares)
+    n, whole = _checked(found), unpacked(found)
+    return Moments(n, whole.mean, whole.squares)
 
 
 def extremes(df: DataFrame, features: Features) -> Extremes:
+    """One pass, as for ``moments``."""
     features.checked(df)
-    return Extremes(*_aggregate(df, features, ["min", "max"]))
+    if features.width <= SQL_WIDTH:
+        return Extremes(*_aggregate(df, features, ["min", "max"]))
+
+    def of_block(block: list[np.ndarray]) -> np.ndarray:
+        x, broken = block
+        return np.concatenate([[len(x), broken.sum()], x.min(axis=0), -x.max(axis=0)])
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.concatenate([a[:2] + b[:2], np.minimum(a[2:], b[2:])])
+
+    found = merged(_blocks_of(df, features), of_block, merge)
+    n = _checked(found)
+    low, high = found[2:].reshape(2, -1) * [[1], [-1]]
+    return Extremes(n, low, high)
 
 
 def exact_median(df: DataFrame, value: str, collected: int = 100_000) -> float:

@@ -45,11 +45,16 @@ def test_standard_wide_blocks(spark):
     np.testing.assert_allclose(s.mean_, x.mean(axis=0), rtol=1e-13)
     np.testing.assert_allclose(np.delete(s.var_, 4), np.delete(x.var(axis=0), 4), rtol=1e-7)
     assert s.scale_[4] == 1.0 and s.n_samples_seen_ == 500
+    m = MinMaxScaler().fit(uneven, names(x))
+    assert (m.data_min_ == x.min(axis=0)).all() and (m.data_max_ == x.max(axis=0)).all()
     for broken in ("NULL", "double('NaN')"):
         with pytest.raises(ValueError, match="in 2 rows"):
             StandardScaler().fit(uneven.withColumn("x7", F.expr(f"CASE WHEN id IN (4, 444) THEN {broken} ELSE x7 END")), names(x))
-    with pytest.raises(ValueError, match="non-empty"):
-        StandardScaler().fit(df.limit(0), names(x))
+        with pytest.raises(ValueError, match="in 2 rows"):
+            MinMaxScaler().fit(uneven.withColumn("x7", F.expr(f"CASE WHEN id IN (4, 444) THEN {broken} ELSE x7 END")), names(x))
+    for scaler in (StandardScaler(), MinMaxScaler()):
+        with pytest.raises(ValueError, match="non-empty"):
+            scaler.fit(df.limit(0), names(x))
 
 
 def test_standard_constant_and_options(spark):
