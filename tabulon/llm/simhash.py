@@ -7,7 +7,7 @@ than its ball's radius (``segments``), so no link is lost. Each table entry's fi
 that links what it reaches, so an entry of n fingerprints gives fewer than n links, never all pairs; entries with very many
 fingerprints are dealt on to the tables of finer segments. Links go through distributed components.
 
-The pipeline's stage (``similar_groups``) compares shingle sets; see there.
+The pipeline's stage (``similar_groups``) compares shingle sets; see there. It tells texts apart by 128 bits (``text_keys``).
 
 Edge cases: null texts count as empty; very long ones are hashed whole, some shingles at a time; texts without words have fingerprint zero and link to one another like any others;
 texts with fewer words than a shingle are one shingle; repeated rows share a class; null ids never name a component
@@ -16,11 +16,12 @@ unless no member has an id; an empty table gives no rows; extra columns are igno
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm.common import column_bytes, cut, distinct, slices
@@ -507,7 +508,34 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.filter(alike).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, radius: int = 11, similarity: float = 0.8) -> DataFrame:
+def _text_hashes(text: Column) -> tuple[Column, Column]:
+    """Two hashes of 64 bits, from different seeds."""
+    text = F.coalesce(text, F.lit(""))
+    return F.xxhash64(text), F.xxhash64(F.lit(SEED), text)
+
+
+def text_keys(docs: DataFrame) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A function of (rows, text column, name) that adds a long column which tells the texts of ``docs`` apart by 128 bits.
+
+    It is the first hash; where different texts share one (some 3 of 10**10), those whose second hash isn't the least there
+    take a hash of both.
+    """
+    own, other = _text_hashes(F.col("text"))
+    shared = docs.select(own.alias("_own"), other.alias("_other")).groupBy("_own").agg(F.min("_other").alias("_first"), F.max("_other").alias("_last"))
+    shared = cut(shared.filter("_first <> _last").drop("_last"), "shared-hashes")
+    if shared.isEmpty():
+        return lambda rows, text, name: rows.withColumn(name, _text_hashes(F.col(text))[0])
+
+    def add(rows: DataFrame, text: str, name: str) -> DataFrame:
+        own, other = _text_hashes(F.col(text))
+        found = rows.join(shared, own == F.col("_own"), "left")
+        first = F.col("_first").isNull() | (other == F.col("_first"))
+        return found.withColumn(name, F.when(first, own).otherwise(F.xxhash64(own, other))).drop("_own", "_first")
+
+    return add
+
+
+def similar_groups(docs: DataFrame, words: int = 5, radius: int = 11, similarity: float = 0.8, keys=None) -> DataFrame:
     """``doc_id, text_hash, keeper``: groups of texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     Two fingerprints of each distinct text's shingle set (a line that a text repeats counts once): the tables hold the first;
@@ -516,9 +544,11 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 11, similarity
     for 98 of 100 such pairs. Each text takes its ``NEAREST`` nearest candidates, whose sets are compared. Where texts have more
     candidates than that and fall into several groups, what is left is compared in blocks (``links_between``), so that no two
     candidates go unjoined and no pairs of a large group are ever written.
-    A group is what these links join; ``keeper`` is its smallest doc_id. Texts are told apart by a 64-bit hash.
+    A group is what these links join; ``keeper`` is its smallest doc_id. ``text_hash`` tells texts apart (``text_keys``, of ``docs``
+    where not given).
     """
-    hashed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    keys = keys or text_keys(docs)
+    hashed = keys(docs.select("doc_id", "text"), "text", "text_hash").select("doc_id", "text_hash", "text")
     prints = cut(set_fingerprints(hashed, words), "prints")
     nodes = prints.groupBy(F.col("text_hash").alias("node")).agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2"))
     nodes = cut(nodes, "nodes")
@@ -527,7 +557,7 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 11, similarity
     candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cramped = found.filter("more")
     wanted = candidates.select("a").union(candidates.select("b")).union(cramped.select("a")).distinct()
-    texts = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
+    texts = keys(docs.select("text"), "text", "text_hash").select("text_hash", "text")
     texts = texts.join(wanted, F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
 
     def sets(batches):
@@ -563,17 +593,18 @@ def drop_similar(docs: DataFrame, words: int = 5, radius: int = 11, similarity:
 
     Of rows that repeat the keeper's id and text one stays. In a group without ids one row for each distinct text stays.
     """
-    groups = cut(similar_groups(docs, words, radius, similarity), "groups")
+    keys = text_keys(docs)
+    groups = cut(similar_groups(docs, words, radius, similarity, keys), "groups")
     kept = groups.filter(F.col("doc_id").eqNullSafe(F.col("keeper"))).select(F.col("doc_id").alias("k_id"), "text_hash").distinct()
     names = [f"c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
-    doc, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
-    rows = rows.withColumn("h", F.xxhash64(F.coalesce(text, F.lit(""))))
-    left = rows.join(kept, (rows["h"] == kept["text_hash"]) & doc.eqNullSafe(kept["k_id"]), "left_semi")
+    doc, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = keys(rows, text, "h")
+    left = rows.join(kept, (rows["h"] == kept["text_hash"]) & F.col(doc).eqNullSafe(kept["k_id"]), "left_semi")
     again = groups.groupBy("doc_id", "text_hash").count().filter("count > 1")
     if again.isEmpty():
         return left.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
-    left = left.dropDuplicates(["h", names[docs.columns.index("doc_id")]])
+    left = left.dropDuplicates(["h", doc])
     return left.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns)))
 
 

@@ -141,6 +141,17 @@ def test_similar_groups(spark):
     assert S.drop_similar(docs_frame(spark, [(7, "a b"), (7, "a b"), (None, "c"), (None, "d")])).count() == 3
 
 
+def test_texts_that_share_a_hash_are_told_apart(spark, monkeypatch):
+    """Three values for all first hashes: the same documents stay as with 64 bits."""
+    rows = mixed_rows() + [(2000, "no id"), (2000, "no id")]
+    df = docs_frame(spark, rows)
+    want = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in S.drop_similar(df).collect())
+    plain = {(r["doc_id"], r["keeper"]) for r in S.similar_groups(df).collect()}
+    monkeypatch.setattr(S, "_text_hashes", lambda t: (F.pmod(F.xxhash64(F.coalesce(t, F.lit(""))), F.lit(3)), F.xxhash64(F.lit(1), F.coalesce(t, F.lit("")))))
+    assert {(r["doc_id"], r["keeper"]) for r in S.similar_groups(df).collect()} == plain
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in S.drop_similar(df).collect()) == want
+
+
 def keepers_of(rows, near, words=5, similarity=0.8):
     """Keepers by all pairs: those that ``near`` lets through are checked on their shingle sets."""
     sets = [set(S.shingle_hashes((t or "").encode(), words).tolist()) for _, t in rows]
