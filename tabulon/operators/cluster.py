@@ -15,7 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tabulon.functions.literals import double
 from tabulon.functions.pcg import WORD, Pcg32
 from tabulon.operators.base import Estimator
-from tabulon.plans.features import Features, check_rows
+from tabulon.plans.features import Features
+from tabulon.plans.moments import moments
 from tabulon.plans.partials import blocks, matrix, summed
 from tabulon.plans.positions import with_positions
 
@@ -54,24 +55,25 @@ def _inertia_of(centers: np.ndarray):
 
 
 class _Running:
-    """Running sums of a value over rows in order of position; ``pot`` is the last."""
+    """Running sums of a value over rows in order of position; ``pot`` is the last.
+
+    ``ends`` are the sums at the ends of bands of positions, ``within`` has single bands' values and vectors.
+    """
 
     def __init__(self, ends: np.ndarray, within):
         self._ends, self._within = ends, within
         self.pot = float(ends[-1])
 
-    def reached(self, draws: list[float]) -> list[int]:
-        """The first position whose running sum reaches each draw."""
+    def drawn(self, draws: list[float]) -> np.ndarray:
+        """For each draw the vector of the first row whose running sum reaches it."""
         band = np.minimum(np.searchsorted(self._ends, draws, "left"), len(self._ends) - 1).tolist()
-        if self._within is None:
-            return band
         held = self._within(sorted(set(band)))
         out = []
         for draw, b in zip(draws, band):
-            first, values = held[b]
+            values, vectors = held[b]
             before = float(self._ends[b - 1]) if b else 0.0
-            out.append(first + min(int(np.searchsorted(before + np.cumsum(values), draw, "left")), len(values) - 1))
-        return out
+            out.append(vectors[min(int(np.searchsorted(before + np.cumsum(values), draw, "left")), len(values) - 1)])
+        return np.array(out)
 
 
 class _LocalPoints:
@@ -87,8 +89,11 @@ class _LocalPoints:
     def rows(self, positions: list[int]) -> np.ndarray:
         return self._x[positions]
 
-    def running(self, value) -> _Running:
-        return _Running(np.cumsum(np.concatenate([value(x) for x in _pieces(self._x)])), None)
+    def running(self, values) -> list[_Running]:
+        """Sums for each column of ``values`` (a block's vectors to a matrix)."""
+        found = np.concatenate([values(x) for x in _pieces(self._x)])
+        rows = lambda j: lambda bands: {b: (found[b : b + 1, j], self._x[b : b + 1]) for b in bands}
+        return [_Running(np.cumsum(found[:, j]), rows(j)) for j in range(found.shape[1])]
 
     def release(self) -> None:
         pass
@@ -109,31 +114,39 @@ class _SpreadPoints:
         found = {r["position"]: r["x"] for r in self._frame.filter(F.col("position").isin(sorted(set(positions)))).collect()}
         return np.array([found[p] for p in positions], dtype=float)
 
-    def running(self, value) -> _Running:
-        """Sums over bands of consecutive positions now, rows of single bands when they are asked for."""
+    def running(self, values) -> list[_Running]:
+        """Sums over bands of consecutive positions now, in one pass for all columns; rows of single bands when they are asked for."""
         size = self._band
 
         def run(batches):
-            out: dict[int, float] = {}
+            out: dict[int, np.ndarray] = {}
             for position, x in blocks(batches):
                 keys, at = np.unique(position // size, return_inverse=True)
-                weights = np.concatenate([value(p) for p in _pieces(x)])
-                for k, s in zip(keys.tolist(), np.bincount(at, weights=weights).tolist()):
-                    out[k] = out.get(k, 0.0) + s
-            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.float64())], ["band", "s"])
-
-        sums = np.zeros(-(-self._n // size))
-        for r in self._frame.mapInArrow(run, "band long, s double").groupBy("band").agg(F.sum("s").alias("s")).collect():
-            sums[r["band"]] = r["s"]
-
-        def within(bands: list[int]) -> dict[int, tuple[int, np.ndarray]]:
-            wanted = F.floor(F.col("position") / size).cast("long").isin(bands)
-            held: dict[int, list] = {b: [] for b in bands}
-            for r in self._frame.filter(wanted).collect():  # a few bands of about sqrt(n) rows
-                held[r["position"] // size].append((r["position"], r["x"]))
-            return {b: (b * size, value(np.array([x for _, x in sorted(own)], dtype=float))) for b, own in held.items()}
-
-        return _Running(np.cumsum(sums), within)
+                weights = np.concatenate([values(p) for p in _pieces(x)])
+                sums = np.zeros((len(keys), weights.shape[1]))
+                np.add.at(sums, at, weights)
+                for k, s in zip(keys.tolist(), sums):
+                    out[k] = out[k] + s if k in out else s
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.float64()))], ["band", "s"])
+
+        parts = self._frame.mapInArrow(run, "band long, s array<double>").select("band", F.posexplode("s").alias("j", "s"))
+        found = parts.groupBy("band", "j").agg(F.sum("s").alias("s")).collect()
+        sums = np.zeros((-(-self._n // size), 1 + max(r["j"] for r in found)))
+        for r in found:
+            sums[r["band"], r["j"]] = r["s"]
+
+        def within(j: int):
+            def of(bands: list[int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+                wanted = F.floor(F.col("position") / size).cast("long").isin(bands)
+                held: dict[int, list] = {b: [] for b in bands}
+                for r in self._frame.filter(wanted).collect():  # a few bands of about sqrt(n) rows
+                    held[r["position"] // size].append((r["position"], r["x"]))
+                vectors = {b: np.array([x for _, x in sorted(own)], dtype=float) for b, own in held.items()}
+                return {b: (values(x)[:, j], x) for b, x in vectors.items()}
+
+            return of
+
+        return [_Running(np.cumsum(sums[:, j]), within(j)) for j in range(sums.shape[1])]
 
     def release(self) -> None:
         self._frame.unpersist()
@@ -183,8 +196,8 @@ class KMeans(Estimator):
     def fit(self, df: DataFrame, features: str | list[str], id_col: str | None = None) -> KMeans:
         """``id_col`` (unique) fixes which row a drawn position means; without it the rows' values do."""
         found = Features.of(df, features).checked(df)
-        n, bad = df.agg(F.count("*"), F.expr(f"count_if({found.bad_sql()})")).first()
-        check_rows(n, bad)
+        seen = moments(df, found)
+        n, limit = seen.count, self.tol * float(seen.variance.mean())
         if n < self.n_clusters:
             raise ValueError(f"n_samples={n} should be >= n_clusters={self.n_clusters}")
         key = F.col(id_col) if id_col else found.vector()
@@ -192,9 +205,6 @@ class KMeans(Estimator):
         local = LOCAL_CELLS if self.local_cells is None else self.local_cells
         points = _LocalPoints(rows) if n * found.width <= local else _SpreadPoints(rows, n)
         try:
-            mean = points.summed(lambda x: x.sum(axis=0), found.width) / n
-            spread = points.summed(lambda x: ((x - mean) ** 2).sum(axis=0), found.width) / n
-            limit = self.tol * float(spread.mean())
             best = None
             for run in range(self.runs):
                 rng = Pcg32(((self.random_state or 0) + run) % WORD)
@@ -219,20 +229,25 @@ class KMeans(Estimator):
         return points.rows(chosen)
 
     def _plus_plus(self, points: _LocalPoints | _SpreadPoints, n: int, rng: Pcg32) -> np.ndarray:
-        """Each next centre is the best of a few rows drawn by their squared distance to the nearest centre so far."""
+        """Each next centre is the best of a few rows drawn by their squared distance to the nearest centre so far.
+
+        One pass a centre: the sums that rate the candidates are, for the best one, those that the next draws need.
+        """
         centers = points.rows([rng.below(n)])
         trials = 2 + math.floor(math.log(self.n_clusters))
+        nearest = points.running(lambda x, now=centers: squared_distances(x, now))[0]
         while len(centers) < self.n_clusters:
-            now = centers
-            nearest = lambda x: squared_distances(x, now).min(axis=1)  # noqa: E731, B023
-            ends = points.running(nearest)
-            if ends.pot == 0:
+            if nearest.pot == 0:
                 candidates = points.rows([rng.below(n)])
             else:
-                candidates = points.rows(ends.reached([rng.uniform() * ends.pot for _ in range(trials)]))
-            pots = lambda x: np.minimum(nearest(x)[:, None], squared_distances(x, candidates)).sum(axis=0)  # noqa: E731, B023
-            totals = points.summed(pots, len(candidates))
-            centers = np.vstack([centers, candidates[int(np.argmin(totals))]])
+                candidates = nearest.drawn([rng.uniform() * nearest.pot for _ in range(trials)])
+
+            def rated(x, now=centers, others=candidates):
+                return np.minimum(squared_distances(x, now).min(axis=1)[:, None], squared_distances(x, others))
+
+            found = points.running(rated)
+            best = int(np.argmin([f.pot for f in found]))
+            centers, nearest = np.vstack([centers, candidates[best]]), found[best]
         return centers
 
     def _lloyd(self, points: _LocalPoints | _SpreadPoints, centers: np.ndarray, limit: float) -> tuple[np.ndarray, float, int]:
