@@ -21,6 +21,8 @@ gives no rows; extra columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +47,9 @@ _PACKED = 64
 _MESSAGES = 1024
 #: Tokens in a row of counts, about (a longer text has a row of its own).
 ROW_TOKENS = 1 << 18
+#: Tokens, or keys of a range, that a step works on at once, and rows of texts in one Arrow batch.
+_HELD = 1 << 16
+_ARROW_ROWS = 1024
 START = np.uint64(0x9E6C63D0876A9A47)
 END = np.uint64(0x2545F4914F6CDD1D)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -54,21 +59,57 @@ _STEPS, START_BUCKET, BUCKETS = 16, 64 * 16, 64 * 16 + 1
 _STEP = 2
 
 
-def token_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each token (words and an end each): its key, its pair's key, its triple's key, its text, and whether it comes first.
-
-    A first token's pair begins with the start of a text and its triple's key means nothing.
-    """
+def tokens_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token (words and an end each): its key, its text, and whether it comes first."""
     words, bounds = hash_words(texts)
-    n = np.diff(bounds)
+    sizes = np.diff(bounds) + 1
+    ends = np.cumsum(sizes)
     tokens = np.insert(words, bounds[1:], END)
-    owner = np.repeat(np.arange(len(texts)), n + 1)
-    first = np.concatenate([[True], owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, dtype=bool)
-    before = np.concatenate([[START], tokens[:-1]])[: len(tokens)]
-    before[first] = START
-    pairs = mix(before * _ODD + tokens)
-    triples = mix(np.concatenate([[START], pairs[:-1]])[: len(tokens)] * _ODD + mix(tokens))
-    return tokens, pairs, triples, owner, first
+    first = np.zeros(len(tokens), dtype=bool)
+    first[ends - sizes] = True
+    return tokens, np.repeat(np.arange(len(texts), dtype=np.int32), sizes), first
+
+
+def orders_of(tokens: np.ndarray, first: np.ndarray, drop: int) -> Iterator[np.ndarray]:
+    """The keys of the tokens, then of their pairs, then of the triples of all but first tokens; the last two end in ``drop`` zero bits.
+
+    A first token's pair begins with the start of a text. One order at a time, some tokens at a time.
+    """
+    mask = np.uint64((1 << 64) - (1 << drop))
+    yield tokens
+    pairs = np.empty_like(tokens)
+    for i in range(0, len(tokens), _HELD):
+        own = slice(i, i + _HELD)
+        before = np.concatenate([tokens[i - 1 : i] if i else [START], tokens[own][:-1]])
+        before[first[own]] = START
+        pairs[own] = mix(before * _ODD + tokens[own])
+    yield pairs & mask
+    triples = np.empty_like(tokens)
+    for i in range(0, len(tokens), _HELD):
+        own = slice(i, i + _HELD)
+        before = np.concatenate([pairs[i - 1 : i] if i else [START], pairs[own][:-1]])
+        triples[own] = mix(before * _ODD + mix(tokens[own])) & mask
+    del pairs
+    yield triples[~first]
+
+
+def _ascending(keys: np.ndarray) -> Iterator[np.ndarray]:
+    """Where the keys of each part of the hash space lie, part by part."""
+    parts = (keys >> np.uint64(60)).astype(np.uint8)
+    for part in range(16):
+        yield np.flatnonzero(parts == part)
+
+
+def training_counts(keys: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct keys, and how often each is learnt."""
+    found, counts = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.uint32)]
+    for at in _ascending(keys):
+        own = keys[at]
+        seen, n = distinct_counts(own[learnt[at]])
+        found.append(distinct(own))
+        counts.append(np.zeros(len(found[-1]), dtype=np.uint32))
+        counts[-1][np.searchsorted(found[-1], seen)] = n
+    return np.concatenate(found), np.concatenate(counts)
 
 
 def _width(most: int) -> int:
@@ -87,7 +128,7 @@ def _wide(data: bytes, width: int) -> np.ndarray:
 
 
 def pack(x: np.ndarray) -> bytes:
-    """An array of uint64 as its byte planes, compressed where that pays; the first byte says how."""
+    """An array of unsigned integers as its byte planes, compressed where that pays; the first byte says how."""
     width = _width(x.max()) if len(x) else 1
     if len(x) < _PACKED:
         return bytes([width]) + _narrow(x, width).tobytes()
@@ -118,21 +159,35 @@ def requests(order: int, keys: np.ndarray, counts: np.ndarray, ranges: int, drop
     """
     at = range_of(keys, ranges)
     edges = np.append(np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])), len(keys)) if len(keys) else np.zeros(1, dtype=np.int64)
-    short = keys >> np.uint64(drop)
+    parts = at[edges[:-1]].tolist()
+    del at
     return [
-        (order * ranges + int(at[a]), pack(np.diff(short[a:b], prepend=np.uint64(0))), pack(counts[a:b]))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())
+        (order * ranges + part, pack(np.diff(keys[a:b] >> np.uint64(drop), prepend=np.uint64(0))), pack(counts[a:b]))
+        for part, a, b in zip(parts, edges[:-1].tolist(), edges[1:].tolist())
     ]
 
 
 def answer(messages: list[tuple[bytes, bytes]]) -> list[bytes]:
-    """For each message (keys, counts) of one part: the counts that its keys have in all other messages."""
+    """For each message (keys, counts) of one part: the counts that its keys have in all other messages.
+
+    Keys are met some at a time, in their order; the unpacked messages and their answers are all that is held besides.
+    """
     keys = [np.cumsum(unpack(k), dtype=np.uint64) for k, _ in messages]
-    counts = np.concatenate([unpack(n) for _, n in messages]).astype(np.int64)
-    edges = np.cumsum([0, *map(len, keys)])
-    _, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    others = (np.bincount(inverse, weights=counts).astype(np.int64)[inverse] - counts).astype(np.uint64)
-    return [pack(others[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+    counts = [unpack(n) for _, n in messages]
+    longest = max(keys, key=len)
+    pieces = -(-sum(map(len, keys)) // _HELD)
+    stops = longest[np.linspace(0, len(longest), pieces, endpoint=False, dtype=np.int64)[1:]]
+    edges = [[0, *np.searchsorted(k, stops).tolist(), len(k)] for k in keys]
+    for piece in range(pieces):
+        at = [slice(e[piece], e[piece + 1]) for e in edges]
+        own = np.concatenate([n[i] for n, i in zip(counts, at)])
+        _, inverse = np.unique(np.concatenate([k[i] for k, i in zip(keys, at)]), return_inverse=True)
+        total = np.zeros(int(inverse.max(initial=-1)) + 1, dtype=np.uint64)
+        np.add.at(total, inverse, own)
+        others = total[inverse] - own
+        for n, i, part in zip(counts, at, np.split(others, np.cumsum([i.stop - i.start for i in at])[:-1])):
+            n[i] = part
+    return [pack(n) for n in counts]
 
 
 def _grouped(batches):
@@ -173,13 +228,16 @@ def _texts(data: bytes, lengths: list[int]) -> list[bytes]:
     return [raw[e - n : e] for e, n in zip(ends, lengths)]
 
 
-def _orders(texts: list[bytes], drop: int):
-    """(keys of an order, whether each token has one), and the tokens' texts and first tokens."""
-    tokens, pairs, triples, owner, first = token_keys(texts)
-    mask = np.uint64((1 << 64) - (1 << drop))
-    pairs &= mask
-    triples &= mask
-    return (tokens, pairs, triples[~first]), owner, first
+@contextmanager
+def _short_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written meanwhile meets Python in Arrow batches of few rows; a setting of fewer stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before) if int(before) > 0 else _ARROW_ROWS, _ARROW_ROWS)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -194,23 +252,19 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     ranges = max(1, -(-total // RANGE_BYTES))
     dealt = max(1, min(-(-total // BATCH_BYTES), MOST_PARTITIONS))
     drop = max(0, 64 - SPARE_BITS - int(total).bit_length())
+    count_type = np.uint32 if total < 1 << 32 else np.uint64
 
     def send(rows):
         for batch, _, held, texts in _batches(rows):
-            orders, owner, first = _orders(texts, drop)
+            tokens, owner, first = tokens_of(texts)
             learnt = ~np.array(held)[owner]
-            out = []
-            for order, own in enumerate(orders):
-                known = learnt if order < 2 else learnt[~first]
-                seen, n = distinct_counts(own[known])
-                keys = distinct(own)
-                counts = np.zeros(len(keys), dtype=np.uint64)
-                counts[np.searchsorted(keys, seen)] = n
-                out += requests(order, keys, counts, ranges, drop if order else 0)
-            for i in range(0, len(out), _MESSAGES):
-                part, keys, counts = zip(*out[i : i + _MESSAGES])
-                columns = [pa.array(part, pa.int64()), pa.array([batch] * len(part)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["part", "batch", "keys", "counts"])
+            del owner
+            for order, own in enumerate(orders_of(tokens, first, drop)):
+                out = requests(order, *training_counts(own, learnt if order < 2 else learnt[~first]), ranges, drop if order else 0)
+                for i in range(0, len(out), _MESSAGES):
+                    part, keys, counts = zip(*out[i : i + _MESSAGES])
+                    columns = [pa.array(part, pa.int64()), pa.array([batch] * len(part)), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["part", "batch", "keys", "counts"])
 
     def carry(rows):
         import zstandard as zstd
@@ -229,18 +283,24 @@ def count_tokens(docs: DataFrame) -> DataFrame:
 
     def meet(own: pa.Table, answers: pa.Table) -> pa.Table:
         _, ids, held, lengths, data = (own.column(i)[0].as_py() for i in range(5))
-        orders, owner, first = _orders(_texts(data, lengths), drop)
+        tokens, owner, first = tokens_of(_texts(data, lengths))
         learnt = ~np.array(held)
         parts, values = answers.column(1).to_numpy(), answers.column(2).to_pylist()
         found = []
-        for order, keys in enumerate(orders):
+        for order, keys in enumerate(orders_of(tokens, first, drop)):
             in_order = sorted((int(p), i) for i, p in enumerate(parts) if p // ranges == order)
             others = np.concatenate([np.zeros(0, dtype=np.uint64), *(unpack(values[i]) for _, i in in_order)])
             known = learnt[owner] if order < 2 else learnt[owner[~first]]
-            distinct, inverse = np.unique(keys, return_inverse=True)
-            if len(distinct) != len(others):
-                raise ValueError(f"{len(others)} answers to {len(distinct)} keys")
-            found.append((others.astype(np.int64) + np.bincount(inverse[known], minlength=len(distinct)))[inverse].astype(np.uint64))
+            found.append(np.empty(len(keys), dtype=count_type))
+            n = 0
+            for at in _ascending(keys):
+                own_keys, inverse = np.unique(keys[at], return_inverse=True)
+                n += len(own_keys)
+                if n > len(others):
+                    break
+                found[-1][at] = (others[n - len(own_keys) : n].astype(np.int64) + np.bincount(inverse[known[at]], minlength=len(own_keys)))[inverse]
+            if n != len(others):
+                raise ValueError(f"{len(others)} answers to the keys, of which there are {n} or more")
         n1, n2, later = found
         n3 = n2.copy()
         n3[~first] = later
@@ -262,7 +322,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     list_type = to_arrow_type(kind)
     asked = texts.mapInArrow(send, "part long, batch long, keys binary, counts binary")
     asked = asked.repartition(min(3 * ranges, MOST_PARTITIONS), "part").sortWithinPartitions("part")
-    answers = cut(asked.mapInArrow(solve, "batch long, part long, data binary"), "answers")
+    with _short_batches(docs.sparkSession):
+        answers = cut(asked.mapInArrow(solve, "batch long, part long, data binary"), "answers")
     schema = T.StructType([
         T.StructField("ids", kind), T.StructField("held", T.ArrayType(T.BooleanType())), T.StructField("sizes", T.ArrayType(T.LongType())),
         T.StructField("train_tokens", T.LongType()), T.StructField("train_docs", T.LongType()),
@@ -271,7 +332,8 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     carried = T.StructType([T.StructField("batch", T.LongType()), *schema.fields[:2], T.StructField("lengths", T.ArrayType(T.LongType())), T.StructField("data", T.BinaryType())])
     both = texts.mapInArrow(carry, carried).repartition(dealt, "batch").groupBy("batch")
     both = both.cogroup(answers.repartition(dealt, "batch").groupBy("batch"))
-    counted = cut(both.applyInArrow(meet, schema), "counted")
+    with _short_batches(docs.sparkSession):
+        counted = cut(both.applyInArrow(meet, schema), "counted")
     drop_cut(texts)
     drop_cut(answers)
     return counted

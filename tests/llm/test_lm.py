@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -93,6 +94,35 @@ def test_messages_round_trip():
             assert (np.concatenate(got[i]) + c).tolist() == [total[k] for k in b.tolist()]
 
 
+def peak_mb(make):
+    tracemalloc.start()
+    try:
+        make()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_step_holds_little_besides_its_arrays():
+    rng = np.random.default_rng(2)
+    found = [np.unique(rng.integers(0, 2**40, 50_000, dtype=np.uint64)) for _ in range(20)]
+    messages = [(lm.pack(np.diff(k, prepend=np.uint64(0))), lm.pack(np.ones(len(k), dtype=np.uint64))) for k in found]
+    assert peak_mb(lambda: lm.answer(messages)) < 30  # keys and counts alone: 15
+    tokens, first = rng.integers(0, 2**64, 1_000_000, dtype=np.uint64), rng.random(1_000_000) < 0.01
+    known = rng.random(1_000_000) < 0.9
+    steps = lambda: [len(lm.training_counts(k, known if len(k) == len(known) else known[~first])[0]) for k in lm.orders_of(tokens, first, 9)]
+    assert peak_mb(steps) < 60  # tokens, pairs and triples alone: 23
+
+
+def test_training_counts():
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 5000):
+        keys, learnt = lm.mix(rng.integers(0, 300, n).astype(np.uint64)), rng.random(n) < 0.5
+        own, counts = lm.training_counts(keys, learnt)
+        want = Counter(keys[learnt].tolist())
+        assert own.tolist() == sorted(set(keys.tolist())) and counts.tolist() == [want[k] for k in own.tolist()]
+
+
 def test_packed_arrays_round_trip():
     for x in ([], [0], [1, 255, 256], [2**64 - 1, 3], [*range(1000)], [7] * 64 + [2**40]):
         a = np.array(x, dtype=np.uint64)
