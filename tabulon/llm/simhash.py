@@ -16,15 +16,16 @@ unless no member has an id; an empty table gives no rows; extra columns are igno
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
-from itertools import combinations
+from itertools import combinations, combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabulon.llm.common import column_bytes, cut, distinct, slices
+from tabulon.llm.common import column_bytes, cut, distinct, drop_cut, slices
 from tabulon.llm.graph import components
 from tabulon.llm.words import mix
 
@@ -44,6 +45,9 @@ PIECE = 2048
 ENTRY_ROWS = 1 << 20
 BLOCK = 2048
 SKETCH = 16
+#: Bytes of text from which on the stage works in rounds: texts are dealt to one part for so many, and ``PARTS`` parts at most.
+PART_BYTES = 1 << 30
+PARTS = 8
 #: A distance beyond all: such rows only say what hangs together.
 LINK = 255
 _ODD = 0x9E3779B97F4A7C15
@@ -140,10 +144,12 @@ def choose_segments(n: int, radius: int) -> int:
     return min(range(2, max(3, min(radius, 8) + 1)), key=work)
 
 
-def entries(fps: np.ndarray, radius: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Table keys, whether the entry is a probe, and the index of its fingerprint, for all ``fps``."""
+def entries(fps: np.ndarray, radius: int, count: int, only: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Table keys, whether the entry is a probe, and the index of its fingerprint, for all ``fps``; of ``only`` one table if given."""
     keys, probes, owners = [], [], []
     for s, (first, width, r) in enumerate(segments(radius, count)):
+        if only not in (None, s):
+            continue
         own = (fps >> np.uint64(first)) & np.uint64((1 << width) - 1)
         tag = np.uint64(s << 58)
         keys.append(own | tag)
@@ -368,24 +374,27 @@ def _nearest(keys, probes, nodes, f1, f2, radius: int, total: int, most: int):
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def candidates_of(nodes: DataFrame, radius: int, total: int, most: int) -> DataFrame:
+def candidates_of(nodes: DataFrame, radius: int, total: int, most: int, apart: bool = False) -> DataFrame:
     """``a, b, d, rank, more``: each of ``nodes`` (node, fp, fp2) with others within the bits, at distance ``d``, ranked.
 
     Every two within ``radius`` bits of the first fingerprint and ``total`` of both meet in a table, and most of those within ``LOOSE``
     more.
     ``more`` is true of all rows of a node that has more than ``most`` others so near; rows with a ``d`` of ``LINK`` then lead, by
-    chains, to all of them.
+    chains, to all of them. ``apart``: the tables are dealt out and searched one after the other, so that the rows of one are on disk at a time.
     """
     count = choose_segments(nodes.count(), radius)
 
-    def explode(batches):
-        for batch in batches:
-            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            for i in range(0, batch.num_rows, 2000):
-                node, fp, fp2 = (x[i : i + 2000] for x in columns)
-                keys, probes, at = entries(fp.view(np.uint64), radius, count)
-                found = [keys.view(np.int64), probes, node[at], fp[at], fp2[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "probe", "node", "fp", "fp2"])
+    def explode(only):
+        def run(batches):
+            for batch in batches:
+                columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+                for i in range(0, batch.num_rows, 2000):
+                    node, fp, fp2 = (x[i : i + 2000] for x in columns)
+                    keys, probes, at = entries(fp.view(np.uint64), radius, count, only)
+                    found = [keys.view(np.int64), probes, node[at], fp[at], fp2[at]]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["key", "probe", "node", "fp", "fp2"])
+
+        return run
 
     def search(batches):
         held: list[tuple[np.ndarray, ...]] = []
@@ -418,8 +427,11 @@ def candidates_of(nodes: DataFrame, radius: int, total: int, most: int) -> DataF
         if held:
             yield found(True)
 
-    rows = nodes.select("node", "fp", "fp2").mapInArrow(explode, "key long, probe boolean, node long, fp long, fp2 long")
-    found = rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, d long, more boolean")
+    def searched(only=None):
+        rows = nodes.select("node", "fp", "fp2").mapInArrow(explode(only), "key long, probe boolean, node long, fp long, fp2 long")
+        return rows.repartition("key").sortWithinPartitions("key").mapInArrow(search, "a long, b long, d long, more boolean")
+
+    found = _union([cut(searched(s), "table") for s in range(len(segments(radius, count)))]) if apart else searched()
     pairs = found.groupBy("a", "b").agg(F.min("d").alias("d"), F.max("more").alias("more"))
     own = Window.partitionBy("a")  # some rows for each table at most
     ranked = pairs.filter("a <> b").withColumn("rank", F.row_number().over(own.orderBy("d", F.xxhash64("a", "b"))))
@@ -473,11 +485,19 @@ def _compare_blocks(similarity: float):
     return run
 
 
-def links_between(open_: DataFrame, sets: DataFrame, similarity: float, block: int | None = None) -> DataFrame:
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def links_between(
+    open_: DataFrame, sets: DataFrame | list[DataFrame], similarity: float, block: int | None = None, most: int | None = None
+) -> DataFrame:
     """``a, b``: links that join every two classes of ``open_`` (node, span, class) with alike nodes in the same span.
 
     Nodes are dealt to blocks of about ``block``: large classes to their own, small ones together. Every two blocks of a span
     meet in a task, unless both are of one class; what is compared there stays there, but for fewer links than nodes.
+    Tasks whose sets are more than ``most`` bytes together are dealt to rounds of about that, one after the other: the sets sent grow as
+    the square of a span's nodes. A list of ``sets`` holds parts made by ``cut``: each is read once, and removed then.
     """
     block = block or BLOCK
     sizes = open_.groupBy("span", "class").agg(F.count("*").alias("size"))
@@ -494,15 +514,37 @@ def links_between(open_: DataFrame, sets: DataFrame, similarity: float, block: i
     others = blocks.select("span", F.col("owner").alias("owner2"), F.col("block").alias("block2"))
     tasks = blocks.join(others, "span").filter("block <= block2 and not coalesce(owner = owner2, false)")
     tasks = tasks.select(F.xxhash64("block", "block2").alias("task"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
-    rows = dealt.select("node", "class", "block").join(tasks, "block").join(sets, F.col("node") == F.col("text_hash"))
-    rows = rows.select("task", "node", "class", "shingles").repartition("task").sortWithinPartitions("task")
-    return rows.mapInArrow(_compare_blocks(similarity), "a long, b long")
-
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose shingle sets in ``sets`` (text_hash, shingles) have a Jaccard similarity of ``similarity`` or more."""
+    def compared(rows):
+        rows = rows.select("task", "node", "class", "shingles").repartition("task").sortWithinPartitions("task")
+        return rows.mapInArrow(_compare_blocks(similarity), "a long, b long")
+
+    own = dealt.select("node", "class", "block")
+    if isinstance(sets, DataFrame):
+        return compared(own.join(tasks, "block").join(sets, F.col("node") == F.col("text_hash")))
+    parts = []
+    for part in sets:
+        parts.append(cut(own.join(part, F.col("node") == F.col("text_hash")).select("node", "class", "block", "shingles"), "blocks"))
+        drop_cut(part)
+    held = _union(parts)
+    tasks = cut(tasks, "tasks")
+    weights = held.groupBy("block").agg(F.sum(F.size("shingles").cast("long") * 8 + 64).alias("bytes"))
+    sent = tasks.join(weights, "block").agg(F.sum("bytes")).first()[0] or 0
+    rounds = max(1, -(-sent // (most or PART_BYTES)))
+    found = []
+    for i in range(rounds):
+        now = tasks.filter(F.pmod(F.xxhash64("task", F.lit("round")), F.lit(rounds)) == i)
+        found.append(cut(compared(held.join(F.broadcast(now) if rounds > 1 else now, "block")), "fresh"))
+    for part in parts:
+        drop_cut(part)
+    return _union(found)
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float, others: DataFrame | None = None) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose shingle sets in ``sets`` (text_hash, shingles) have a Jaccard similarity of ``similarity`` or more; ``others`` has those of b, if given."""
+    others = sets if others is None else others
     both = pairs.join(sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("sa")), "a")
-    both = both.join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("sb")), "b")
+    both = both.join(others.select(F.col("text_hash").alias("b"), F.col("shingles").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     alike = (F.size("sa") == 0) & (F.size("sb") == 0) | (shared >= similarity * (F.size("sa") + F.size("sb") - shared))
     return both.filter(alike).select("a", "b")
@@ -546,19 +588,30 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 11, similarity
     candidates go unjoined and no pairs of a large group are ever written.
     A group is what these links join; ``keeper`` is its smallest doc_id. ``text_hash`` tells texts apart (``text_keys``, of ``docs``
     where not given).
+
+    Beyond ``PART_BYTES`` of text the shingle sets are written in parts by the texts' hashes, pairs are compared for every two parts and the tables
+    searched one after the other; the shuffle files of each step go before the next. Its disk doesn't grow with the number of pairs then.
     """
     keys = keys or text_keys(docs)
     hashed = keys(docs.select("doc_id", "text"), "text", "text_hash").select("doc_id", "text_hash", "text")
     prints = cut(set_fingerprints(hashed, words), "prints")
     nodes = prints.groupBy(F.col("text_hash").alias("node")).agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp"), F.min("fp2").alias("fp2"))
     nodes = cut(nodes, "nodes")
-    found = cut(candidates_of(nodes, radius, TOTAL, NEAREST), "candidates")
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = max(1, min(PARTS, -(-size // PART_BYTES)))
+    part_of = lambda c: F.pmod(F.xxhash64(F.col(c), F.lit("part")), F.lit(parts))
+    found = cut(candidates_of(nodes, radius, TOTAL, NEAREST, parts > 1), "candidates")
     candidates = found.filter((F.col("d") < LINK) & (F.col("rank") <= NEAREST))
     candidates = candidates.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cramped = found.filter("more")
     wanted = candidates.select("a").union(candidates.select("b")).union(cramped.select("a")).distinct()
+    if parts > 1:
+        candidates, wanted = cut(candidates, "pairs"), cut(wanted, "wanted")
     texts = keys(docs.select("text"), "text", "text_hash").select("text_hash", "text")
-    texts = texts.join(wanted, F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
+
+    def some(i):
+        own, ids = (texts.filter(part_of("text_hash") == i), wanted.filter(part_of("a") == i)) if parts > 1 else (texts, wanted)
+        return own.join(ids, F.col("text_hash") == F.col("a"), "left_semi").dropDuplicates(["text_hash"])
 
     def sets(batches):
         for batch in slices(batches):
@@ -566,8 +619,14 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 11, similarity
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int64()))], ["text_hash", "shingles"])
 
     # Written, so that both sides of the next joins are plain exchanges, which Spark splits where one text has many links.
-    own = cut(texts.mapInArrow(sets, "text_hash long, shingles array<long>"), "shingles")
-    checked = cut(_alike(candidates, own, similarity), "alike")
+    own = [cut(some(i).mapInArrow(sets, "text_hash long, shingles array<long>"), "shingles") for i in range(parts)]
+    swap = part_of("a") > part_of("b")
+    ordered = candidates.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
+    checked = []
+    for i, j in combinations_with_replacement(range(parts), 2):
+        pairs = ordered.filter((part_of("a") == i) & (part_of("b") == j)) if parts > 1 else candidates
+        checked.append(cut(_alike(pairs, own[i], similarity, own[j]), "alike"))
+    checked = _union(checked)
     reached = cut(components(checked), "reached")
     if not cramped.isEmpty():
         # Spans: what chains of near texts join, over the groups found so far.
@@ -579,9 +638,11 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 11, similarity
         open_ = cramped.select(F.col("a").alias("node")).distinct().join(reached, "node", "left")
         open_ = open_.select("node", F.coalesce("component", "node").alias("class"))
         open_ = open_.join(spans.select(F.col("node").alias("class"), F.col("component").alias("span")), "class").select("node", "span", "class")
-        fresh = cut(links_between(cut(open_, "open"), own, similarity), "fresh")
+        fresh, own = links_between(cut(open_, "open"), own, similarity, most=max(PART_BYTES, size // PARTS)), []
         if not fresh.isEmpty():
             reached = cut(components(checked.unionByName(fresh)), "reached")
+    for part in own:
+        drop_cut(part)
     classes = nodes.join(reached, "node", "left").select("node", "least", F.coalesce("component", "node").alias("class"))
     keepers = classes.groupBy("class").agg(F.min("least").alias("keeper"))
     named = classes.join(keepers, "class").select("node", "keeper")

@@ -190,6 +190,24 @@ def test_similar_texts_are_joined_whatever_shares_their_fingerprint(spark, monke
     assert {r["doc_id"]: r["keeper"] for r in found} == want
 
 
+def test_rounds_lose_no_link(spark, monkeypatch):
+    """Beyond ``PART_BYTES`` tables, sets, pairs and blocks are written some at a time; the groups are the same."""
+    at = lambda docs, words: docs.select("doc_id", "text_hash", F.pmod("doc_id", F.lit(8)).alias("fp"), F.lit(0).cast("long").alias("fp2"))
+    monkeypatch.setattr(S, "set_fingerprints", at)
+    monkeypatch.setattr(S, "NEAREST", 2)
+    monkeypatch.setattr(S, "BLOCK", 7)
+    rows = family_rows(3, 12)
+    want = keepers_of(rows, lambda i, j: True)
+    monkeypatch.setattr(S, "PART_BYTES", -(-sum(len(t.encode()) for _, t in rows) // 2))
+    labels = []
+    real = S.cut
+    monkeypatch.setattr(S, "cut", lambda df, label="cut", *rest: labels.append(label) or real(df, label, *rest))
+    found = S.similar_groups(docs_frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["keeper"] for r in found} == want
+    assert (labels.count("shingles"), labels.count("alike"), labels.count("blocks")) == (2, 3, 2)
+    assert labels.count("table") > 1 and labels.count("fresh") > 1
+
+
 @pytest.mark.parametrize("most,dense,held", [(3, 2048, 1 << 20), (1000, 2048, 1 << 20), (3, 4, 1 << 20), (3, 4, 64)])
 def test_candidates(spark, monkeypatch, most, dense, held):
     """Each node's nearest within the bits of both fingerprints, or what leads to them: the same components as all pairs."""
