@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Tasks that merge the vectors of all others.
 MERGERS = 8
+#: Numbers (tasks times a vector's) up to which the driver adds up the tasks' vectors itself: at most 8 MB, one stage less a round.
+DRIVER_CELLS = 1 << 20
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -47,9 +49,17 @@ def summed(df: DataFrame, vector: Callable[[list[np.ndarray]], np.ndarray], size
         if any_rows:
             yield pa.RecordBatch.from_arrays([pa.array([out])], ["part"])
 
-    parts = df.mapInArrow(run, "part array<double>").select(F.posexplode("part").alias("at", "x"))
+    return added(df.mapInArrow(run, "part array<double>"), size)
+
+
+def added(parts: DataFrame, size: int, tasks: int | None = None) -> np.ndarray:
+    """The sum of all ``part`` (``size`` numbers each). The driver adds them up where that many ``tasks`` give few numbers, else Spark."""
     out = np.zeros(size)
-    for row in parts.groupBy("at").agg(F.sum("x").alias("x")).collect():
+    if tasks is not None and tasks * size <= DRIVER_CELLS:
+        for row in parts.collect():  # a row a task, in their order
+            out += row["part"]
+        return out
+    for row in parts.select(F.posexplode("part").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect():
         out[row["at"]] = row["x"]
     return out
 

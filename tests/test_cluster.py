@@ -111,3 +111,25 @@ def test_errors(spark):
         with pytest.raises(ValueError):
             KMeans(**kw)
     assert KMeans(n_clusters=3).get_params()["n_clusters"] == 3
+
+
+def test_restarts_share_their_passes(spark, monkeypatch):
+    """Ten runs take as many passes as the longest of them, one after the other their sum; the best run is the same."""
+    x = blobs()
+    calls = []
+    monkeypatch.setattr(cluster._SpreadPoints, "summed", lambda self, *a, f=cluster._SpreadPoints.summed: calls.append(1) or f(self, *a))
+    m = KMeans(n_clusters=4, init="random", random_state=3, local_cells=0).fit(frame(spark, x), names(x), id_col="id")
+    runs = [serial(x, 4, "random", 3 + i) for i in range(10)]
+    c, inertia, it = min(runs, key=lambda r: r[1])
+    np.testing.assert_allclose(m.cluster_centers_, c, rtol=1e-9)
+    assert m.inertia_ == pytest.approx(inertia) and m.n_iter_ == it
+    assert len(calls) == max(r[2] for r in runs) + 1
+
+
+def test_nearest_centers_close_calls():
+    """Far from the origin products round; equally near centres go to the lowest number."""
+    rng = np.random.default_rng(1)
+    for x in (rng.normal(size=(300, 6)) + 1e7, rng.integers(0, 3, size=(300, 6)).astype(float)):
+        runs = np.stack([x[:5], x[[7, 7, 9, 11, 9]]])
+        want = np.stack([squared_distances(x, c).argmin(axis=1) for c in runs], axis=1)
+        assert (cluster.nearest_centers(x, runs) == want).all()
