@@ -133,3 +133,14 @@ def test_nearest_centers_close_calls():
         runs = np.stack([x[:5], x[[7, 7, 9, 11, 9]]])
         want = np.stack([squared_distances(x, c).argmin(axis=1) for c in runs], axis=1)
         assert (cluster.nearest_centers(x, runs) == want).all()
+
+
+def test_rounds_run_in_many_tasks(spark):
+    """Rows of a persisted frame stay in a task for each core at least, whatever their size; positions are dense over them."""
+    x = np.random.default_rng(2).normal(size=(300, 3))
+    rows = frame(spark, x).selectExpr("id AS _key", "array(x0, x1, x2) AS x")
+    points = cluster._SpreadPoints(rows, 300, 3)
+    tasks = points._frame.rdd.mapPartitions(lambda p: [len(list(p))]).collect()
+    assert sum(n > 0 for n in tasks) >= spark.sparkContext.defaultParallelism
+    np.testing.assert_array_equal(points.rows([299, 0, 150]), x[[299, 0, 150]])
+    points.release()
