@@ -569,8 +569,7 @@ _FITTED = "SELECT cluster::BIGINT AS cluster, count(*) AS n, round(sum(d), 5) +
 def _fitted_clusters(spark, sf, **kw) -> DataFrame:
     e = read_table(spark, sf, "embeddings")
     m = KMeans(**{"n_clusters": CLUSTERS, "tol": 0.0, "n_init": 1, "random_state": 42, "local_cells": 0} | kw).fit(e, "embedding", id_col="vec_id")
-    both = m.transform(m.predict(e))
-    rows = both.select(F.col("prediction").alias("cluster"), F.pow(F.array_min("distances"), 2).alias("d"))
+    rows = m.assign(e).select(F.col("prediction").alias("cluster"), F.pow(F.array_min("distances"), 2).alias("d"))
     return rounded(rows.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("d").alias("inertia")), 5, "inertia")
 
 

@@ -75,3 +75,9 @@ def test_works_without_the_training_data_part(tmp_path):
     code = "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()), len(e.oracle_sql()))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
     assert out == [str(len(queries.QUERIES)), "False", str(len(queries.ORACLES))]
+
+
+def test_fitted_clusters_take_one_pass(spark, tables):
+    """Labels and distances come from one Python worker a task, not from two at once."""
+    plan = queries.QUERIES["km_random_init"](spark, tables)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
