@@ -42,10 +42,20 @@ class Metric:
             return f"sqrt({power})"
         return power if self.p == 1 else f"pow({power}, {double(1 / self.p)})"
 
+    def power(self, gap: np.ndarray) -> np.ndarray:
+        """Each non-negative gap to the power of the order."""
+        return gap * gap if self.p == 2 else gap if self.p == 1 else gap**self.p
+
     def powers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Power sums of all rows of ``a`` against all rows of ``b``, one dimension at a time."""
         out = np.zeros((len(a), len(b)))
         for j in range(a.shape[1]):
-            gap = np.abs(a[:, j, None] - b[None, :, j])
-            out += gap * gap if self.p == 2 else gap if self.p == 1 else gap**self.p
+            out += self.power(np.abs(a[:, j, None] - b[None, :, j]))
+        return out
+
+    def paired(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Power sums of each row of ``a`` and the same row of ``b``, added up as ``powers`` does."""
+        out = np.zeros(len(a))
+        for j in range(a.shape[1]):
+            out += self.power(np.abs(a[:, j] - b[:, j]))
         return out

@@ -16,6 +16,8 @@ from tabulon.plans.features import Features, check_rows
 from tabulon.plans.neighbors import nearest
 
 WEIGHTS = ("uniform", "distance")
+#: Training rows up to which Spark may send all labels to every executor.
+BROADCAST_LABELS = 1 << 17
 ALGORITHMS = ("auto", "brute", "kd_tree", "ball_tree")
 
 
@@ -93,6 +95,8 @@ class _Neighbors(Estimator):
             raise ValueError("fit had no label")
         rows = self.kneighbors(df, id_col=id_col, features=features)
         labels = self._train.select(F.col(self._id).alias("neighbor_id"), F.col(self._label).alias("label"))
+        if self.n_samples_fit_ > BROADCAST_LABELS:  # files may look small enough to Spark, whatever they hold
+            labels = labels.hint("merge")
         rows = rows.join(labels, "neighbor_id")
         if self.weights == "uniform":
             return rows.withColumn("weight", F.lit(1.0))

@@ -2,112 +2,33 @@
 
 A tree of median splits over a bounded sample deals the training rows to leaves; each leaf is known by its rows' count and by a
 box (``kd_tree``) or a centre and a radius (``ball_tree``) around all of them. A query's k-th neighbour is no farther than the
-farthest points of the nearest leaves that hold k rows together, so it goes only to leaves that begin before that: one exchange,
-no copies to all blocks. The sample shapes the leaves; the result doesn't depend on it.
+farthest points of the nearest leaves that hold k rows together, so it goes only to blocks (runs of leaves) with a leaf that begins before that: one
+exchange, no copies to all blocks. A block's task splits its own rows further. The sample shapes the leaves; the result doesn't depend on it.
 
 The driver and every task hold the leaves' bounds: ``MOST_LEAVES`` leaves at most, whatever the number of rows.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.functions.distance import Metric
 from tabulon.plans.features import Features
 from tabulon.plans.partials import matrix
+from tabulon.plans.search import Held
+from tabulon.plans.tree import SLACK, Bounds, Route, Splits
 
 MOST_LEAVES = 4096
 SAMPLE_ROWS = 65_536
-#: Training rows that one task searches, about (at least a leaf).
+#: Training rows that one task searches, about (at least a leaf), and leaves of the routing tree for so many.
 BLOCK_ROWS = 16_384
-#: Bounds are widened by this share, more than rounding can take off.
-_SLACK = 1e-9
-
-
-@dataclass
-class Splits:
-    """A binary tree: node i has an axis and a threshold and the children 2i + 1 and 2i + 2; axis -1 marks a leaf."""
-
-    axis: np.ndarray
-    threshold: np.ndarray
-    leaf: np.ndarray
-    leaves: int
-
-    @classmethod
-    def of(cls, sample: np.ndarray, leaves: int) -> Splits:
-        depth = max(0, int(np.ceil(np.log2(max(1, leaves)))))
-        axis, threshold = np.full((2 << depth) - 1, -1), np.zeros((2 << depth) - 1)
-        leaf, count = np.zeros((2 << depth) - 1, dtype=np.int64), 0
-        stack = [(0, 0, sample)]
-        while stack:
-            node, level, own = stack.pop()
-            wide = np.ptp(own, axis=0) if len(own) else np.zeros(sample.shape[1])
-            if level == depth or not wide.any():
-                leaf[node], count = count, count + 1
-                continue
-            axis[node] = int(np.argmax(wide))
-            values = own[:, axis[node]]
-            threshold[node] = np.median(values)
-            right = values > threshold[node]
-            if not right.any():  # more than half of the values are the largest one
-                right = values == values.max()
-                threshold[node] = values[~right].max()
-            stack += [(2 * node + 2, level + 1, own[right]), (2 * node + 1, level + 1, own[~right])]
-        return cls(axis, threshold, leaf, count)
-
-    def leaves_of(self, x: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(x), dtype=np.int64)
-        while True:
-            inner = np.flatnonzero(self.axis[at] >= 0)
-            if not len(inner):
-                return self.leaf[at]
-            own = at[inner]
-            at[inner] = 2 * own + 1 + (x[inner, self.axis[own]] > self.threshold[own])
-
-
-@dataclass
-class Bounds:
-    """What is known of each leaf: rows, a box, and (for balls) a centre and a radius."""
-
-    count: np.ndarray
-    low: np.ndarray
-    high: np.ndarray
-    center: np.ndarray
-    radius: np.ndarray
-    metric: Metric
-    ball: bool
-
-    def of(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Power sums (a row a query, a column a leaf) that no row of the leaf is below, and none above."""
-        if self.ball:
-            root = max(self.metric.p, 1.0)  # below order 1 the power sums themselves obey the triangle inequality
-            d = self.metric.powers(q, self.center) ** (1 / root)
-            return np.maximum(d - self.radius, 0) ** root * (1 - _SLACK), ((d + self.radius) ** root) * (1 + _SLACK)
-        least, most = np.zeros((len(q), len(self.count))), np.zeros((len(q), len(self.count)))
-        p = self.metric.p
-        for j in range(q.shape[1]):
-            below, above = self.low[None, :, j] - q[:, j, None], q[:, j, None] - self.high[None, :, j]
-            least += np.maximum(np.maximum(below, above), 0) ** p
-            most += np.maximum(np.abs(below), np.abs(above)) ** p
-        return least * (1 - _SLACK), most * (1 + _SLACK)
-
-    def needed(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Which leaves may hold one of the ``k`` nearest rows of each query."""
-        least, most = self.of(q)
-        order = np.argsort(most, axis=1)
-        held = np.cumsum(self.count[order], axis=1) >= k
-        enough = np.where(held.any(axis=1), held.argmax(axis=1), len(self.count) - 1)
-        reach = np.take_along_axis(most, order, axis=1)[np.arange(len(q)), enough]
-        return (least <= reach[:, None]) & (self.count > 0)
-
-
-def _sample(train: DataFrame, features: Features, n: int) -> np.ndarray:
+BLOCK_LEAVES = 4
+
+
+def sampled(train: DataFrame, features: Features, n: int) -> np.ndarray:
     rows = train.select(features.vector().alias("x"))
     rows = rows.sample(min(1.0, 1.2 * SAMPLE_ROWS / n), seed=1) if n > SAMPLE_ROWS else rows
     return matrix(rows.limit(SAMPLE_ROWS).toArrow().column("x").combine_chunks())
@@ -145,91 +66,81 @@ def _bounds(train: DataFrame, features: Features, splits: Splits, sample: np.nda
     count, low, high = np.zeros(leaves, dtype=np.int64), np.zeros((leaves, p + 1)), np.zeros((leaves, p + 1))
     at, j = found["leaf"].to_numpy(), found["feature"].to_numpy()
     count[at], low[at, j], high[at, j] = found["n"], found["low"], found["high"]
-    radius = high[:, p] ** (1 / max(metric.p, 1.0)) * (1 + _SLACK)
+    radius = high[:, p] ** (1 / max(metric.p, 1.0)) * (1 + SLACK)
     return Bounds(count, low[:, :p], high[:, :p], center, radius, metric, ball)
 
 
-def nearest_in_cells(queries, query_features, query_id, train, features, train_id, n_train: int, k: int, metric: Metric, ball: bool, leaf_size: int) -> DataFrame:
-    """``query_id, neighbor_id, power``: at least the ``k`` nearest training rows of each query, from the leaves it needs."""
-    sample = _sample(train, features, n_train)
-    splits = Splits.of(sample, min(MOST_LEAVES, max(1, n_train // max(1, leaf_size))))
+def routed(sample: np.ndarray, train: DataFrame, features: Features, n_train: int, metric: Metric, ball: bool, leaf_size: int) -> tuple[Splits, Bounds, np.ndarray]:
+    """The routing tree, its leaves' bounds and each leaf's block."""
+    splits = Splits.of(sample, max(1, min(MOST_LEAVES, n_train // max(1, leaf_size), -(-n_train * BLOCK_LEAVES // BLOCK_ROWS))))
     bounds = _bounds(train, features, splits, sample, metric, ball)
     # Consecutive leaves lie close together; runs of them make a block.
     block = (np.cumsum(bounds.count) - bounds.count) // BLOCK_ROWS
+    return splits, bounds, np.unique(block, return_inverse=True)[1]
+
+
+def searched(batches, k: int, metric: Metric, leaf_size: int):
+    """The nearest of each cell's training rows (``cell, asks, id, x``, sorted so that a cell's training rows come first)."""
+    cell, ids, points, held = None, [], [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cells, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        keys, x = batch.column(2), matrix(batch.column(3))
+        change = np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1
+        edges = [0, *change.tolist(), len(cells)]
+        for a, b in zip(edges, edges[1:]):
+            if cells[a] != cell:
+                cell, ids, points, held = cells[a], [], [], None
+            if not asks[a]:
+                ids.append(keys[a:b])
+                points.append(x[a:b].copy())
+                continue
+            if held is None:
+                if not ids:
+                    continue
+                held = Held(pa.concat_arrays(ids), np.concatenate(points), k, metric, leaf_size)
+                ids, points = [], []
+            step = max(1, (1 << 20) // k)  # rows sent on at once
+            for i in range(a, b, step):
+                row, col, power = held.best(x[i : min(b, i + step)])
+                columns = [keys.take(pa.array(i + row)), held.ids.take(pa.array(col)), pa.array(power)]
+                yield pa.RecordBatch.from_arrays(columns, ["query_id", "neighbor_id", "power"])
+
+
+def nearest_in_cells(
+    queries, query_features, query_id, train, features, train_id, n_train: int, k: int, metric: Metric, ball: bool, leaf_size: int, sample: np.ndarray | None = None
+) -> DataFrame:
+    """``query_id, neighbor_id, power``: at least the ``k`` nearest training rows of each query, from the blocks it needs."""
+    sample = sampled(train, features, n_train) if sample is None else sample
+    splits, bounds, block = routed(sample, train, features, n_train, metric, ball, leaf_size)
+    tasks = queries.sparkSession.sparkContext.defaultParallelism
+    blocks = int(block.max()) + 1
+    copies = max(1, -(-tasks // blocks))  # few blocks: their queries are dealt to several tasks
     neighbor = train.schema[train_id].dataType.simpleString()
-    schema = f"block long, asks boolean, id {neighbor}, x array<double>, leaves array<long>"
+    schema = f"cell int, asks boolean, id {neighbor}, x array<double>"
 
     def store(batches):
         for batch in batches:
-            at = splits.leaves_of(matrix(batch.column(1)))
-            columns = [pa.array(block[at]), pa.array(np.zeros(len(at), dtype=bool)), *batch.columns, pa.array(at[:, None].tolist(), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["block", "asks", "id", "x", "leaves"])
+            own = np.tile(block[splits.leaves_of(matrix(batch.column(1)))], copies) if batch.num_rows else np.zeros(0, dtype=np.int64)
+            part = np.repeat(np.arange(copies), batch.num_rows)
+            rows = pa.array(np.tile(np.arange(batch.num_rows), copies))
+            columns = [pa.array(own * copies + part, pa.int32()), pa.array(np.zeros(len(own), dtype=bool)), *(c.take(rows) for c in batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "asks", "id", "x"])
 
     def ask(batches):
-        step = max(1, (1 << 20) // max(1, len(block)))
+        route = Route(splits, bounds, block, k)
         for batch in batches:
-            for i in range(0, batch.num_rows, step):
-                part = batch.slice(i, step)
-                row, leaf = np.nonzero(bounds.needed(matrix(part.column(1)), k))
-                place = row * (int(block.max()) + 1) + block[leaf]
-                cuts = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, dtype=np.int64)
-                own = pa.array(row[cuts])
-                lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(leaf)).astype(np.int32)), pa.array(leaf))
-                columns = [pa.array(block[leaf[cuts]]), pa.array(np.ones(len(cuts), dtype=bool)), part.column(0).take(own), part.column(1).take(own), lists]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "asks", "id", "x", "leaves"])
-
-    def search(batches):
-        now, ids, points, leaves, held = None, [], [], [], None
-        for batch in batches:
-            blocks_, asks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            keys, x, lists = batch.column(2), matrix(batch.column(3)), batch.column(4)
-            change = np.flatnonzero((blocks_[1:] != blocks_[:-1]) | (asks[1:] != asks[:-1])) + 1
-            edges = [0, *change.tolist(), len(blocks_)] if len(blocks_) else []
-            for a, b in zip(edges, edges[1:]):
-                if blocks_[a] != now:
-                    now, ids, points, leaves, held = blocks_[a], [], [], [], None
-                if not asks[a]:
-                    ids.append(keys[a:b])
-                    points.append(x[a:b])
-                    leaves.append(lists[a:b].flatten().to_numpy(zero_copy_only=False))
-                    continue
-                if held is None:
-                    names, at = pa.concat_arrays(ids), np.concatenate(leaves)
-                    rank = np.empty(len(at), dtype=np.int64)
-                    rank[pc.sort_indices(names).to_numpy()] = np.arange(len(at))
-                    order = np.lexsort((rank, at))  # by leaf, then ties fall to the smaller id
-                    held = names.take(pa.array(order)), np.concatenate(points)[order], at[order], rank[order]
-                yield from _search_leaves(keys[a:b], x[a:b], lists[a:b], held, k, metric)
+            for i in range(0, batch.num_rows, route.step):
+                part = batch.slice(i, route.step)
+                with np.errstate(all="ignore"):
+                    row, own = route.blocks(matrix(part.column(1)))
+                cell = own * copies + (i + row) % copies
+                columns = [pa.array(cell, pa.int32()), pa.array(np.ones(len(cell), dtype=bool)), *(c.take(pa.array(row)) for c in part.columns)]
+                yield pa.RecordBatch.from_arrays(columns, ["cell", "asks", "id", "x"])
 
     stored = train.select(F.col(train_id).alias("id"), features.vector().alias("x")).mapInArrow(store, schema)
-    asked = queries.select(F.col(query_id).cast(neighbor).alias("id"), query_features.vector().alias("x")).mapInArrow(ask, schema)
-    dealt = stored.unionByName(asked).repartition(int(block.max()) + 1, "block").sortWithinPartitions("block", "asks")
-    return dealt.mapInArrow(search, f"query_id {neighbor}, neighbor_id {neighbor}, power double")
-
-
-def _search_leaves(keys, x, lists, held, k: int, metric: Metric):
-    """The ``k`` nearest rows of the listed leaves for each query, leaf by leaf."""
-    names, points, at, rank = held
-    asker = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
-    leaf = lists.flatten().to_numpy(zero_copy_only=False)
-    order = np.argsort(leaf, kind="stable")
-    asker, leaf = asker[order], leaf[order]
-    cuts = np.flatnonzero(np.concatenate([[True], leaf[1:] != leaf[:-1]]))
-    row, col, power = [], [], []
-    for a, b in zip(cuts, [*cuts[1:], len(leaf)]):
-        lo, hi = np.searchsorted(at, [leaf[a], leaf[a] + 1])
-        step = max(1, (1 << 20) // max(1, hi - lo))
-        for i in range(a, b, step):
-            own = asker[i : min(b, i + step)]
-            found = metric.powers(x[own], points[lo:hi])
-            near = found <= np.partition(found, k - 1, axis=1)[:, k - 1 : k] if k < hi - lo else np.ones_like(found, dtype=bool)
-            r, c = np.nonzero(near)
-            row.append(own[r])
-            col.append(lo + c)
-            power.append(found[r, c])
-    row, col, power = np.concatenate(row), np.concatenate(col), np.concatenate(power)
-    order = np.lexsort((rank[col], power, row))
-    row, col, power = row[order], col[order], power[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-    columns = [keys.take(pa.array(row[keep])), names.take(pa.array(col[keep])), pa.array(power[keep])]
-    yield pa.RecordBatch.from_arrays(columns, ["query_id", "neighbor_id", "power"])
+    asking = queries.select(F.col(query_id).cast(neighbor).alias("id"), query_features.vector().alias("x"))
+    asked = asking.repartition(tasks).mapInArrow(ask, schema)
+    dealt = stored.unionByName(asked).repartitionById(blocks * copies, F.col("cell")).sortWithinPartitions("cell", "asks")
+    return dealt.mapInArrow(lambda batches: searched(batches, k, metric, leaf_size), f"query_id {neighbor}, neighbor_id {neighbor}, power double")

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import frame, names, values
 
@@ -128,3 +129,27 @@ def test_errors_and_params(spark):
     m = KNeighborsRegressor().fit(frame(spark, [[1.0, 2]], [1.0]), ["x0", "x1"], "y")
     with pytest.raises(ValueError, match="incompatible"):
         m.predict(frame(spark, [[1.0]]))
+
+
+
+@pytest.mark.parametrize("ball", [False, True])
+def test_routes_hold_all_neighbours(ball):
+    """Every block with one of a query's nearest rows is on its route, and most others aren't; few leaves are looked at."""
+    from tabulon.plans.tree import Bounds, Route, Splits
+
+    rng, metric = np.random.default_rng(7), Metric.of("euclidean")
+    x = rng.uniform(size=(20_000, 2))
+    splits = Splits.of(x, 1024)
+    at = splits.leaves_of(x)
+    bounds = Bounds.around(x, at, splits.leaves, metric)
+    center = (bounds.low + bounds.high) / 2
+    radius = np.zeros(splits.leaves)
+    np.maximum.at(radius, at, np.sqrt(((x - center[at]) ** 2).sum(axis=1)))
+    bounds = Bounds(bounds.count, bounds.low, bounds.high, center, radius * (1 + 1e-9), metric, ball)
+    block = np.arange(splits.leaves) // 4
+    for k in (5, 60):  # more than a leaf holds
+        row, own = Route(splits, bounds, block, k).blocks(x[:200])
+        found = set(zip(row.tolist(), own.tolist()))
+        near = np.argsort(metric.powers(x[:200], x), axis=1)[:, :k]
+        assert {(i, b) for i in range(200) for b in block[at[near[i]]].tolist()} <= found
+        assert len(found) == len(row) < 200 * 40
