@@ -131,6 +131,31 @@ def test_errors_and_params(spark):
         m.predict(frame(spark, [[1.0]]))
 
 
+def test_equal_rows_stay_few():
+    """A task's search keeps k of equal rows: a query at a value of thousands of rows finds k, ties and all."""
+    from tabulon.plans.search import Held
+
+    ids, x = pa.array(np.arange(20_000)[::-1]), np.repeat(np.arange(20.0), 1000)[:, None]
+    held = Held(ids, x, 5, Metric.of("euclidean"))
+    assert len(held.ids) == 100
+    row, col, power = held.best(np.array([[3.0], [3.5]]))
+    at = np.arange(20_000)[::-1]
+    want = [sorted(at[x[:, 0] == 3])[:5], sorted(at[(x[:, 0] == 3) | (x[:, 0] == 4)])[:5]]
+    assert [held.ids.take(pa.array(col[row == i])).to_pylist() for i in (0, 1)] == want
+
+
+@pytest.mark.parametrize("algorithm", ["auto", "brute", "kd_tree", "ball_tree"])
+def test_copies_leave_before_the_search(spark, monkeypatch, algorithm):
+    """Rows of few values: every task holds k of each value, and no row of the training table is shuffled to a search."""
+    monkeypatch.setattr(plan, "BROADCAST_ROWS", 100)
+    x = np.random.default_rng(4).integers(0, 9, size=(600, 1)).astype(float)
+    q = np.random.default_rng(5).uniform(-1, 10, size=(50, 1))
+    m = KNeighborsRegressor(n_neighbors=4, algorithm=algorithm).fit(frame(spark, x, x[:, 0]), ["x0"], "y")
+    monkeypatch.setattr(plan, "nearest_in_cells", None)
+    monkeypatch.setattr(plan, "_by_blocks", None)
+    rows = m.kneighbors_wide(frame(spark, q)).orderBy("query_id").collect()
+    assert [r["neighbor_ids"] for r in rows] == brute(q, x, 4)[0].tolist()
+
 
 @pytest.mark.parametrize("ball", [False, True])
 def test_routes_hold_all_neighbours(ball):
