@@ -157,6 +157,23 @@ def test_copies_leave_before_the_search(spark, monkeypatch, algorithm):
     assert [r["neighbor_ids"] for r in rows] == brute(q, x, 4)[0].tolist()
 
 
+@pytest.mark.parametrize("p", [1.0, 2.0, 3.0, 1.5, 0.5])
+def test_filtered_search_equals_direct_differences(p):
+    """Far from the origin, tiny, huge and tied values: what products or single precision can't tell apart is measured."""
+    from tabulon.plans.search import Held
+
+    rng, metric = np.random.default_rng(6), Metric.of("minkowski", p)
+    x = rng.normal(size=(700, 20))
+    for points in (x, np.round(x), x + 1e6, x * 1e-30, x * 1e60):
+        ids = rng.permutation(len(points))
+        held = Held(pa.array(ids), points, 5, metric)
+        row, col, power = held.best(points[:25])
+        d = metric.powers(points[:25], points)
+        order = np.array([np.lexsort((ids, w))[:5] for w in d])
+        assert held.ids.to_numpy()[col].reshape(25, 5).tolist() == ids[order].tolist()
+        assert (power.reshape(25, 5) == np.take_along_axis(d, order, 1)).all()
+
+
 @pytest.mark.parametrize("ball", [False, True])
 def test_routes_hold_all_neighbours(ball):
     """Every block with one of a query's nearest rows is on its route, and most others aren't; few leaves are looked at."""
@@ -178,3 +195,16 @@ def test_routes_hold_all_neighbours(ball):
         near = np.argsort(metric.powers(x[:200], x), axis=1)[:, :k]
         assert {(i, b) for i in range(200) for b in block[at[near[i]]].tolist()} <= found
         assert len(found) == len(row) < 200 * 40
+
+
+def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
+    """Many queries are dealt to chunks as training rows are to blocks."""
+    from tabulon.plans.features import Features
+
+    monkeypatch.setattr(plan, "BLOCK_ROWS", 20)
+    x, q = np.random.default_rng(8).normal(size=(2, 100, 18))
+    sides = [frame(spark, q), Features.of(frame(spark, q), names(q)), "id", frame(spark, x), Features.of(frame(spark, x), names(x)), "id"]
+    assert plan._by_blocks(*sides, 100, 3, Metric.of("euclidean")).rdd.getNumPartitions() == 25
+    m = KNeighborsRegressor(n_neighbors=3).fit(frame(spark, x, x[:, 0]), names(x), "y")
+    rows = m.kneighbors_wide(frame(spark, q)).orderBy("query_id").collect()
+    assert [r["neighbor_ids"] for r in rows] == brute(q, x, 3)[0].tolist()
