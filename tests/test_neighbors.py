@@ -208,3 +208,24 @@ def test_pairs_of_a_task_are_bounded(spark, monkeypatch):
     m = KNeighborsRegressor(n_neighbors=3).fit(frame(spark, x, x[:, 0]), names(x), "y")
     rows = m.kneighbors_wide(frame(spark, q)).orderBy("query_id").collect()
     assert [r["neighbor_ids"] for r in rows] == brute(q, x, 3)[0].tolist()
+
+
+@pytest.mark.parametrize("ball", [False, True])
+def test_routes_of_wide_rows_take_little_memory(ball):
+    """Where no leaf is ruled out, pairs of a query and a leaf are bounded, and no features are copied for each."""
+    import tracemalloc
+
+    from tabulon.plans.tree import Bounds, Route, Splits
+
+    rng, metric = np.random.default_rng(9), Metric.of("euclidean")
+    x = rng.normal(size=(8192, 64))
+    splits = Splits.of(x, 256)
+    at = splits.leaves_of(x)
+    box = Bounds.around(x, at, splits.leaves, metric)
+    bounds = Bounds(box.count, box.low, box.high, np.zeros((256, 64)), np.full(256, 99.0), metric, ball)
+    route = Route(splits, bounds, np.arange(256) // 4, 5)
+    tracemalloc.start()
+    row, block = route.blocks(x[: route.step])
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(row) == min(route.step, len(x)) * 64 and most < 64e6
